@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality, sharding, url_filter
+from quarry.llm import packing, quality, sharding, url_filter
 from quarry.session import ready
 
 PAGE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), PAGE_RULES).withColumnRenamed("id", "page_id")
 
@@ -29,7 +33,7 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle)}
+    return {f.__name__: f for f in (op2_histogram_packing, op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:
