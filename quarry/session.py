@@ -24,6 +24,7 @@ def get_spark(app: str = "quarry", master: str | None = None, partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         b = b.master(master).config("spark.driver.memory", "12g")
