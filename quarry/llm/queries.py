@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, quality, sharding, url_filter
+from quarry.llm import packing, quality, sharding, toxicity, url_filter
 from quarry.session import ready
 
 PAGE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(key, n: int):
+    return F.pmod(F.crc32(key.cast("string")), F.lit(n))
+
+
+def op1_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=lambda key: _fold(key, 4) != 2)
+    d = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return d.select("doc_id", (_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -33,7 +44,7 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_histogram_packing, op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle)}
+    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:
