@@ -166,7 +166,7 @@ def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3)
     return w
 
 
-def fit_machine(toxic: list[list[list[str]]], clean: list[list[list[str]]], n_landmarks: int = 160, rounds: int = 3, negatives: int = 3000) -> tuple[np.ndarray, float]:
+def fit_machine(toxic: list[list[list[str]]], clean: list[list[list[str]]], n_landmarks: int = 240, rounds: int = 4, negatives: int = 3000) -> tuple[np.ndarray, float]:
     """One weight for each subsequence and a bias. toxic, clean: documents as sentences as units."""
     bags = [sorted({u for s in d for u in s if len(u) >= ORDER}) for d in toxic]
     bags = [b for b in bags if b]
@@ -174,14 +174,28 @@ def fit_machine(toxic: list[list[list[str]]], clean: list[list[list[str]]], n_la
     apart = Counter(u for d in clean for u in {u for s in d for u in s if len(u) >= ORDER})
     if not bags or not apart:
         return np.zeros(SYMBOLS**ORDER), -1.0
-    ratio = lambda u: np.log((there[u] + 0.5) / (len(bags) + 1)) - np.log((apart[u] + 0.5) / (len(clean) + 1))
-    witness = [max(b, key=lambda u: (ratio(u), u)) for b in bags]
+    grams = lambda u: {u, *(u[i : i + 4] for i in range(len(u) - 3))}
+    inside = Counter(g for b in bags for g in {g for u in b for g in grams(u)})
+    beyond = Counter(g for d in clean for g in {g for u in {u for s in d for u in s} for g in grams(u)})
+
+    def excess(u: str) -> float:
+        """How far too often for chance toxic documents hold the unit or four of its letters in a row."""
+        best = 0.0
+        for g in grams(u):
+            ratio = np.log((inside[g] + 0.5) / (len(bags) + 1)) - np.log((beyond[g] + 0.5) / (len(clean) + 1))
+            best = max(best, inside[g] * ratio if ratio > 2 else 0.0)
+        return best
+
+    over = {u: excess(u) for u in there}
+    witness = [max(b, key=lambda u: (over[u], u)) for b in bags]
+    # Units far over chance are positives from the start, beside each document's witness.
+    seeds = {u: n for u, n in there.items() if over[u] > 12 and not apart[u]}
     rng, others = np.random.default_rng(7), sorted(apart)
     names = sorted(there)
     number = {u: i for i, u in enumerate(names)}
     hard: list[str] = []
     for _ in range(rounds):
-        count = Counter(w for w in witness if not apart[w])
+        count = Counter(w for w in witness if not apart[w]) | Counter(seeds)
         good = [u for u, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:negatives]] or sorted(set(witness))
         bad = sorted({*hard, *(others[i] for i in rng.permutation(len(others))[:negatives])} - set(good))
         marks = good[: n_landmarks // 2] + hard[: n_landmarks // 4]
@@ -200,7 +214,7 @@ def fit_machine(toxic: list[list[list[str]]], clean: list[list[list[str]]], n_la
         value = margins(names, weights, bias)
         witness = [max(b, key=lambda u: (value[number[u]], u)) for b in bags]
         wrong = margins(others, weights, bias)
-        hard = [others[i] for i in np.argsort(-wrong, kind="stable")[:1500]]
+        hard = list(dict.fromkeys([*(others[i] for i in np.argsort(-wrong, kind="stable")[:1000]), *hard]))
     return weights, bias
 
 
