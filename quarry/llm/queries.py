@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, quality, sharding, toxicity, url_filter
+from quarry.llm import ann, packing, quality, sharding, toxicity, url_filter
 from quarry.session import ready
 
 PAGE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -30,6 +30,11 @@ def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return d.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), PAGE_RULES).withColumnRenamed("id", "page_id")
 
@@ -44,7 +49,7 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle)}
+    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:
