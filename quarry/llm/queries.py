@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, packing, quality, sharding, toxicity, url_filter
+from quarry.llm import ann, packing, quality, sharding, substring, toxicity, url_filter
 from quarry.session import ready
 
 PAGE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -48,8 +48,13 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring.dedup(table(spark, sf_dir, "documents"))
+    return d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle)}
+    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle, op10_prefix_suffix_trees)}
 
 
 def oracle_sql() -> dict[str, str]:

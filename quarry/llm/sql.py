@@ -52,4 +52,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES = {"op6_url_vocabulary": URLS, "op7_quality_cascade": QUALITY}
+SUBSTRINGS = rf"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda w: w <> '') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS i FROM t)),
+bad AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS low FROM win) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM bad, range(13) r(j)),
+rest AS (
+  SELECT w.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN w.word END, ' ' ORDER BY w.i) AS kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM t) w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN rest USING (doc_id)
+"""
+
+ORACLES = {"op10_prefix_suffix_trees": SUBSTRINGS, "op6_url_vocabulary": URLS, "op7_quality_cascade": QUALITY}
