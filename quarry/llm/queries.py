@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, packing, quality, sharding, substring, toxicity, url_filter
+from quarry.llm import ann, ngram_lm, packing, quality, sharding, substring, toxicity, url_filter
 from quarry.session import ready
 
 PAGE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -43,6 +43,11 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = ngram_lm.score(table(spark, sf_dir, "documents"), learn=lambda key: _fold(key, 5) != 1)
+    return d.select(F.col("id").alias("doc_id"), (_fold(F.col("id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sharding.plan_shards(table(spark, sf_dir, "documents"), n_shards=40)
     return d.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,7 +59,7 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op9_external_shuffle, op10_prefix_suffix_trees)}
+    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op8_deleted_interpolation, op9_external_shuffle, op10_prefix_suffix_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
