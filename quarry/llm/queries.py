@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, near_dedup, ngram_lm, packing, quality, sharding, substring, toxicity, url_filter
+from quarry.llm import ann, near_dedup, ngram_lm, packing, piece_sampling, quality, sharding, substring, toxicity, url_filter
 from quarry.session import ready
 
 PAGE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -30,6 +30,10 @@ def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), k=3, keep_ids=False).withColumnRenamed("id", "doc_id")
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -63,7 +67,7 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op4_order_minhash, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op8_deleted_interpolation, op9_external_shuffle, op10_prefix_suffix_trees)}
+    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op3_gumbel_segmentations, op4_order_minhash, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op8_deleted_interpolation, op9_external_shuffle, op10_prefix_suffix_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
