@@ -127,6 +127,18 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return spark.table(name)
 
 
+def slices(batch: pa.RecordBatch, columns: list[str], most_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch whose texts take most_bytes at most, or single rows."""
+    size = np.zeros(batch.num_rows + 1, np.int64)
+    for c in columns:
+        size += text_bytes(batch.column(c))[1]
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + most_bytes, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, pa.Array]]:
     """(row, ids, texts) of each block in an Arrow batch."""
     for i in range(batch.num_rows):

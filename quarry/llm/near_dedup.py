@@ -128,7 +128,7 @@ def compare(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[bool, list
 
 def _sketches(docs: DataFrame, width: int, bands: int, keep: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in B.slices(batch, ["text"])):
             value, n, prints = shingles(b.column("text"), width)
             end = np.cumsum(n)
             rows = [sketch(value[e - k : e], bands, keep).view(np.int64) if k else None for e, k in zip(end, n, strict=True)]
@@ -142,7 +142,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """v, text of the wanted vertices; one of several equal documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in B.slices(batch, ["text"])):
             _, n, prints = shingles(b.column("text"), width)
             keys = prints.view(np.uint8).reshape(len(n), 16)
             yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), b.column("text")], names=["v", "text"])
@@ -154,17 +154,15 @@ def _verify(edges: DataFrame, texts: DataFrame, width: int, similarity: float, d
     """a, b, linked and, if asked for, n_b and what only a and only b have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                (v1, n1, _), (v2, n2, _) = (shingles(b.column(c), width) for c in ("ta", "tb"))
-                e1, e2 = np.cumsum(n1), np.cumsum(n2)
-                got = [compare(v1[p - k : p], v2[q - m : q], similarity) for p, k, q, m in zip(e1, n1, e2, n2, strict=True)]
-                cols = [b.column("a"), b.column("b"), pa.array([g[0] for g in got], pa.bool_())]
-                if differences:
-                    signed = [pa.array([np.array(g[k], np.uint64).view(np.int64) for g in got], pa.list_(pa.int64())) for k in (1, 2)]
-                    cols += [pa.array(n2), *signed]
-                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "linked", "n_b", "only_a", "only_b"][: len(cols)])
+        for b in (part for batch in batches for part in B.slices(batch, ["ta", "tb"])):
+            (v1, n1, _), (v2, n2, _) = (shingles(b.column(c), width) for c in ("ta", "tb"))
+            e1, e2 = np.cumsum(n1), np.cumsum(n2)
+            got = [compare(v1[p - k : p], v2[q - m : q], similarity) for p, k, q, m in zip(e1, n1, e2, n2, strict=True)]
+            cols = [b.column("a"), b.column("b"), pa.array([g[0] for g in got], pa.bool_())]
+            if differences:
+                signed = [pa.array([np.array(g[k], np.uint64).view(np.int64) for g in got], pa.list_(pa.int64())) for k in (1, 2)]
+                cols += [pa.array(n2), *signed]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "linked", "n_b", "only_a", "only_b"][: len(cols)])
 
     t = lambda side: texts.select(F.col("v").alias(side), F.col("text").alias("t" + side))
     rows = edges.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb")
