@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.session import scratch_path
 
@@ -99,8 +100,8 @@ def expand_sorted(b: bytes, kind: str) -> np.ndarray:
     return np.cumsum(expand(b, kind), dtype=kind)
 
 
-def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block_id, ids, texts. A text over block_bytes is a block of its own."""
+def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> DataFrame:
+    """block_id, ids, texts and, if asked for, whole rows. A text over block_bytes is a block of its own."""
     spark = docs.sparkSession
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +114,18 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             at = 0
             while at < len(ids):
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes, side="right")) - 1)
+                whole = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([b.column("row")[at:end]]))] if whole_rows else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + made], pa.int64()), pa.array([ids[at:end].to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([texts[at:end]]))],
-                    names=["block_id", "ids", "texts"],
+                    [pa.array([(task << 32) + made], pa.int64()), pa.array([ids[at:end].to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([texts[at:end]])), *whole],
+                    names=["block_id", "ids", "texts", "rows"][: 3 + len(whole)],
                 )
                 at, made = end, made + 1
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(True).alias(" ")).alias("row")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([others] if whole_rows else []))
     name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = d.mapInArrow(gather, "block_id long, ids array<long>, texts array<string>")
+    out = d.mapInArrow(gather, _schema(d, whole_rows))
     out.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block_id").saveAsTable(name)
     return spark.table(name)
 
@@ -139,6 +142,11 @@ def slices(batch: pa.RecordBatch, columns: list[str], most_bytes: int = BLOCK_BY
         at = end
 
 
+def _schema(d: DataFrame, whole_rows: bool) -> T.StructType:
+    out = T.StructType().add("block_id", T.LongType()).add("ids", T.ArrayType(T.LongType())).add("texts", T.ArrayType(T.StringType()))
+    return out.add("rows", T.ArrayType(d.schema["row"].dataType)) if whole_rows else out
+
+
 def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, pa.Array]]:
     """(row, ids, texts) of each block in an Arrow batch."""
     for i in range(batch.num_rows):

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import blocks as B
 from quarry.session import cut
@@ -211,9 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("v", F.col("new").alias("root"))
 
 
-def classes(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, keep: int = KEEP, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and class_id of every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _rooted(docs: DataFrame, width: int, bands: int, keep: int, similarity: float) -> DataFrame:
+    """id, v and root of every row; docs has id and text."""
     rows = cut(_sketches(docs, width, bands, keep), "sketches")
     vertices = rows.where("n > 0").groupBy("v").agg(F.any_value("bands").alias("bands"))
     members = cut(vertices.select("v", F.posexplode("bands").alias("band", "value")), "members")
@@ -229,6 +229,28 @@ def classes(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, keep: int =
     more = more.join(edges, ["a", "b"], "left_anti").join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     links = star.where("linked").select("a", "b").union(_verify(more, texts, width, similarity, False).where("linked").select("a", "b"))
     root = components(links)
-    rooted = rows.select("id", "v").join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    return rows.select("id", "v").join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
+
+
+def classes(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, keep: int = KEEP, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and class_id of every row."""
+    rooted = _rooted(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), width, bands, keep, similarity)
     name = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
     return rooted.join(name, "root").select("id", "class_id")
+
+
+def reject(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, keep: int = KEEP, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all columns, of each class: the one with the smallest id. Equal rows count as one."""
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    best = _rooted(d.select("id", "text"), width, bands, keep, similarity).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("m"))
+    kind = T.StructType().add("id", T.LongType()).add("v", T.BinaryType()).add(d.schema["row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in B.slices(batch, ["text"])):
+            _, n, prints = shingles(b.column("text"), width)
+            keys = prints.view(np.uint8).reshape(len(n), 16)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([k.tobytes() for k in keys], pa.binary()), b.column("row")], names=["id", "v", "row"])
+
+    best = best.select(F.col("m.id").alias("best"), F.col("m.v").alias("v"))
+    rows = d.mapInArrow(run, kind).join(best, "v").where(F.col("id").eqNullSafe(F.col("best")))
+    return rows.groupBy("v").agg(F.first("row").alias("row")).select("row.*")

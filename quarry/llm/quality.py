@@ -51,9 +51,13 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each whole text."""
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _row(docs: DataFrame, wanted: bool) -> list[Column]:
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if wanted else []
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, whole_rows: bool = False) -> DataFrame:
+    """id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each whole text, and the row itself if asked for."""
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *_row(docs, whole_rows))
     d = d.withColumn("_words", F.filter(F.split("text", SPACE), lambda w: w != ""))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     starts = F.sequence(F.lit(1), F.col("n_words").cast("int") - F.lit(window - 1))
@@ -61,7 +65,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     d = d.withColumn("_hashes", hashes)
     d = d.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     return d.select(
-        "id", "text", "n_words",
+        "id", "text", *(["row"] if whole_rows else []), "n_words",
         F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -99,11 +103,18 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the statistics of ``measure``, base_failed, kept."""
-    d = measure(docs, id_col, text_col)
+def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """id, the statistics of ``measure``, base_failed, kept, and the row itself if asked for."""
+    d = measure(docs, id_col, text_col, whole_rows=whole_rows)
     gone = F.when(F.col("base_failed"), F.lit(True))
     for r, _, _ in order_rules(docs, rules, sample_rows, id_col, text_col):
         gone = gone.when(F.coalesce(r.rejects(F.col("text"), F.col("n_words")), F.lit(False)), F.lit(True))
     d = d.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     return d.withColumn("kept", ~gone.otherwise(F.lit(False))).drop("text")
+
+
+def reject(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that the cascade keeps."""
+    d = cascade(docs, rules, sample_rows, id_col, text_col, whole_rows=True)
+    # The row number keeps Catalyst from moving the filter below the projection, where it would take every statistic again.
+    return d.withColumn("at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("at") >= 0)).select("row.*")

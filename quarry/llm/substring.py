@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import blocks as B
 from quarry.session import cut
@@ -88,10 +89,13 @@ def plan_groups(table: DataFrame, window: int, slots: int, leaf: int) -> list[np
     return list(heavy.reshape(len(lengths), slots))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_removed, text (the words that stay) for each row."""
+def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """id, n_words, n_removed, text (the words that stay) for each row.
+
+    whole_rows: the table's own columns instead, and untouched documents keep their text as it is.
+    """
     spark = docs.sparkSession
-    table = B.write_blocks(docs, id_col, text_col)
+    table = B.write_blocks(docs, id_col, text_col, whole_rows=whole_rows)
     size = table.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
     leaf = int(min(leaf, max(1 << 14, size // 6 // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     slots = 1 << max(4, (2 * size // 6 // leaf).bit_length())
@@ -152,9 +156,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
                 removed = np.bincount(doc[out], minlength=len(ids))
                 kept, at = [], 0
                 for t, n, r in zip(texts.to_pylist(), words.tolist(), removed.tolist(), strict=True):
-                    ws = t.encode().split()
+                    ws = t.encode().split() if r or not whole_rows else [t.encode()]
                     kept.append(b" ".join([w for w, x in zip(ws, out[at : at + n].tolist(), strict=True) if not x] if r else ws))
                     at += n
-                yield pa.RecordBatch.from_arrays([ids, pa.array(words), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "text"])
-
-    return table.join(told, "block_id", "left").select("ids", "texts", "answers").mapInArrow(apply, "id long, n_words long, n_removed long, text string")
+                columns = [ids, pa.array(words), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, b.column("rows")[i].values] if whole_rows else columns, names=["id", "n_words", "n_removed", "text", "row"][: 4 + whole_rows])
+
+    both = table.join(told, "block_id", "left").select("ids", "texts", "answers", *(["rows"] if whole_rows else []))
+    kind = T.StructType().add("id", T.LongType()).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("text", T.StringType())
+    if not whole_rows:
+        return both.mapInArrow(apply, kind)
+    d = both.mapInArrow(apply, kind.add("row", table.schema["rows"].dataType.elementType))
+    return d.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -308,3 +308,18 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 
     kind = d.schema["id"].dataType.simpleString()
     return d.mapInArrow(run, f"id {kind}, score double")
+
+
+def reject(docs: DataFrame, model: dict | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that score below the threshold."""
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for b in batches:
+            z = highest(b.column(text_col).to_pylist(), model)
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
