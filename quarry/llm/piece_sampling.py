@@ -17,6 +17,7 @@ is exact for every text; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -76,11 +77,20 @@ class Lattices:
         self.start, self.size, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.first = np.zeros(1, np.int64)
         self.step, self.piece, self.cum, self.prob = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.n_nodes = self.n_edges = 0
+
+    def grow(self, name: str, at: int, new: np.ndarray) -> None:
+        """Writes new values at a place of an array with room to spare."""
+        old = getattr(self, name)
+        if at + len(new) > len(old):
+            old = np.concatenate([old[:at], np.zeros(max(at, 2 * len(new)), old.dtype)])
+            setattr(self, name, old)
+        old[at : at + len(new)] = new
 
     def words(self, chunks: list[str]) -> np.ndarray:
         """The numbers of the chunks' words, new ones added."""
         new = set(chunks) - self.number.keys()
-        if new and len(self.first) + sum(map(len, new)) > self.most_nodes:
+        if new and self.n_nodes + sum(map(len, new)) > self.most_nodes:
             self.clear()
             new = set(chunks)
         if new:
@@ -144,12 +154,14 @@ class Lattices:
         cum = np.cumsum(prob)
         cum -= np.repeat(cum[first] - prob[first], count)
         cum /= np.repeat(cum[first + count - 1], count)
-        base_node, base_edge = len(self.first) - 1, len(self.step)
-        self.number.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
-        self.start, self.size, self.total = np.r_[self.start, begin + base_node], np.r_[self.size, size], np.r_[self.total, sums]
-        self.first = np.r_[self.first, base_edge + np.cumsum(count)]
-        self.step, self.piece = np.r_[self.step, step.astype(np.int32) + 1], np.r_[self.piece, piece]
-        self.cum, self.prob = np.r_[self.cum, cum.astype(np.float32)], np.r_[self.prob, prob.astype(np.float32)]
+        n = len(self.number)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        for name, new in (("start", begin + self.n_nodes), ("size", size), ("total", sums)):
+            self.grow(name, n, new)
+        self.grow("first", self.n_nodes + 1, self.n_edges + np.cumsum(count))
+        for name, new in (("step", step + 1), ("piece", piece), ("cum", cum), ("prob", prob)):
+            self.grow(name, self.n_edges, new)
+        self.n_nodes, self.n_edges = self.n_nodes + nodes, self.n_edges + len(piece)
 
     @staticmethod
     def bytes_of(points: np.ndarray) -> np.ndarray:
@@ -179,10 +191,8 @@ class Lattices:
             out[first[who] + k] = e
         return out, count
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        p = self.piece[edges]
-        if not (p < -1).any():
-            return p
+    def ids(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vocabulary ids of pieces, how many ids each takes)."""
         bare = np.flatnonzero(p < -1)
         count = np.ones(len(p), np.int64)
         count[bare] = self.bytes_of(-2 - p[bare])
@@ -191,7 +201,7 @@ class Lattices:
             here = at[p[bare] == x]
             for k, byte in enumerate(chr(-2 - x).encode()):
                 out[here + k] = self.byte_id[byte]
-        return out
+        return out, count
 
 
 def uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -224,29 +234,17 @@ class Search:
         h = (h ^ (h >> 32)) * 0x94D049BB133111EB & full
         return np.uint64(h ^ (h >> 29))
 
-    def add(self, value: float, path: np.ndarray, begin: int, phi: float) -> None:
-        """A finished segmentation; phi: the log-probability before its edge number ``begin``, from which edges are new."""
-        sample = len(self.paths)
+    def add(self, value: float, path: np.ndarray) -> int:
         self.paths.append(path)
         self.values.append(value)
-        left, at, size = max(self.k - sample, 1), begin, 160
-        while at < len(path):
-            p = np.minimum(self.lat.prob[path[at : at + size]].astype(float), 1.0)
-            with np.errstate(divide="ignore"):
-                after = phi + np.cumsum(np.log(p))
-                rest = np.log1p(-p)
-            rest[0] += phi
-            rest[1:] += after[:-1]
-            noise = -np.log(-np.log(uniform(np.full(len(p), self.salt(sample, 1)), np.arange(at, at + len(p)))))
-            g = -np.logaddexp(-(rest + noise), -value)
-            for i in (np.argpartition(-g, left - 1)[:left] if len(g) > left else range(len(g))):
-                if rest[i] > -np.inf:
-                    self.agenda.append((float(g[i]), sample, at + int(i), float(after[i - 1] if i else phi), (int(path[at + i]),)))
-            self.agenda.sort(reverse=True)
-            del self.agenda[left:]
-            at, phi, size = at + len(p), float(after[-1]), 2 * size
-            if len(self.agenda) == left and phi + MOST_NOISE < self.agenda[-1][0]:
-                break
+        return max(self.k - len(self.paths) + 1, 1)
+
+    def enter(self, entries: list[tuple], left: int) -> None:
+        self.agenda = sorted(self.agenda + entries, reverse=True)[:left]
+
+    def settled(self, phi: float, left: int) -> bool:
+        """Whether no edge after one reached with log-probability phi can still enter the agenda."""
+        return len(self.agenda) == left and phi + MOST_NOISE < self.agenda[-1][0]
 
     def branch(self) -> tuple[int, int, int, float, float] | None:
         """Takes the best entry: (parent, edge number, the edge taken instead, log-probability before it, value)."""
@@ -254,20 +252,53 @@ class Search:
             return None
         value, parent, at, phi, shut = self.agenda.pop(0)
         sample = len(self.paths)
-        edge = shut[0]
-        lo = int(np.searchsorted(self.lat.first, edge, side="right")) - 1
-        options = [e for e in range(self.lat.first[lo], self.lat.first[lo + 1]) if e not in shut and self.lat.prob[e] > 0]
-        p = self.lat.prob[options].astype(float)
-        salt = np.array([self.salt(sample, 2)], np.uint64)
-        new = options[min(int(np.searchsorted(np.cumsum(p) / p.sum(), uniform(salt, np.zeros(1))[0])), len(options) - 1)]
-        rest = p.sum() - float(self.lat.prob[new])
+        lo = int(np.searchsorted(self.lat.first[: self.lat.n_nodes + 1], shut[0], side="right")) - 1
+        begin, end = int(self.lat.first[lo]), int(self.lat.first[lo + 1])
+        options = [(e, p) for e, p in zip(range(begin, end), self.lat.prob[begin:end].tolist(), strict=True) if e not in shut and p > 0]
+        u, noise = uniform(self.salt(sample, 2), np.arange(2)).tolist()
+        whole = sum(p for _, p in options)
+        u, new, rest = u * whole, options[-1][0], whole - options[-1][1]
+        for e, p in options:
+            if u < p:
+                new, rest = e, whole - p
+                break
+            u -= p
         if len(options) > 1 and rest > 0:
-            noise = -np.log(-np.log(uniform(salt, np.ones(1))[0]))
-            self.agenda.append((float(-np.logaddexp(-(phi + np.log(rest) + noise), -value)), parent, at, phi, (*shut, new)))
+            g = phi + math.log(rest) - math.log(-math.log(noise))
+            self.agenda.append((float(-np.logaddexp(-g, -value)), parent, at, phi, (*shut, new)))
             self.agenda.sort(reverse=True)
         return parent, at, new, phi, value
 
 
+def add_paths(lat: Lattices, found: list[tuple[Search, float, np.ndarray, int, float]], width: int = 160) -> None:
+    """Takes finished segmentations in: (search, value, path, first new edge, log-probability before it)."""
+    open_ = [(s, s.add(value, path), len(s.paths) - 1, value, path, begin, phi) for s, value, path, begin, phi in found]
+    open_ = [x for x in open_ if x[5] < len(x[4])]
+    while open_:
+        size = np.array([min(width, len(path) - begin) for _, _, _, _, path, begin, _ in open_])
+        shown = np.arange(width) < size[:, None]
+        p = np.ones(shown.shape)
+        p[shown] = np.minimum(lat.prob[np.concatenate([path[begin : begin + width] for _, _, _, _, path, begin, _ in open_])], 1.0)
+        phi0, value, begin = (np.array([x[k] for x in open_])[:, None] for k in (6, 3, 5))
+        salt = np.array([s.salt(sample, 1) for s, _, sample, *_ in open_], np.uint64)[:, None]
+        with np.errstate(divide="ignore"):
+            after = phi0 + np.cumsum(np.log(p), 1)
+            rest = np.log1p(-p) + np.c_[phi0, after[:, :-1]]
+        noise = -np.log(-np.log(uniform(salt, begin + np.arange(width))))
+        g = -np.logaddexp(-(rest + noise), -value)
+        most = min(max(x[1] for x in open_), width)
+        best = np.argpartition(-g, most - 1, axis=1)[:, :most]
+        top = np.take_along_axis(g, best, 1).tolist()
+        before = np.take_along_axis(np.c_[phi0, after], best, 1).tolist()
+        best, ends = best.tolist(), after[:, -1].tolist()
+        again = []
+        for i, (s, left, sample, v, path, at, _) in enumerate(open_):
+            s.enter([(x, sample, at + j, f, (int(path[at + j]),)) for x, j, f in zip(top[i], best[i], before[i], strict=True) if x > -np.inf], left)
+            if at + width < len(path) and not s.settled(ends[i], left):
+                again.append((s, left, sample, v, path, at + width, ends[i]))
+        open_ = again
+
+
 def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattices) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples: (ids, log-probability, perturbed value, log inclusion probability)."""
     chunks, count = [], []
@@ -288,10 +319,8 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattice
     salts = np.array([s.salt(0, 0) for s in every], np.uint64)
     edges, n = lat.walk(start, start + size, salts[text_of], place)
     upto = np.r_[0, np.cumsum(n)]
-    for i, s in enumerate(every):
-        path = edges[upto[last[i] - count[i]] : upto[last[i]]] if count[i] else nothing
-        value = -np.log(-np.log(uniform(np.array([s.salt(0, 3)], np.uint64), np.zeros(1))[0]))
-        s.add(float(value), path, 0, 0.0)
+    tops = -np.log(-np.log(uniform(np.array([s.salt(0, 3) for s in every], np.uint64), np.zeros(1)))) if every else nothing
+    add_paths(lat, [(s, float(tops[i]), edges[upto[last[i] - count[i]] : upto[last[i]]] if count[i] else nothing, 0, 0.0) for i, s in enumerate(every)])
     for j in range(1, k):
         todo = [(i, b) for i, s in enumerate(every) if len(s.paths) == j and (b := s.branch())]
         if not todo:
@@ -317,25 +346,29 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattice
             whose.append(np.full(lengths[-1], every[i].salt(j, 0), np.uint64))
         edges, n = lat.walk(*(np.concatenate(x).astype(np.int64) for x in (node, stop)), np.concatenate(whose), np.concatenate(places).astype(np.int64))
         upto = np.r_[0, np.cumsum(n)]
-        at_word = 0
+        at_word, found = 0, []
         for (i, (_, at, new, phi, value)), head, m in zip(todo, heads, lengths, strict=True):
-            tail = edges[upto[at_word] : upto[at_word + m]]
+            found.append((every[i], value, np.concatenate([head, edges[upto[at_word] : upto[at_word + m]]]), at + 1, phi + math.log(max(float(lat.prob[new]), 1e-300))))
             at_word += m
-            every[i].add(value, np.r_[head, tail], at + 1, phi + float(np.log(max(float(lat.prob[new]), 1e-300))))
-    out = []
+        add_paths(lat, found)
+    mass = np.bincount(text_of, lat.total[word], minlength=len(texts))
+    paths = [p for s in every for p in s.paths]
+    owner = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
+    piece = lat.piece[np.concatenate(paths)] if paths else nothing
+    weight = lat.weight[np.maximum(piece, 0)]
+    weight[piece < 0] = lat.byte_weight * lat.bytes_of(-2 - piece[piece < 0])
+    sums = np.bincount(owner, weight, minlength=len(paths)).tolist()
+    ids, size = lat.ids(piece)
+    upto = np.r_[0, np.cumsum(np.bincount(owner, size, minlength=len(paths)).astype(np.int64))].tolist()
+    out, at = [], 0
     for i, s in enumerate(every):
-        mass = float(lat.total[word[last[i] - count[i] : last[i]]].sum())
         limit = s.agenda[0][0] if s.agenda else -np.inf
         rows = []
-        for path, value in zip(s.paths, s.values, strict=True):
-            piece = lat.piece[path]
-            weight = lat.weight[np.maximum(piece, 0)]
-            if len(bare := np.flatnonzero(piece < 0)):
-                real = -2 - piece[bare]
-                weight[bare] = lat.byte_weight * lat.bytes_of(real)
-            f = float(weight.sum()) - mass if len(path) else 0.0
+        for value in s.values:
+            f = sums[at] - float(mass[i])
             near = f - limit
-            rows.append((lat.ids(path), f, value, 0.0 if limit == -np.inf else near if near < -30 else float(np.log(-np.expm1(-np.exp(min(near, 700.0)))))))
+            rows.append((ids[upto[at] : upto[at + 1]], f, value, 0.0 if limit == -np.inf else near if near < -30 else math.log(-math.expm1(-math.exp(min(near, 700.0))))))
+            at += 1
         out.append(rows)
     return out
 
