@@ -8,8 +8,9 @@ alignment of their sequences has ``common / (n1 + n2 - common)`` of at least ``s
 Candidates, without pairs of all members of a bucket: (1) equal word sequences are one vertex; (2) every member of a bucket is
 aligned with the bucket's leader, the member with the largest buckets; (3) a member that isn't linked to its leader L can
 still be linked to another member m. Both are then known by their differences from L, and their distance is the size of the
-symmetric difference of those. So a link needs many differences in common, and by the prefix principle it is enough
-to join members on the rarest of them. These pairs are aligned too. No candidate of a bucket is lost, whatever its size.
+symmetric difference of those. So members of one leader are compared in blocks of a bounded size, by counting common differences,
+without texts; a pair of blocks gives a spanning forest of its near pairs, which are then aligned. No candidate of a bucket is
+lost, whatever its size.
 Classes are the connected components of the links.
 
 Defined cases: null and empty texts are one word sequence (none) and so one class; a text of one to ``width - 1`` words is one
@@ -20,12 +21,12 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,7 +149,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             keys = prints.view(np.uint8).reshape(len(n), 16)
             yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), b.column("text")], names=["v", "text"])
 
-    return docs.select("id", "text").mapInArrow(run, "v binary, text string").join(wanted, "v", "left_semi").groupBy("v").agg(F.any_value("text").alias("text"))
+    return docs.select("id", "text").mapInArrow(run, "v binary, text string").join(wanted.hint("merge"), "v", "left_semi").groupBy("v").agg(F.any_value("text").alias("text"))
 
 
 def _verify(edges: DataFrame, texts: DataFrame, width: int, similarity: float, differences: bool) -> DataFrame:
@@ -170,31 +171,83 @@ def _verify(edges: DataFrame, texts: DataFrame, width: int, similarity: float, d
     return rows.mapInArrow(run, "a binary, b binary, linked boolean" + (", n_b long, only_a array<long>, only_b array<long>" if differences else ""))
 
 
-def _second_candidates(star: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members of one leader, at least one of them not linked to it, that may still be linked.
+def _near(i: list, j: list, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows (one of i, one of j) whose sequences are near enough by their differences from the same leader.
 
-    With only_a = E, only_b = M and n_b = n of the leader: linked means |E| + |M| <= (n + n_m) r, r = (1 - s) / (1 + s), which is
-    slack = (1 + r) |M| + (1 - r) |E| - 2 r n <= 0. A link of m and m' with slack' > 0 needs more than
-    ((1 + r) |M| + (1 - r) |E|) / 2 common differences; any link needs slack / (1 + r) of them.
+    A row is (key, linked, length, differences). The symmetric difference of two rows' differences is how far they are apart.
+    Common differences are counted for all pairs at once, a bounded number of different ones at a time.
+    """
+    flat = [np.array(r[3], np.int64) for r in (*i, *j)]
+    owner = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
+    value, number, times = np.unique(np.concatenate(flat) if flat else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    often = times > 1
+    column = np.cumsum(often) - 1
+    keep = often[number]
+    owner, place = owner[keep], column[number[keep]]
+    common = np.zeros((len(i), len(j)), np.float32)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for start in range(0, int(often.sum()), 4096):
+        here = slice(*np.searchsorted(place, [start, start + 4096]))
+        m = np.zeros((len(flat), 4096), np.float32)
+        m[owner[here], place[here] - start] = 1
+        common += m[: len(i)] @ m[len(i) :].T
+    size, length = np.array([len(x) for x in flat]), np.array([r[2] for r in (*i, *j)])
+    apart = size[: len(i), None] + size[None, len(i) :] - 2 * common
+    most = np.floor((length[: len(i), None] + length[None, len(i) :]) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    linked = np.array([r[1] for r in (*i, *j)], bool)
+    open_ = ~(linked[: len(i), None] & linked[None, len(i) :])
+    return list(zip(*(x.tolist() for x in np.nonzero((apart <= most) & open_)), strict=True))
+
+
+def _forest(pairs: list[tuple[int, int]], linked: list[bool], n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs; rows that are linked to the leader are one tree from the start."""
+    up = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    whole = [k for k in range(n) if linked[k]]
+    for k in whole[1:]:
+        up[k] = whole[0]
+    out = []
+    for x, y in pairs:
+        if (p := top(x)) != (q := top(y)):
+            up[p] = q
+            out.append((x, y))
+    return out
+
+
+def _second_candidates(star: DataFrame, similarity: float, every: bool = False, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of members of one leader that may be linked, where not both are linked to it.
+
+    Members are known by their differences from the leader, so blocks of a bounded number of members are compared without
+    texts and without a row for each pair: a block pair gives a spanning forest of its near pairs, or all of them.
     """
-    r = (1 - similarity) / (1 + similarity)
     failing = star.where(~F.col("linked")).select(F.col("b").alias("_l")).distinct()
     d = star.join(failing, F.col("b") == F.col("_l"), "left_semi")
-    m, e = F.size("only_b"), F.size("only_a")
-    load = (1 + r) * m + (1 - r) * e
-    slack = load - 2 * r * F.col("n_b")
-    d = d.select("a", "b", "linked", (slack <= 0).alias("moved"), (m + e).alias("size"), (m + e - F.floor(load / 2 - 1e-6)).alias("strict"), (m + e - F.greatest(F.lit(1), F.ceil(slack / (1 + r) - 1e-6)) + 1).alias("loose"), F.concat("only_a", "only_b").alias("x"))
-    # A member as near as a link but in another order may share no difference with its like; it meets them under a mark of its own.
-    mark = F.when(~F.col("linked") & F.col("moved"), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    x = d.select("a", "b", "linked", "moved", "strict", "loose", F.explode(F.concat("x", mark)).alias("x"))
-    often = x.groupBy("b", "x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")  # what one member alone has joins nothing, but holds a place among the rarest
-    x = x.join(often, ["b", "x"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "x")) - 1).where("f > 1")
-    strict = (F.col("rank") < F.col("strict")) | F.col("moved")
-    left = x.where(~F.col("linked") & ((F.col("rank") < F.greatest("loose", "strict")) | F.col("moved"))).select(F.col("a").alias("a1"), "b", "x", strict.alias("near"))
-    right = x.where(strict).select(F.col("a").alias("a2"), "b", "x", "linked")
-    pairs = left.join(right, ["b", "x"]).where((F.col("a1") != F.col("a2")) & (F.col("linked") | F.col("near")))
-    return pairs.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
+    d = d.select("a", "b", "linked", (F.col("n_b") - F.size("only_b") + F.size("only_a")).alias("n"), F.concat("only_a", "only_b").alias("x"))
+    d = d.join(d.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k")), "b").where("k > 0")
+    d = d.withColumn("at", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
+    left = d.withColumn("j", F.explode(F.sequence("at", F.col("k") - 1))).select("b", F.col("at").alias("i"), "j", "a", "linked", "n", "x")
+    right = d.withColumn("i", F.explode(F.sequence(F.lit(0), "at"))).select(*[F.col(c).alias(f"r_{n}") for c, n in (("b", "b"), ("i", "i"), ("at", "j"), ("a", "a"), ("linked", "linked"), ("n", "n"), ("x", "x"))])
+
+    def pairs(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        i, j = (list(zip(t[s + "a"], t[s + "linked"], t[s + "n"], t[s + "x"], strict=True)) for t, s in ((p, ""), (q, "r_")))
+        same = bool(len(p)) and bool(len(q)) and p["i"].iloc[0] == p["j"].iloc[0]
+        where = {r[0]: k for k, r in enumerate(i)}
+        # In a block against itself both sides are the same rows, in whatever order.
+        names = [*(r[0] for r in i), *(r[0] for r in j if not same)]
+        side = [where[r[0]] for r in j] if same else [len(i) + k for k in range(len(j))]
+        flags = [bool(r[1]) for r in i] + ([] if same else [bool(r[1]) for r in j])
+        near = [(x, side[y]) for x, y in _near(i, j, similarity) if not same or x < side[y]] if len(i) and len(j) else []
+        got = near if every else _forest(near, flags, len(names))
+        return pd.DataFrame([(min(names[x], names[y]), max(names[x], names[y])) for x, y in got], columns=["a", "b"])
+
+    return left.groupBy("b", "i", "j").cogroup(right.groupBy("r_b", "r_i", "r_j")).applyInPandas(pairs, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,9 +278,14 @@ def _rooted(docs: DataFrame, width: int, bands: int, keep: int, similarity: floa
     edges = cut(shared.join(lead, ["band", "value"]).where("v <> b").select(F.col("v").alias("a"), "b").distinct(), "edges")
     texts = cut(_texts(docs, edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct(), width), "texts")
     star = cut(_verify(edges, texts, width, similarity, True), "star")
-    more = cut(_second_candidates(star, similarity), "more")
-    more = more.join(edges, ["a", "b"], "left_anti").join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    links = star.where("linked").select("a", "b").union(_verify(more, texts, width, similarity, False).where("linked").select("a", "b"))
+    links = star.where("linked").select("a", "b")
+    more = cut(_verify(_second_candidates(star, similarity), texts, width, similarity, False), "more")
+    links = links.union(more.where("linked").select("a", "b"))
+    # Where alignment refuses a near pair, its blocks' other near pairs may link what the forest left to it: there all are aligned.
+    refused = more.where(~F.col("linked")).select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    if not refused.isEmpty():
+        again = star.join(star.join(refused, "a", "left_semi").select("b").distinct(), "b", "left_semi")
+        links = links.union(_verify(_second_candidates(again, similarity, every=True), texts, width, similarity, False).where("linked").select("a", "b"))
     root = components(links)
     return rows.select("id", "v").join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
 
