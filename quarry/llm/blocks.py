@@ -72,13 +72,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(h), np.searchsorted(offsets, starts, side="right") - 1
 
 
+def run_sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the values, each weighted by its place, and what takes the place out of a difference of two."""
+    power, inverse = _power(1, len(h) + 1)
+    with np.errstate(over="ignore"):
+        return np.r_[np.uint64(0), np.cumsum(h * power[: len(h)])], inverse
+
+
 def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """The hash of each run of n values; len(h) - n + 1 of them."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    power, inverse = _power(1, len(h) + 1)
+    sums, inverse = run_sums(h)
     with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(h * power[: len(h)])]
         return mix((sums[n:] - sums[:-n]) * inverse[: len(h) - n + 1])
 
 

@@ -21,6 +21,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -89,17 +90,21 @@ class Lattices:
 
     def words(self, chunks: list[str]) -> np.ndarray:
         """The numbers of the chunks' words, new ones added."""
-        new = set(chunks) - self.number.keys()
-        if new and self.n_nodes + sum(map(len, new)) > self.most_nodes:
+        known = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(known < 0)
+        if not len(missing):
+            return known
+        new = {chunks[i] for i in missing.tolist()}
+        if self.n_nodes + sum(map(len, new)) > self.most_nodes:
             self.clear()
-            new = set(chunks)
-        if new:
-            new = sorted(new, key=len)
-            long = next((i for i, w in enumerate(new) if len(w) > 64), len(new))
-            for some in (new[:long], new[long:]):
-                if some:
-                    self._add(some)
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+            new, missing = set(chunks), np.arange(len(chunks))
+        new = sorted(new, key=len)
+        long = next((i for i, w in enumerate(new) if len(w) > 64), len(new))
+        for some in (new[:long], new[long:]):
+            if some:
+                self._add(some)
+        known[missing] = [self.number[chunks[i]] for i in missing.tolist()]
+        return known
 
     def _add(self, words: list[str]) -> None:
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -110,9 +115,11 @@ class Lattices:
         found = np.full((nodes, self.longest), -1, np.int32)
         mixed = B.mix(points.astype(np.uint64) + np.uint64(77))
         live = np.arange(nodes)
+        sums, inverse = B.run_sums(mixed)
         for n in range(1, self.longest + 1):
             live = live[room[live] >= n]
-            h = B.run_hashes(mixed, n)[live] if len(live) else np.zeros(0, np.uint64)
+            with np.errstate(over="ignore"):
+                h = B.mix((sums[live + n] - sums[live]) * inverse[live])
             got = np.full(len(live), -1, np.int32)
             rest = np.arange(len(live))
             for k, (keys, ids) in enumerate(self.tables):
