@@ -39,7 +39,7 @@ _models: dict = {}
 class Lattices:
     """Word lattices of a vocabulary: for each node its edges, ascending by length, with conditional probabilities."""
 
-    def __init__(self, model: str, most_nodes: int = 3_000_000) -> None:
+    def __init__(self, model: str, most_nodes: int = 2_000_000) -> None:
         import public_tokenizers
         import sentencepiece
 
@@ -77,7 +77,7 @@ class Lattices:
         self.number: dict[str, int] = {}
         self.start, self.size, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.first = np.zeros(1, np.int64)
-        self.step, self.piece, self.cum, self.prob = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.step, self.piece, self.cum, self.prob = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
         self.n_nodes = self.n_edges = 0
 
     def grow(self, name: str, at: int, new: np.ndarray) -> None:

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import blocks as B
+
 SYMBOLS, GAP, ORDER, DECAY, LONGEST = 32, 255, 3, 0.5, 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Characters written for the letters they look like.
@@ -270,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: object = None, per_class: i
 _seen: dict = {}
 
 
-def highest(texts: list[str | None], model: dict, remember: int = 1_000_000) -> np.ndarray:
+def highest(texts: list[str | None], model: dict, remember: int = 300_000) -> np.ndarray:
     """The highest margin of each text's units, LEAST at least."""
     key = (model["bias"], model["a"], model["b"], float(model["weights"].sum()))
     if _seen.get("key") != key or len(_seen["value"]) > remember:
@@ -301,7 +303,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for b in batches:
+        for b in (part for batch in batches for part in B.slices(batch, ["text"])):
             z = highest(b.column("text").to_pylist(), model)
             p = 1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p)], names=["id", "score"])
@@ -318,7 +320,7 @@ def reject(docs: DataFrame, model: dict | None, threshold: float = 0.5, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for b in batches:
+        for b in (part for batch in batches for part in B.slices(batch, [text_col])):
             z = highest(b.column(text_col).to_pylist(), model)
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30))) < threshold))
 
