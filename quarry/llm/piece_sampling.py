@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quarry.llm import blocks as B
 
 MARK, HELD = "▁", "\ud800"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 MOST_NOISE = 37.0  # a Gumbel value made from 53 random bits is not larger
 _models: dict = {}
 
@@ -39,7 +39,7 @@ _models: dict = {}
 class Lattices:
     """Word lattices of a vocabulary: for each node its edges, ascending by length, with conditional probabilities."""
 
-    def __init__(self, model: str, most_nodes: int = 2_000_000) -> None:
+    def __init__(self, model: str, most_nodes: int = 4_000_000) -> None:
         import public_tokenizers
         import sentencepiece
 
@@ -77,7 +77,7 @@ class Lattices:
         self.number: dict[str, int] = {}
         self.start, self.size, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.first = np.zeros(1, np.int64)
-        self.step, self.piece, self.cum, self.prob = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+        self.step, self.piece, self.cum, self.prob = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0)
         self.n_nodes = self.n_edges = 0
 
     def grow(self, name: str, at: int, new: np.ndarray) -> None:
@@ -89,13 +89,13 @@ class Lattices:
         old[at : at + len(new)] = new
 
     def words(self, chunks: list[str]) -> np.ndarray:
-        """The numbers of the chunks' words, new ones added."""
+        """The numbers of the words, which are written without the mark before them; new ones are added."""
         known = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(known < 0)
         if not len(missing):
             return known
         new = {chunks[i] for i in missing.tolist()}
-        if self.n_nodes + sum(map(len, new)) > self.most_nodes:
+        if self.n_nodes + sum(map(len, new)) + len(new) > self.most_nodes:
             self.clear()
             new, missing = set(chunks), np.arange(len(chunks))
         new = sorted(new, key=len)
@@ -107,8 +107,8 @@ class Lattices:
         return known
 
     def _add(self, words: list[str]) -> None:
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         end = np.cumsum(size)
         begin, nodes = end - size, len(points)
         room = np.repeat(end, size) - np.arange(nodes)
@@ -144,7 +144,7 @@ class Lattices:
         to = node_of + step + 1
         to = np.where(to == np.repeat(end, size)[node_of], nodes, to)
         # Suffix sums, all words at once, by distance from the word's end; each character is scaled so that short words stay in range.
-        short = size[-1] <= 64
+        short = size[-1] <= 65
         scale = 3.0 * (step + 1) if short else 0.0
         v = np.exp(w + scale) if short else w
         beta = np.full(nodes + 1, 1.0 if short else 0.0)
@@ -176,8 +176,10 @@ class Lattices:
 
     def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a path from each node to its end: (edges in order, edges of each). key and place seed the draws."""
+        # Equal words are walked side by side, so that their lattices are read together.
+        order = np.argsort(node, kind="stable")
+        node, end, key, place = node[order], end[order], key[order], place[order]
         live, begin, drawn = np.flatnonzero(node < end), node.copy(), []
-        node = node.copy()
         while len(live):
             at = node[live]
             u = uniform(key[live], place[live] + (at - begin[live]))
@@ -191,11 +193,11 @@ class Lattices:
             live = live[node[live] < end[live]]
         count = np.zeros(len(begin), np.int64)
         for who, _ in drawn:
-            count[who] += 1
+            count[order[who]] += 1
         first = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
         for k, (who, e) in enumerate(drawn):
-            out[first[who] + k] = e
+            out[first[order[who]] + k] = e
         return out, count
 
     def ids(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +312,12 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattice
     """For each text its samples: (ids, log-probability, perturbed value, log inclusion probability)."""
     chunks, count = [], []
     for t in texts:
-        c = CHUNK.findall(MARK + (t.replace(MARK, HELD) if MARK in t else t).replace(" ", MARK)) if t else []
+        if not t:
+            c = []
+        elif "  " in t or MARK in t or t[0] == " " or t[-1] == " ":
+            c = [x[1:] for x in CHUNK.findall(MARK + t.replace(MARK, HELD).replace(" ", MARK))]
+        else:
+            c = t.split(" ")
         chunks += c
         count.append(len(c))
     word = lat.words(chunks)
