@@ -150,7 +150,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 16, r
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     rows = rows.where(F.size("v") == dims["n"])
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
+    # A share of the hash range about twice as large as needed is sorted, so little comes to the driver at any size.
+    share = max(1, min(1 << 30, (2 * sample_rows << 30) // dims["count"]))
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
     sample = np.unique(np.array(chosen["v"].tolist()), axis=0)
     while parts > 1 and len(sample) < 8 * parts:
         parts //= 2

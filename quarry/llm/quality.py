@@ -85,7 +85,9 @@ def _covered(hashes: Column, window: int) -> Column:
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[Rule, float, float]]:
     """(rule, seconds, rejected share) on the sample, by rejections per cost. The sample orders the rules and decides nothing else."""
-    d = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).limit(sample_rows)
+    # collect() of a limit reads as few partitions as it needs; a limit inside a plan would start in all of them.
+    some = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).limit(sample_rows).collect()
+    d = docs.sparkSession.createDataFrame(some, "text string")
     d = d.withColumn("n", F.size(F.filter(F.split("text", SPACE), lambda w: w != ""))).cache()
     try:
         rows = d.count() or 1

@@ -246,13 +246,17 @@ LEAST = -3.0
 def train(docs: DataFrame, labels: DataFrame, learn: object = None, per_class: int = 1500, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
     """The model, or None without labels of both classes. learn: of the id column, the rows that may be learnt from."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    known = known.groupBy("id").agg(F.max("y").alias("y"))
+    known = known.groupBy("id").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
     if learn is not None:
         known = known.where(learn(F.col("id")))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, max_chars))
     rows = d.join(known, "id")
-    # Only the ids are sorted; then the texts of at most 2 * per_class rows come to the driver.
-    chosen = [r["id"] for y in (0, 1) for r in rows.where(F.col("y") == y).select("id").orderBy(F.crc32(F.col("id").cast("string")), "id").limit(per_class).collect()]
+    # Only ids are sorted, of a share of the checksum's range that holds about four times what is wanted; then the texts of
+    # at most 2 * per_class rows come to the driver.
+    place, chosen = F.crc32(F.col("id").cast("string")), []
+    for y, n in ((r["y"], r["count"]) for r in rows.groupBy("y").count().collect()):
+        share = max(1, min(1 << 32, (4 * per_class << 32) // n))
+        chosen += [r["id"] for r in rows.where((F.col("y") == y) & (place < share)).select("id").orderBy(place, "id").limit(per_class).collect()]
     got = sorted((r["id"], r["y"], r["text"]) for r in d.where(F.col("id").isin(chosen)).join(known, "id").collect()) if chosen else []
     if len({y for _, y, _ in got}) < 2:
         return None
