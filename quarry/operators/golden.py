@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators.numbering import numbered
 
 
 def keywords(text: Column, k: int = 4) -> Column:
@@ -39,8 +40,8 @@ def auto_bootstrap(chunks: DataFrame, per_page: int = 2) -> DataFrame:
     parts = parts.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).where(F.col("n") <= max(0, per_page - 1))
     about = whole.select("page_id", "first", F.lit(0).alias("n"), F.format_string("What information does the '%s' page provide?", "title").alias("question"), keywords(F.col("title")).alias("answer_keywords"))
     some = parts.join(whole, "page_id").select("page_id", "first", "n", F.format_string("What does the '%s' section of '%s' cover?", "section", "title").alias("question"), keywords(F.concat_ws(" ", "section", "title")).alias("answer_keywords"))
-    number = F.row_number().over(Window.orderBy("first", "n"))  # a few questions for each page; ids are one sequence by definition
-    return about.unionByName(some).select(F.format_string("auto%03d", number).alias("id"), "question", F.array("page_id").alias("relevant_page_ids"), "answer_keywords", F.lit("auto").alias("tag"))
+    d = numbered(about.unionByName(some), ["first", "n"], "number", 1)
+    return d.select(F.format_string("auto%03d", "number").alias("id"), "question", F.array("page_id").alias("relevant_page_ids"), "answer_keywords", F.lit("auto").alias("tag"))
 
 
 def llm_bootstrap(chunks: DataFrame, generator: Callable[[str], str] | None, per_page: int = 2, most_chars: int = 4000) -> DataFrame:
@@ -69,8 +70,7 @@ def llm_bootstrap(chunks: DataFrame, generator: Callable[[str], str] | None, per
         return spark.createDataFrame([], "id string, question string, relevant_page_ids array<string>, answer_keywords array<string>, tag string")
     d = pages(chunks).withColumn("text", F.substring("text", 1, most_chars))
     got = d.mapInPandas(ask, kind).join(d.select("page_id", "first"), "page_id").select("page_id", "first", F.posexplode("items").alias("n", "item")).where("item.question <> ''")
-    number = F.row_number().over(Window.orderBy("first", "n"))
-    return got.select(F.format_string("llm%03d", number).alias("id"), "item.question", F.array("page_id").alias("relevant_page_ids"), "item.answer_keywords", F.lit("llm").alias("tag"))
+    return numbered(got, ["first", "n"], "number", 1).select(F.format_string("llm%03d", "number").alias("id"), "item.question", F.array("page_id").alias("relevant_page_ids"), "item.answer_keywords", F.lit("llm").alias("tag"))
 
 
 def question_key(question: Column, page_ids: Column) -> list[Column]:
@@ -99,5 +99,5 @@ def from_ask(golden: DataFrame, asked: DataFrame) -> DataFrame:
     d = asked.withColumn("_q", F.lower(F.btrim("question"))).where("_q <> ''").join(have, ["_q", "page_id"], "left_anti")
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_q", "page_id").orderBy("pos"))).where("_n = 1")
     start = golden.agg(F.count(F.lit(1)).alias("start"))
-    number = (F.row_number().over(Window.orderBy("pos")) + F.col("start")).cast("int")
-    return d.join(start).select(F.format_string("ask%03d", number).alias("id"), "question", F.array("page_id").alias("relevant_page_ids"), keywords(F.col("question")).alias("answer_keywords"), F.lit("from_ask").alias("tag"))
+    number = F.col("number") + F.col("start")
+    return numbered(d, ["pos"], "number", 1).join(start).select(F.format_string("ask%03d", number).alias("id"), "question", F.array("page_id").alias("relevant_page_ids"), keywords(F.col("question")).alias("answer_keywords"), F.lit("from_ask").alias("tag"))
