@@ -41,10 +41,16 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(29))
+    """Spreads each value over 64 bits; a bijection. One array is kept for steps in between."""
+    out = h >> np.uint64(29)
+    out ^= h
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    part = out >> np.uint64(32)
+    out ^= part
+    out *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(out, np.uint64(29), out=part)
+    out ^= part
+    return out
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -177,7 +177,7 @@ class Lattices:
     def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a path from each node to its end: (edges in order, edges of each). key and place seed the draws."""
         # Equal words are walked side by side, so that their lattices are read together.
-        order = np.argsort(node, kind="stable")
+        order = np.argsort(node)
         node, end, key, place = node[order], end[order], key[order], place[order]
         live, begin, drawn = np.flatnonzero(node < end), node.copy(), []
         while len(live):
@@ -217,7 +217,11 @@ def uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     """In (0, 1), from 53 bits of a hash."""
     with np.errstate(over="ignore"):
         h = B.mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    h >>= np.uint64(11)
+    u = h.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def lattices(model: str = "piece_bpe_32k.model") -> Lattices:
