@@ -227,10 +227,9 @@ def _second_candidates(star: DataFrame, similarity: float, every: bool = False,
     Members are known by their differences from the leader, so blocks of a bounded number of members are compared without
     texts and without a row for each pair: a block pair gives a spanning forest of its near pairs, or all of them.
     """
-    failing = star.where(~F.col("linked")).select(F.col("b").alias("_l")).distinct()
-    d = star.join(failing, F.col("b") == F.col("_l"), "left_semi")
-    d = d.select("a", "b", "linked", (F.col("n_b") - F.size("only_b") + F.size("only_a")).alias("n"), F.concat("only_a", "only_b").alias("x"))
-    d = d.join(d.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k")), "b").where("k > 0")
+    # Counted from the table itself, so that the join below can be split where a leader has very many members.
+    groups = star.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"), F.count_if(~F.col("linked")).alias("f")).where("f > 0").select("b", "k")
+    d = star.select("a", "b", "linked", (F.col("n_b") - F.size("only_b") + F.size("only_a")).alias("n"), F.concat("only_a", "only_b").alias("x")).join(groups, "b")
     d = d.withColumn("at", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
     left = d.withColumn("j", F.explode(F.sequence("at", F.col("k") - 1))).select("b", F.col("at").alias("i"), "j", "a", "linked", "n", "x")
     right = d.withColumn("i", F.explode(F.sequence(F.lit(0), "at"))).select(*[F.col(c).alias(f"r_{n}") for c, n in (("b", "b"), ("i", "i"), ("at", "j"), ("a", "a"), ("linked", "linked"), ("n", "n"), ("x", "x"))])
