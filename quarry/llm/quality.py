@@ -61,7 +61,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     d = d.withColumn("_words", F.filter(F.split("text", SPACE), lambda w: w != ""))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
     starts = F.sequence(F.lit(1), F.col("n_words").cast("int") - F.lit(window - 1))
-    hashes = F.when(F.col("n_words") >= window, F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, window)))).otherwise(F.array().cast("array<bigint>"))
+    d = d.withColumn("_each", F.transform("_words", lambda w: F.xxhash64(w)))
+    hashes = F.when(F.col("n_words") >= window, F.transform(starts, lambda i: F.xxhash64(F.slice("_each", i, window)))).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumn("_hashes", hashes)
     d = d.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     return d.select(
