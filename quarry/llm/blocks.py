@@ -7,8 +7,9 @@ words come from prefix sums over the block's bytes, without a Python object for
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,11 +138,31 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([others] if whole_rows else []))
     name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = d.mapInArrow(gather, _schema(d, whole_rows))
+    out = d.mapInArrow(frugal(gather), _schema(d, whole_rows))
     out.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block_id").saveAsTable(name)
     return spark.table(name)
 
 
+def frugal(run: Callable) -> Callable:
+    """run for mapInArrow, after which a worker that waits for its next task gives free memory back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library frees memory by its own rules
+        pass
+
+
 def slices(batch: pa.RecordBatch, columns: list[str], most_bytes: int = BLOCK_BYTES // 2) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch whose texts take most_bytes at most, or single rows."""
     size = np.zeros(batch.num_rows + 1, np.int64)

@@ -137,7 +137,7 @@ def _sketches(docs: DataFrame, width: int, bands: int, keep: int) -> DataFrame:
             keys = prints.view(np.uint8).reshape(len(n), 16)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(n), pa.array(rows, pa.list_(pa.int64()))], names=["id", "v", "n", "bands"])
 
-    return docs.mapInArrow(run, "id long, v binary, n long, bands array<long>")
+    return docs.mapInArrow(B.frugal(run), "id long, v binary, n long, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             keys = prints.view(np.uint8).reshape(len(n), 16)
             yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), b.column("text")], names=["v", "text"])
 
-    return docs.select("id", "text").mapInArrow(run, "v binary, text string").join(wanted.hint("merge"), "v", "left_semi").groupBy("v").agg(F.any_value("text").alias("text"))
+    return docs.select("id", "text").mapInArrow(B.frugal(run), "v binary, text string").join(wanted.hint("merge"), "v", "left_semi").groupBy("v").agg(F.any_value("text").alias("text"))
 
 
 def _verify(edges: DataFrame, texts: DataFrame, width: int, similarity: float, differences: bool) -> DataFrame:
@@ -168,7 +168,7 @@ def _verify(edges: DataFrame, texts: DataFrame, width: int, similarity: float, d
 
     t = lambda side: texts.select(F.col("v").alias(side), F.col("text").alias("t" + side))
     rows = edges.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(run, "a binary, b binary, linked boolean" + (", n_b long, only_a array<long>, only_b array<long>" if differences else ""))
+    return rows.mapInArrow(B.frugal(run), "a binary, b binary, linked boolean" + (", n_b long, only_a array<long>, only_b array<long>" if differences else ""))
 
 
 def _near(i: list, j: list, similarity: float) -> list[tuple[int, int]]:
@@ -309,5 +309,5 @@ def reject(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, keep: int =
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([k.tobytes() for k in keys], pa.binary()), b.column("row")], names=["id", "v", "row"])
 
     best = best.select(F.col("m.id").alias("best"), F.col("m.v").alias("v"))
-    rows = d.mapInArrow(run, kind).join(best, "v").where(F.col("id").eqNullSafe(F.col("best")))
+    rows = d.mapInArrow(B.frugal(run), kind).join(best, "v").where(F.col("id").eqNullSafe(F.col("best")))
     return rows.groupBy("v").agg(F.first("row").alias("row")).select("row.*")

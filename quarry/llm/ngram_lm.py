@@ -156,7 +156,7 @@ def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_ro
                         rows.append((kind, int(k), block, B.squeeze_sorted(value[s]), B.squeeze(np.ascontiguousarray(counts[s].T).ravel())))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "block_id", "keys", "counts"])
 
-    sent = table.select("block_id", "texts", "ids", "roles").mapInArrow(ask, "kind int, bucket int, block_id long, keys binary, counts binary")
+    sent = table.select("block_id", "texts", "ids", "roles").mapInArrow(B.frugal(ask), "kind int, bucket int, block_id long, keys binary, counts binary")
     told = cut(sent.groupBy("kind", "bucket").applyInPandas(add_up, "block_id long, kind int, bucket int, counts binary, v_main long, v_all long, n_main long, n_all long"), "counts")
     sums = told.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v_main", "v_all", "n_main", "n_all")]).first().asDict()
     both = table.join(told.groupBy("block_id").agg(F.collect_list(F.struct("kind", "bucket", "counts")).alias("answers")), "block_id").select("ids", "texts", "roles", "answers")
@@ -183,7 +183,7 @@ def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_ro
                 cell, n = np.unique((frequency_bucket(around[on]) * 1000 + step(f2[on])) * 1000 + step(f1[on]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell // 1_000_000), pa.array(cell // 1000 % 1000), pa.array(cell % 1000), pa.array(n)], names=["b", "q2", "q1", "n"])
 
-    cells = both.mapInArrow(histogram, "b long, q2 long, q1 long, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).collect()
+    cells = both.mapInArrow(B.frugal(histogram), "b long, q2 long, q1 long, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([tuple(r) for r in cells], sums["v_main"])
     lambdas = np.array([weights.get(k, weights[-1]) for k in range(64)])
     n, v = sums["n_all"], sums["v_all"]
@@ -200,4 +200,4 @@ def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_ro
                 add = lambda x: np.bincount(doc, x, minlength=len(ids))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.bincount(doc, minlength=len(ids))), pa.array(np.bincount(doc[one > 0], minlength=len(ids))), pa.array(np.full(len(ids), n)), pa.array(add(base)), pa.array(add(np.log10(p)))], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return both.mapInArrow(give, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.mapInArrow(B.frugal(give), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, id_c
             out = {"id": b.column("id").take(pa.array(at)), "piece": pa.array(k.astype("i4")), "start": pa.array(s), "length": pa.array(n), "ids_crc32": pa.array(crc)}
             yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(parts, pa.list_(pa.int32()))} if keep_ids else {}))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES + (", ids array<int>" if keep_ids else ""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(B.frugal(run), _PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -164,4 +164,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, id_col
             b = b.drop_columns(["salt", "rank"])
             yield b.append_column("sequence_id", pa.array(p[:, 3] + at // p[:, 4])).append_column("offset", pa.array(p[:, 5] + at % p[:, 4] * length))
 
-    return ranked.mapInArrow(place, _PIECES + (", ids array<int>" if keep_ids else "") + ", sequence_id long, offset long")
+    return ranked.mapInArrow(B.frugal(place), _PIECES + (", ids array<int>" if keep_ids else "") + ", sequence_id long, offset long")

@@ -75,6 +75,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.hits = np.zeros(0, np.int64)
         self.start, self.size, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.first = np.zeros(1, np.int64)
         self.step, self.piece, self.cum, self.prob = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0)
@@ -93,19 +94,40 @@ class Lattices:
         known = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(known < 0)
         if not len(missing):
+            self.hits += np.bincount(known, minlength=len(self.hits))
             return known
         new = {chunks[i] for i in missing.tolist()}
         if self.n_nodes + sum(map(len, new)) + len(new) > self.most_nodes:
-            self.clear()
-            new, missing = set(chunks), np.arange(len(chunks))
+            self.forget()
+            known = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+            missing = np.flatnonzero(known < 0)
+            new = {chunks[i] for i in missing.tolist()}
         new = sorted(new, key=len)
         long = next((i for i, w in enumerate(new) if len(w) > 64), len(new))
         for some in (new[:long], new[long:]):
             if some:
                 self._add(some)
         known[missing] = [self.number[chunks[i]] for i in missing.tolist()]
+        self.hits = np.r_[self.hits, np.zeros(len(self.number) - len(self.hits), np.int64)]
+        self.hits += np.bincount(known, minlength=len(self.hits))
         return known
 
+    def forget(self) -> None:
+        """Keeps the words met most often, in half of the room. What is drawn does not depend on what is kept."""
+        order = np.argsort(-self.hits, kind="stable")
+        order = order[self.hits[order] > 1]
+        keep = np.sort(order[np.cumsum(self.size[order]) <= self.most_nodes // 2])
+        size, start = self.size[keep], self.start[keep]
+        node = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        count = self.first[node + 1] - self.first[node]
+        edge = np.repeat(self.first[node] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        names = np.array(list(self.number), dtype=object)[keep].tolist()
+        self.number = dict(zip(names, range(len(names)), strict=True))
+        self.hits, self.total, self.size, self.start = self.hits[keep] // 2, self.total[keep], size, np.cumsum(size) - size
+        self.first = np.r_[0, np.cumsum(count)]
+        self.step, self.piece, self.cum, self.prob = (x[edge] for x in (self.step, self.piece, self.cum, self.prob))
+        self.n_nodes, self.n_edges = len(node), len(edge)
+
     def _add(self, words: list[str]) -> None:
         points = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -415,7 +437,7 @@ def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_3
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     d = d.withColumn("key", F.xxhash64(F.lit(seed), "id"))
-    return d.mapInArrow(run, "id long, sample int, n_pieces int, ids_crc32 long, log_prob double, perturbed double, log_inclusion double" + (", ids array<int>" if keep_ids else ""))
+    return d.mapInArrow(B.frugal(run), "id long, sample int, n_pieces int, ids_crc32 long, log_prob double, perturbed double, log_inclusion double" + (", ids array<int>" if keep_ids else ""))
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "ids") -> DataFrame:

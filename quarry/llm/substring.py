@@ -83,7 +83,7 @@ def plan_groups(table: DataFrame, window: int, slots: int, leaf: int) -> list[np
         at = np.flatnonzero(sums.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], names=["at", "n"])
 
-    rows = table.select("ids", "texts").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > leaf).collect()
+    rows = table.select("ids", "texts").mapInArrow(B.frugal(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > leaf).collect()
     heavy = np.zeros(len(lengths) * slots, bool)
     heavy[[r["at"] for r in rows]] = True
     return list(heavy.reshape(len(lengths), slots))
@@ -131,7 +131,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
             at += len(k)
         return pd.DataFrame(rows, columns=["block_id", "group", "told", "low"])
 
-    told = table.mapInArrow(send, "group long, block_id long, keys binary, least binary").groupBy("group").applyInPandas(nodes, "block_id long, group long, told binary, low binary")
+    told = table.mapInArrow(B.frugal(send), "group long, block_id long, keys binary, least binary").groupBy("group").applyInPandas(nodes, "block_id long, group long, told binary, low binary")
     told = cut(told, "repeats").groupBy("block_id").agg(F.collect_list(F.struct("group", "told", "low")).alias("answers"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +165,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
     both = table.join(told, "block_id", "left").select("ids", "texts", "answers", *(["rows"] if whole_rows else []))
     kind = T.StructType().add("id", T.LongType()).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("text", T.StringType())
     if not whole_rows:
-        return both.mapInArrow(apply, kind)
-    d = both.mapInArrow(apply, kind.add("row", table.schema["rows"].dataType.elementType))
+        return both.mapInArrow(B.frugal(apply), kind)
+    d = both.mapInArrow(B.frugal(apply), kind.add("row", table.schema["rows"].dataType.elementType))
     return d.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

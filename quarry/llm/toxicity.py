@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p)], names=["id", "score"])
 
     kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(run, f"id {kind}, score double")
+    return d.mapInArrow(B.frugal(run), f"id {kind}, score double")
 
 
 def reject(docs: DataFrame, model: dict | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -328,4 +328,4 @@ def reject(docs: DataFrame, model: dict | None, threshold: float = 0.5, text_col
             z = highest(b.column(text_col).to_pylist(), model)
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(B.frugal(run), docs.schema)

@@ -62,3 +62,11 @@ def test_round_trip_distinct_and_falling(spark, odd_docs, no_docs):
     again = P.encode(odd_docs, k=3).drop("ids")
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, P.encode(odd_docs.repartition(5), k=3).drop("ids").collect()), key=str)
     assert P.encode(no_docs).count() == 0
+
+
+def test_what_is_kept_of_the_words_changes_no_sample(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    wide, narrow = P.Lattices("piece_bpe_32k.model"), P.Lattices("piece_bpe_32k.model", 3000)
+    for k, t in enumerate(texts):
+        a, b = (P.sample_texts([t], np.array([k], np.uint64), 3, lat)[0] for lat in (wide, narrow))
+        assert [(x[0].tolist(), x[1:]) for x in a] == [(y[0].tolist(), y[1:]) for y in b]
