@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.numbering import numbered
 from quarry.session import cut
 
 RECORD_BYTES = 16
@@ -66,12 +67,15 @@ def plan_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7, bucket_bytes
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: int = 7, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes whole records to path/shard=N in slot order and returns the plan that was followed."""
     plan = cut(plan_shards(docs, n_shards, seed, bucket_bytes, id_col, text_col), "shard-plan")
-    same = Window.partitionBy("_id", "_size", "_crc").orderBy(F.lit(1))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_col).alias("_id"), text_size(F.col(text_col)).alias("_size"), text_crc32(F.col(text_col)).alias("_crc"))
     once = plan.groupBy("id", "size", "text_crc32").agg(F.max("copy").alias("_n"))
     key = lambda p: (F.col("_id").eqNullSafe(p["id"])) & (F.col("_size") == p["size"]) & (F.col("_crc") == p["text_crc32"])
     single = rows.join(once.where("_n = 1"), key(once)).select("record", "_id", "_size", "_crc", F.lit(1).alias("_copy"))
-    several = rows.join(once.where("_n > 1"), key(once)).select("record", "_id", "_size", "_crc", F.row_number().over(same).alias("_copy"))
+    # Equal records take their copy numbers from ranges that also split within a key, so that many copies are many tasks.
+    copies = rows.join(once.where("_n > 1"), key(once)).select("record", "_id", "_size", "_crc", F.monotonically_increasing_id().alias("_salt"))
+    copies = cut(numbered(copies, ["_id", "_size", "_crc", "_salt"], "_at"), "shard-copies")
+    first = copies.groupBy(F.col("_id").alias("id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32")).agg(F.min("_at").alias("_first"))
+    several = copies.join(first, key(first)).select("record", "_id", "_size", "_crc", (F.col("_at") - F.col("_first") + 1).cast("int").alias("_copy"))
     out = single.unionByName(several).join(plan, key(plan) & (F.col("_copy") == plan["copy"])).select("shard", "slot", "record")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return plan
