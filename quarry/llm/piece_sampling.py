@@ -305,33 +305,52 @@ class Search:
         return parent, at, new, phi, value
 
 
-def add_paths(lat: Lattices, found: list[tuple[Search, float, np.ndarray, int, float]], width: int = 160) -> None:
-    """Takes finished segmentations in: (search, value, path, first new edge, log-probability before it)."""
+def add_paths(lat: Lattices, found: list[tuple[Search, float, np.ndarray, int, float]], widths: tuple[int, int] = (48, 512)) -> None:
+    """Takes finished segmentations in: (search, value, path, first new edge, log-probability before it).
+
+    Edges are looked at in windows. After the first window an agenda is mostly full, and an edge enters only if its noise lifts it over
+    the agenda's last value; that is ruled out for nearly all edges by 1 - u > mass / exp(last), without a logarithm.
+    """
     open_ = [(s, s.add(value, path), len(s.paths) - 1, value, path, begin, phi) for s, value, path, begin, phi in found]
     open_ = [x for x in open_ if x[5] < len(x[4])]
+    width = widths[0]
     while open_:
         size = np.array([min(width, len(path) - begin) for _, _, _, _, path, begin, _ in open_])
         shown = np.arange(width) < size[:, None]
         p = np.ones(shown.shape)
         p[shown] = np.minimum(lat.prob[np.concatenate([path[begin : begin + width] for _, _, _, _, path, begin, _ in open_])], 1.0)
-        phi0, value, begin = (np.array([x[k] for x in open_])[:, None] for k in (6, 3, 5))
+        phi0, value, begin = (np.array([x[k] for x in open_]) for k in (6, 3, 5))
+        last = np.array([s.agenda[-1][0] if len(s.agenda) == left else -np.inf for s, left, *_ in open_])
         salt = np.array([s.salt(sample, 1) for s, _, sample, *_ in open_], np.uint64)[:, None]
-        with np.errstate(divide="ignore"):
-            after = phi0 + np.cumsum(np.log(p), 1)
-            rest = np.log1p(-p) + np.c_[phi0, after[:, :-1]]
-        noise = -np.log(-np.log(uniform(salt, begin + np.arange(width))))
-        g = -np.logaddexp(-(rest + noise), -value)
-        most = min(max(x[1] for x in open_), width)
-        best = np.argpartition(-g, most - 1, axis=1)[:, :most]
-        top = np.take_along_axis(g, best, 1).tolist()
-        before = np.take_along_axis(np.c_[phi0, after], best, 1).tolist()
-        best, ends = best.tolist(), after[:, -1].tolist()
+        u = uniform(salt, begin[:, None] + np.arange(width))
+        after = np.cumprod(p, 1)
+        # Far below the numbers' range products say nothing; there every edge is looked at by logarithms.
+        with np.errstate(over="ignore", divide="ignore"):
+            limit = np.where(last - phi0 < -300, 0.0, np.exp(np.minimum(last - phi0, 700.0)))
+            ends = phi0 + (np.log(after[:, -1]) if (after[:, -1] > 1e-280).all() else np.log(p).sum(1))
+        mass = 1 - p
+        mass[:, 1:] *= after[:, :-1]
+        row, col = np.nonzero((mass >= (1 - u) * limit[:, None]) & (p < 1))
+        before = np.zeros(len(row))
+        inside = col > 0
+        prior = after[row[inside], col[inside] - 1]
+        if (prior > 1e-280).all():
+            before[inside] = np.log(prior)
+        else:
+            with np.errstate(divide="ignore"):
+                before[inside] = np.cumsum(np.log(p), 1)[row[inside], col[inside] - 1]
+        before += phi0[row]
+        g = -np.logaddexp(-(before + np.log1p(-p[row, col]) - np.log(-np.log(u[row, col]))), -value[row])
+        cut = np.searchsorted(row, np.arange(len(open_) + 1)).tolist()
         again = []
         for i, (s, left, sample, v, path, at, _) in enumerate(open_):
-            s.enter([(x, sample, at + j, f, (int(path[at + j]),)) for x, j, f in zip(top[i], best[i], before[i], strict=True) if x > -np.inf], left)
-            if at + width < len(path) and not s.settled(ends[i], left):
-                again.append((s, left, sample, v, path, at + width, ends[i]))
-        open_ = again
+            if cut[i] < cut[i + 1]:
+                part = slice(cut[i], cut[i + 1])
+                best = np.argpartition(-g[part], left - 1)[:left] + cut[i] if cut[i + 1] - cut[i] > left else range(cut[i], cut[i + 1])
+                s.enter([(float(g[j]), sample, at + int(col[j]), float(before[j]), (int(path[at + col[j]]),)) for j in best], left)
+            if at + width < len(path) and not s.settled(float(ends[i]), left):
+                again.append((s, left, sample, v, path, at + width, float(ends[i])))
+        open_, width = again, widths[1]
 
 
 def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattices) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -413,7 +432,7 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattice
     return out
 
 
-def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, batch_chars: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, batch_chars: int = 1 << 19) -> DataFrame:
     """id, sample (from 0), n_pieces, ids_crc32, log_prob, perturbed, log_inclusion and, if asked for, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
