@@ -163,7 +163,7 @@ def release() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, columns: list[str], most_bytes: int = BLOCK_BYTES // 2) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, columns: list[str], most_bytes: int = BLOCK_BYTES // 4) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch whose texts take most_bytes at most, or single rows."""
     size = np.zeros(batch.num_rows + 1, np.int64)
     for c in columns:
