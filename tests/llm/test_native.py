@@ -34,6 +34,17 @@ def test_written_shards_hold_every_record(spark, odd_docs, tmp_path):
     assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [5, 6, 6]
 
 
+def test_buckets_that_op9_deals_from_hold_every_record(spark, odd_docs, monkeypatch):
+    seen, cut = {}, H.cut
+    monkeypatch.setattr(H, "cut", lambda d, name: seen.setdefault(name, cut(d, name)))
+    big = odd_docs.unionByName(odd_docs)
+    plan = H.plan_shards(big, 3, bucket_bytes=4000).collect()
+    held = seen["shard-buckets"].select("_bucket", "_pos", "_record.*").orderBy("_bucket", "_pos").collect()
+    assert sorted(str(r[2:]) for r in held) == sorted(str(tuple(r)) for r in big.collect())
+    dealt = [(r["id"], r["text_crc32"]) for r in sorted(plan, key=lambda r: (r["slot"], r["shard"]))]
+    assert dealt == [(r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in held]
+
+
 def test_urls(spark):
     rules = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"))
     rows = [
