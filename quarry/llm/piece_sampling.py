@@ -17,6 +17,7 @@ is exact for every text; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -432,8 +434,12 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattice
     return out
 
 
-def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, batch_chars: int = 1 << 19) -> DataFrame:
-    """id, sample (from 0), n_pieces, ids_crc32, log_prob, perturbed, log_inclusion and, if asked for, ids."""
+def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, batch_chars: int = 1 << 19, digest: bool = False) -> DataFrame:
+    """id, sample (from 0), n_pieces, ids_crc32, log_prob, perturbed, log_inclusion and, if asked for, ids and decoded_sha256.
+
+    digest: decodes every segmentation in the same task and adds the digest of the decoded text.
+    """
+    extra = [("ids", "array<int>")] * keep_ids + [("decoded_sha256", "string")] * digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
@@ -449,27 +455,50 @@ def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_3
                 rows = [(i, j, len(x[0]), zlib.crc32(x[0].astype("<u4").tobytes()), *x[1:]) for i, r in enumerate(got) for j, x in enumerate(r)]
                 cols = [np.array(c) for c in zip(*rows, strict=True)]
                 arrays = [b.column("id").slice(at, end - at).take(pa.array(cols[0])), pa.array(cols[1].astype("i4")), pa.array(cols[2].astype("i4")), pa.array(cols[3].astype("i8")), *(pa.array(c.astype("f8")) for c in cols[4:])]
+                each = [x[0] for r in got for x in r]
+                ids, upto = np.concatenate(each).astype("i4"), np.r_[0, np.cumsum([len(x) for x in each])].astype("i4")
                 if keep_ids:
-                    arrays.append(pa.array([x[0].astype("i4") for r in got for x in r], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", "ids"][: len(arrays)])
+                    arrays.append(pa.ListArray.from_arrays(pa.array(upto), pa.array(ids)))
+                if digest:
+                    arrays.append(pa.array([hashlib.sha256(x).hexdigest() for x in spell(ids, upto, model)]))
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", *(n for n, _ in extra)])
                 at = end
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     d = d.withColumn("key", F.xxhash64(F.lit(seed), "id"))
-    return d.mapInArrow(B.frugal(run), "id long, sample int, n_pieces int, ids_crc32 long, log_prob double, perturbed double, log_inclusion double" + (", ids array<int>" if keep_ids else ""))
+    return d.mapInArrow(B.frugal(run), "id long, sample int, n_pieces int, ids_crc32 long, log_prob double, perturbed double, log_inclusion double" + "".join(f", {n} {kind}" for n, kind in extra))
+
+
+def spellings(model: str) -> pa.Array:
+    """The bytes of each vocabulary id, with a space for the mark; control ids spell nothing."""
+    if ("spellings", model) not in _models:
+        import public_tokenizers
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
+        spelt = [b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.get_piece_size())]
+        for byte in range(256):
+            spelt[sp.piece_to_id(f"<0x{byte:02X}>")] = bytes([byte])
+        _models["spellings", model] = pa.array(spelt, pa.binary())
+    return _models["spellings", model]
+
+
+def spell(ids: np.ndarray, upto: np.ndarray, model: str) -> Iterator[memoryview]:
+    """The text of each run of ids between the places upto, as UTF-8 without the space that encoding puts first."""
+    spelt = spellings(model).take(pa.array(ids, pa.int32()))
+    at = np.frombuffer(spelt.buffers()[1], "i4", len(spelt) + 1)[upto].tolist()
+    whole = memoryview(spelt.buffers()[2] or b"")
+    for begin, end in zip(at, at[1:], strict=False):
+        yield whole[begin + (begin < end and whole[begin] == 32) : end]
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded``, the text that the ids spell."""
 
     @F.pandas_udf("string")
-    def text(ids):
-        import public_tokenizers
-        import sentencepiece
-
-        if ("decoder", model) not in _models:
-            _models["decoder", model] = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
-        sp = _models["decoder", model]
-        return ids.map(lambda x: None if x is None else sp.decode([int(i) for i in x]))
+    def text(ids: pd.Series) -> pd.Series:
+        each = [np.zeros(0, "i4") if x is None else np.asarray(x, "i4") for x in ids]
+        spelt = spell(np.concatenate([np.zeros(0, "i4"), *each]), np.r_[0, np.cumsum([len(x) for x in each], dtype=np.int64)], model)
+        return pd.Series([None if x is None else str(t, "utf-8", "replace") for x, t in zip(ids, spelt, strict=True)], dtype=object)
 
     return encoded.withColumn("decoded", text(F.col(ids_col)))

@@ -31,7 +31,7 @@ def op2_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.encode(table(spark, sf_dir, "documents"), k=3, keep_ids=False).withColumnRenamed("id", "doc_id")
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), k=3, digest=True).withColumnRenamed("id", "doc_id")
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -64,6 +65,28 @@ def test_round_trip_distinct_and_falling(spark, odd_docs, no_docs):
     assert P.encode(no_docs).count() == 0
 
 
+def test_op3_gives_distinct_segmentations_and_decodes_each_of_all_documents(spark):
+    from quarry.llm.queries import op3_gumbel_segmentations
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = op3_gumbel_segmentations(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(texts) and len({(r["doc_id"], tuple(r["ids"])) for r in got}) == len(got)
+    for r in got:
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+        assert sp.decode(r["ids"]) == texts[r["doc_id"]] and len(r["ids"]) == r["n_pieces"]
+
+
+def test_decoding_odd_texts_in_the_same_task_is_exact(spark, odd_docs):
+    texts = ["", " ", "  x", "x  ", "   a   b  ", "\u2581", " \u2581\u2581 x", "\u2581 \u2581", "\n \t", "\x00", "\u00a0x", "\U0001f600  \ufffd", "<0x41> <unk> <s>"]
+    d = spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    want = {hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in d.collect()}
+    got = P.encode(d, k=3, digest=True).join(d.select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).distinct(), "id").collect()
+    assert {r["decoded_sha256"] for r in got} <= want and all(r["decoded_sha256"] == r["sha"] for r in got)
+    assert {r["decoded"] for r in P.decode(P.encode(d.where("doc_id >= 100"), k=3)).collect()} >= set(texts)
+
+
 def test_what_is_kept_of_the_words_changes_no_sample(spark):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     wide, narrow = P.Lattices("piece_bpe_32k.model"), P.Lattices("piece_bpe_32k.model", 3000)
