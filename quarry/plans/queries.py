@@ -31,6 +31,12 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(v, "vector_id")
 
 
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; one without a stored vector has none and is found by its words."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
+    return chunks(spark, sf_dir).join(v, "vector_id", "left")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 80).alias("question"), "text")
     return b.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid")
@@ -138,7 +144,9 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.answer(questions(spark, sf_dir), retrieved(spark, sf_dir)).select("qid", "answer", "answer_generated", "confidence", F.size(F.coalesce("citations", F.array())).alias("n_citations"))
+    q = questions(spark, sf_dir)
+    ranked = rerank.retrieve(all_chunks(spark, sf_dir), q.select("qid", "question", "embedding"), min_score=0.4)
+    return answer.answer(q, ranked).select("qid", "answer", "answer_generated", "confidence", F.size(F.coalesce("citations", F.array())).alias("n_citations"))
 
 
 def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
