@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import answer, catalog, dense, documents, embedding, evaluate, golden, hybrid, rerank, sparse, synthetic, validate
-from quarry.session import ready
+from quarry.session import cut, ready
 from quarry.sources import hierarchy, wiki
 
 ONE_QUESTION = "the thin edges of another winter"
@@ -144,8 +144,9 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = questions(spark, sf_dir)
-    ranked = rerank.retrieve(all_chunks(spark, sf_dir), q.select("qid", "question", "embedding"), min_score=0.4)
+    # The whole passage asks, not its beginning.
+    q = questions(spark, sf_dir).withColumn("question", F.col("text"))
+    ranked = cut(rerank.retrieve(all_chunks(spark, sf_dir), q.select("qid", "question", "embedding"), min_score=0.4), "ranked")
     return answer.answer(q, ranked).select("qid", "answer", "answer_generated", "confidence", F.size(F.coalesce("citations", F.array())).alias("n_citations"))
 
 

@@ -20,3 +20,10 @@ def test_documents_without_a_vector_are_found_by_their_words(spark, tmp_path):
     texts = {1: "plain talk of rivers", 2: "zebra quagga okapi", 3: "hills", 4: "lakes", 5: "moors"}
     got = queries.answers(spark, _tables(spark, tmp_path, texts, {1: [1.0, 0.0]}, "zebra quagga okapi")).collect()
     assert [(r["qid"], r["n_citations"]) for r in got] == [(1, 2)]
+
+
+def test_words_after_the_first_eighty_letters_are_asked(spark, tmp_path):
+    texts = {1: "plain talk of rivers", 2: "zebra quagga okapi", 3: "hills", 4: "lakes", 5: "moors"}
+    assert len(FILLER) >= 80
+    got = queries.answers(spark, _tables(spark, tmp_path, texts, {1: [1.0, 0.0], 2: [0.0, 1.0]}, FILLER + " zebra quagga okapi")).collect()
+    assert [(r["qid"], r["n_citations"]) for r in got] == [(1, 2)]
