@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,11 @@ CONTEXT_K = 5
 NOT_FOUND = "I could not find anything relevant to this question in the Confluence documentation."
 DISABLED = "LLM generation is disabled (no OpenAI key configured). The most relevant sources are shown below."
 FAILED = "Answer generation failed; showing retrieved sources only. "
+# What a failed call is called, by the class of its exception; {…} is the exception's own value.
+ERRORS = {
+    "AuthenticationError": "Invalid OpenAI API Key.", "RateLimitError": "OpenAI rate limit exceeded.", "APIConnectionError": "Unable to connect to OpenAI.",
+    "APIStatusError": "OpenAI Error: {status_code}",
+}
 RULE = "=" * 52
 INSTRUCTIONS = (
     "\nYou are a Confluence Documentation Assistant.\n\nAnswer ONLY using the supplied documentation.\n\nRules:\n- Do not invent information.\n"
@@ -76,38 +82,49 @@ def answer_metrics(ranked: DataFrame, context_k: int = CONTEXT_K) -> DataFrame:
 
 
 def score_summary(ranked: DataFrame, score: str = "score") -> DataFrame:
-    """Largest, smallest, mean, median and sample deviation of each question's scores, pages, and a coarse confidence."""
+    """Largest, smallest, mean, median and sample deviation of each question's scores, different pages, parents and children, and a coarse confidence."""
     s = F.col(score)
-    d = ranked.groupBy("qid").agg(F.max(s).alias("max_score"), F.min(s).alias("min_score"), F.avg(s).alias("avg_score"), F.median(s).alias("median_score"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("stdev_score"), F.count_distinct("page_id").alias("unique_pages"))
+    d = ranked.groupBy("qid").agg(F.max(s).alias("max_score"), F.min(s).alias("min_score"), F.avg(s).alias("avg_score"), F.median(s).alias("median_score"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("stdev_score"), F.count_distinct("page_id").alias("unique_pages"), *[F.count_distinct(c).alias(n) for c, n in (("parent_page", "unique_parents"), ("child_page", "unique_children")) if c in ranked.columns])
     return d.withColumn("confidence", confidence(F.col("max_score"), 0.85, 0.65))
 
 
 Generator = Callable[[str], str]
 
 
+def error_text(e: Exception) -> str:
+    """The text of a failed call, by the nearest of its classes that has one, else the exception's own."""
+    named = next((ERRORS[c.__name__] for c in type(e).__mro__ if c.__name__ in ERRORS), None)
+    return str(e) if named is None else named.format(status_code=getattr(e, "status_code", ""))
+
+
 def generate(prompts: DataFrame, generator: Generator | None) -> DataFrame:
-    """Adds answer_text and error. generator: prompt to answer, called on the executors; None leaves both null."""
+    """Adds generated, error and generation_time_ms. generator: prompt to answer, called on the executors; None leaves the first two null."""
     if generator is None:
-        return prompts.withColumn("generated", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
+        return prompts.withColumns({"generated": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "generation_time_ms": F.lit(0.0)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done, failed = [], []
+            done, failed, took = [], [], []
             for p in b["prompt"]:
+                began = time.perf_counter()
                 try:
                     done.append(None if p is None else generator(p))
                     failed.append(None)
                 except Exception as e:  # noqa: BLE001  one failing call is that row's error
                     done.append(None)
-                    failed.append(f"{type(e).__name__}: {e}")
-            yield b.assign(generated=done, error=failed)
+                    failed.append(error_text(e))
+                took.append(0.0 if p is None else round((time.perf_counter() - began) * 1000, 2))
+            yield b.assign(generated=done, error=failed, generation_time_ms=took)
 
-    kind = T.StructType([*prompts.schema.fields, T.StructField("generated", T.StringType()), T.StructField("error", T.StringType())])
+    kind = T.StructType([*prompts.schema.fields, T.StructField("generated", T.StringType()), T.StructField("error", T.StringType()), T.StructField("generation_time_ms", T.DoubleType())])
     return prompts.mapInPandas(run, kind)
 
 
-def answer(questions: DataFrame, ranked: DataFrame, generator: Generator | None = None, context_k: int = CONTEXT_K) -> DataFrame:
-    """One row for each question: answer, answer_generated, error, confidence, citations, metrics."""
+def answer(questions: DataFrame, ranked: DataFrame, generator: Generator | None = None, context_k: int = CONTEXT_K, retrieval_time_ms: float = 0.0) -> DataFrame:
+    """One row for each question: answer, answer_generated, error, confidence, citations, metrics.
+
+    retrieval_time_ms: what the retrieval of all questions took, if it was measured.
+    """
     cited = citations(ranked, context_k)
     nested = cited.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("index", *[c for c in cited.columns if c not in ("qid", "index")]))).alias("citations"))
     d = questions.select("qid", "question").join(contexts(ranked, context_k), "qid", "left").withColumn("prompt", prompt(F.col("question"), F.col("context")))
@@ -116,5 +133,8 @@ def answer(questions: DataFrame, ranked: DataFrame, generator: Generator | None
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return d.select(
         "qid", "question", text.alias("answer"), F.col("generated").isNotNull().alias("answer_generated"), "error", F.coalesce("confidence", F.lit("LOW")).alias("confidence"), "citations",
-        F.struct(*[zero(c).alias(c) for c in ("chunks_retrieved", "chunks_used", "top_similarity", "avg_similarity", "unique_pages")]).alias("metrics"),
+        F.struct(
+            *[zero(c).alias(c) for c in ("chunks_retrieved", "chunks_used", "top_similarity", "avg_similarity", "unique_pages")],
+            F.lit(retrieval_time_ms).alias("retrieval_time_ms"), "generation_time_ms", F.round(F.lit(retrieval_time_ms) + F.col("generation_time_ms"), 2).alias("total_time_ms"),
+        ).alias("metrics"),
     )

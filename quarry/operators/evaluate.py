@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 K_VALUES = (1, 3, 5)
 CONTEXT_CHUNKS = 5
+# The metrics of a report and of a comparison, in order.
+REPORTED = ("precision_at_3", "precision_at_5", "recall_at_3", "recall_at_5", "hit_at_1", "hit_at_3", "hit_at_5", "mrr", "map", "context_sufficiency")
+COMPARED = ("precision_at_3", "precision_at_5", "recall_at_5", "hit_at_1", "hit_at_3", "mrr", "map", "context_sufficiency")
 
 
 def pages_in_order(ranked: DataFrame) -> DataFrame:
@@ -51,6 +54,27 @@ def context_sufficiency(ranked: DataFrame, questions: DataFrame, chunks: int = C
     return questions.join(blob, "qid", "left").select("qid", sufficiency(F.col("blob"), F.col("answer_keywords")).alias("context_sufficiency"))
 
 
+def holding(texts: DataFrame, passages: DataFrame, width: int = 5) -> DataFrame:
+    """qid, page_id of every text that holds the whole passage. texts: page_id, text; passages: qid, passage.
+
+    A text that holds a passage holds the words inside it, all but the first and last, so both sides meet on the passage's
+    first run of that many inner words; contains() then decides. Passages with fewer inner words are compared with every text.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda w: w != "")
+    p = passages.where("passage is not null").withColumn("_w", words("passage"))
+    # Words are hashed once; a run is known by its words' hashes.
+    long = p.where(F.size("_w") >= width + 2).withColumn("_key", F.xxhash64(F.transform(F.slice("_w", 2, width), lambda w: F.xxhash64(w))))
+    short = p.where((F.size("_w") < width + 2) & (F.col("passage") != ""))
+    each = texts.select("page_id", "text", F.transform(words("text"), lambda w: F.xxhash64(w)).alias("_w")).withColumn("_n", F.size("_w"))
+    runs = F.when(F.col("_n") >= width, F.transform(F.sequence(F.lit(1), F.col("_n") - (width - 1)), lambda i: F.xxhash64(F.slice("_w", i, width)))).otherwise(F.array().cast("array<bigint>"))
+    keyed = each.select("page_id", F.explode(F.array_distinct(runs)).alias("_key"))
+    pairs = keyed.join(long.select("qid", "_key"), "_key").select("page_id", "qid").distinct()
+    found = pairs.join(texts, "page_id").join(long.select("qid", "passage"), "qid").where(F.contains("text", F.col("passage"))).select("qid", "page_id")
+    if not short.isEmpty():
+        found = found.unionByName(texts.join(short, F.contains("text", F.col("passage"))).select("qid", "page_id"))
+    return found
+
+
 def evaluate(ranked: DataFrame, questions: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
     """Every metric for every question. questions: qid, relevant_page_ids, answer_keywords; ids need not be unique, qid is."""
     relevant = questions.select("qid", F.explode("relevant_page_ids").alias("page_id"))
@@ -91,8 +115,27 @@ def by_k(aggregated: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def report(aggregated: DataFrame) -> str:
-    """The aggregate as lines, for a console."""
+def report(aggregated: DataFrame, seconds: float | None = None) -> str:
+    """The aggregate as lines, for a console: headline metrics in a fixed order, those that are there."""
     row = aggregated.first().asDict()
-    label = lambda k: "MAP" if k == "map" else k.replace("_at_", "@")
-    return "\n".join(f"{label(k):<22}{v:.4f}" for k, v in row.items() if k != "num_questions")
+    lines = ["=" * 60, "RETRIEVAL EVALUATION", "=" * 60, f"Questions evaluated : {row['num_questions']}"]
+    lines += [f"Eval time           : {seconds}s"] if seconds is not None else []
+    return "\n".join([*lines, "-" * 60, *(f"{_label(m).upper():14s}: {row[m]:.4f}" for m in REPORTED if row.get(m) is not None), "=" * 60])
+
+
+def comparison_report(compared: DataFrame, alpha: float, questions: int) -> str:
+    """The comparison as lines, with an arrow for each metric that moved."""
+    rows = {r["metric"]: r for r in compared.collect()}  # one row for each metric
+    value = lambda m, side: rows[m][side] or 0.0
+    arrow = lambda d: "  ▲" if d > 1e-6 else "  ▼" if d < -1e-6 else "   "
+    lines = ["=" * 64, f"DENSE vs HYBRID  (alpha={alpha}, {questions} questions)", "=" * 64, f"{'metric':22s} {'dense':>8s} {'hybrid':>8s} {'delta':>8s}", "-" * 64]
+    for m in (m for m in COMPARED if m in rows):
+        moved = value(m, "hybrid") - value(m, "dense")
+        lines.append(f"{_label(m, 'ap').lower():22s} {value(m, 'dense'):8.3f} {value(m, 'hybrid'):8.3f} {moved:+8.3f}{arrow(moved)}")
+    return "\n".join([*lines, "=" * 64])
+
+
+def _label(metric: str, mean_precision: str = "MAP") -> str:
+    if metric == "map":
+        return mean_precision
+    return "CTX_SUFF@5" if metric == "context_sufficiency" and mean_precision == "MAP" else "context_sufficiency@5" if metric == "context_sufficiency" else metric.replace("_at_", "@")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +12,19 @@ from quarry.functions import text as X
 from quarry.operators.numbering import numbered
 
 
+# Fixed value: what a generator is asked for; {…} are the page's own values.
+REQUEST = (
+    "From the documentation page titled '{title}', write {n} natural questions a user might ask, each answerable ONLY from this page. "
+    'Return STRICT JSON: a list of objects with keys "question" and "answer_keywords" (2-4 short keywords). Page content:\n{text}'
+)
+
+
+def unfenced(reply: str) -> str:
+    """A reply without the lines that open and close a code fence."""
+    lines = [x.removeprefix("```json").removeprefix("```").removesuffix("```") for x in reply.strip().split("\n")]
+    return "\n".join(lines).strip()
+
+
 def keywords(text: Column, k: int = 4) -> Column:
     """The first k different words of three characters or more that aren't stop words, as first written."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
@@ -56,11 +68,7 @@ def llm_bootstrap(chunks: DataFrame, generator: Callable[[str], str] | None, per
             out = []
             for title, text in zip(b["title"], b["text"], strict=True):
                 try:
-                    reply = generator(
-                        f"From the documentation page titled '{title}', write {per_page} natural questions a user might ask, each answerable ONLY from this page. "
-                        f'Return STRICT JSON: a list of objects with keys "question" and "answer_keywords" (2-4 short keywords). Page content:\n{text}'
-                    )
-                    items = json.loads(re.sub(r"^```json|^```|```$", "", reply.strip(), flags=re.MULTILINE).strip())
+                    items = json.loads(unfenced(generator(REQUEST.format(title=title, n=per_page, text=text))))
                     out.append([{"question": str(i.get("question", "")).strip(), "answer_keywords": [str(k) for k in i.get("answer_keywords", [])]} for i in items[:per_page]])
                 except Exception:  # noqa: BLE001  a page without a usable reply has no questions
                     out.append([])

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def key(chunk_id: Column, vector_id: Column) -> Column:
+    """What a candidate is known by: its chunk id, else its vector id."""
+    return F.coalesce(F.nullif(chunk_id, F.lit("")), vector_id.cast("string"))
+
+
 def candidate_k(top_k: int) -> int:
     return max(3 * top_k, 30)
 

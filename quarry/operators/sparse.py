@@ -21,11 +21,21 @@ class SparseIndex:
     corpus: DataFrame
 
 
+def counted(tokens: Column) -> Column:
+    """array<struct<term, tf>> of the different tokens, from the places where the sorted array changes."""
+    at = lambda s, i: F.get(s, i)
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != at(s, i - 1)), i)), lambda i: i.isNotNull())
+    # Arrays of one bind the sorted tokens and the places, so that neither is computed again for each element.
+    bound = F.transform(F.array(F.array_sort(tokens)), lambda s: F.struct(s.alias("s"), begins(s).alias("b")))
+    runs = lambda z: F.transform(z["b"], lambda i, k: F.struct(at(z["s"], i).alias("term"), (F.coalesce(F.get(z["b"], k + 1), F.size(z["s"])) - i).cast("long").alias("tf")))
+    return F.get(F.transform(bound, runs), 0)
+
+
 def build(chunks: DataFrame, id_col: str, text: Column) -> SparseIndex:
     """Term frequencies are counted inside each row before any shuffle, so a frequent term costs a row for each document."""
     t = chunks.select(F.col(id_col).alias("id"), X.tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
     corpus = t.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = t.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = t.select("id", "dl", F.explode(counted(F.col("tokens"))).alias("p")).select("p.term", "id", "dl", "p.tf")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(corpus).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))

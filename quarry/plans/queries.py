@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import answer, catalog, dense, documents, embedding, evaluate, golden, hybrid, rerank, sparse, synthetic, validate
-from quarry.session import cut, ready
+from quarry.plans import evaluation, pipeline
+from quarry.session import cut, ready, scratch_path
 from quarry.sources import hierarchy, wiki
 
 ONE_QUESTION = "the thin edges of another winter"
-FIELDS_PAGE = "# Service\n\n| Field | Value |\n| --- | --- |\n| Owner | **Docs Team** |\n| Status | `LIVE` |\n| Last-Reviewed | 2026-01-0%d |\n| run_book_url | [wiki](http://x/%d) |\n\n## Notes\n\ntext"
+FIELDS_TABLE = "<table><tr><th>Field</th><th>Value</th></tr><tr><td>Owner</td><td><b>Docs Team</b></td></tr><tr><td>Status</td><td><code>LIVE</code></td></tr><tr><td>Last-Reviewed</td><td>2026-01-0%d</td></tr><tr><td>run_book_url</td><td><a href='http://x/%d'>wiki</a></td></tr></table>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,19 +28,15 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
-    return chunks(spark, sf_dir).join(v, "vector_id")
-
-
-def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document; one without a stored vector has none and is found by its words."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
     return chunks(spark, sf_dir).join(v, "vector_id", "left")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 80).alias("question"), "text")
-    return b.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid")
+    """Every passage asks, the whole of it; one without a stored vector asks by its words."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), "text")
+    return b.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
 
 
 def page_text() -> Column:
@@ -73,7 +70,8 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalize_field_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "part")
-    return d.select("p_partkey", X.field_name(F.concat(F.lit("**"), "p_name", F.lit("** - "), "p_type")).alias("field"), X.cell_text(F.concat(F.lit(" `"), "p_name", F.lit("`<br/>[x](y)  "), "p_brand")).alias("cell"))
+    cell = F.concat(F.lit(" `"), "p_name", F.lit("`<br/>[x](y) [z]() ![i]() `` __"), "p_type", F.lit("__  "), "p_brand")
+    return d.select("p_partkey", X.field_name(F.concat(F.lit("**"), "p_name", F.lit("** - "), "p_type")).alias("field"), X.cell_text(cell).alias("cell"))
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +95,13 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    d = dense.search(e, e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding"))
+    d = dense.search(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"))
     return d.select("qid", "id", F.round("score", 6).alias("score"), F.col("dense_rank").alias("rank"))
 
 
 def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem")
-    return d.where("l_orderkey <= 2000").select("l_orderkey", "l_linenumber", F.round(hybrid.minmax(F.col("l_extendedprice"), "l_orderkey"), 6).alias("norm"))
+    return d.select("l_orderkey", "l_linenumber", F.round(hybrid.minmax(F.col("l_extendedprice"), "l_orderkey"), 6).alias("norm"))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -144,10 +142,7 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The whole passage asks, not its beginning.
-    q = questions(spark, sf_dir).withColumn("question", F.col("text"))
-    ranked = cut(rerank.retrieve(all_chunks(spark, sf_dir), q.select("qid", "question", "embedding"), min_score=0.4), "ranked")
-    return answer.answer(q, ranked).select("qid", "answer", "answer_generated", "confidence", F.size(F.coalesce("citations", F.array())).alias("n_citations"))
+    return answer.answer(questions(spark, sf_dir), cut(retrieved(spark, sf_dir), "ranked")).select("qid", "answer", "answer_generated", "confidence", F.size(F.coalesce("citations", F.array())).alias("n_citations"))
 
 
 def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,13 +150,13 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidence_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").where("l_orderkey <= 500")
+    d = table(spark, sf_dir, "lineitem")
     return d.select("l_orderkey", "l_linenumber", answer.confidence(F.col("l_discount") * 8).alias("confidence"))
 
 
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = answer.score_summary(retrieved(spark, sf_dir))
-    return d.select("qid", *[F.round(c, 5).alias(c) for c in ("max_score", "min_score", "avg_score", "median_score", "stdev_score")], "unique_pages", "confidence")
+    return d.select("qid", *[F.round(c, 5).alias(c) for c in ("max_score", "min_score", "avg_score", "median_score", "stdev_score")], "unique_pages", "unique_parents", "unique_children", "confidence")
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,12 +165,12 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ranked pages, relevant pages and questions of the vectors below 20: pages of equal labels are relevant."""
+    """Ranked pages, relevant pages and questions of every twentieth vector against all: pages of equal labels are relevant."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding", "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
     page = (F.col("id") % 100).cast("string").alias("page_id")
     ranked = dense.search(e, q, 40).where("id <> qid").select("qid", page, F.col("dense_rank").alias("rank"))
-    near = e.where("vec_id < 100").select(F.col("vec_id").alias("id"), "label").join(q.select("qid", "label"), "label").where("id <> qid")
+    near = e.select(F.col("vec_id").alias("id"), "label").join(q.select("qid", "label"), "label").where("id <> qid")
     return evaluate.pages_in_order(ranked), near.select("qid", page), q.select("qid")
 
 
@@ -203,8 +198,7 @@ def context_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_dense_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q, d, s = _sides(spark, sf_dir)
-    # The passages are a stated set of questions against all texts.
-    relevant = c.select("vector_id", "text").join(F.broadcast(q.select("qid", F.col("text").alias("passage"))), F.contains("text", F.col("passage"))).select("qid", F.col("vector_id").cast("string").alias("page_id"))
+    relevant = evaluate.holding(c.select(F.col("vector_id").cast("string").alias("page_id"), "text"), q.select("qid", F.col("text").alias("passage")))
     pages = lambda x, r: x.select("qid", F.col("id").cast("string").alias("page_id"), F.col(r).alias("rank"))
     per = [evaluate.per_question(p, relevant, q.select("qid")) for p in (pages(d.where("dense_rank <= 20"), "dense_rank"), pages(hybrid.fuse(d, s, 0.5, 60), "rank"))]
     return evaluate.compare(*per)
@@ -243,7 +237,8 @@ def _by(*cols: str):
 
 def md_line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    return documents.line_spans(d, lambda s: F.contains(s, F.lit(",")), "text")
+    listed = d.select("page_id", F.concat(F.lit("| a |\n"), F.replace("text", F.lit(", "), F.lit("\n- "))).alias("text"))
+    return documents.line_spans(listed, lambda s: documents.is_table_line(s) | documents.is_list_line(s), "text")
 
 
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,12 +257,13 @@ def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", wiki.page_url_column("https://wiki.example/w/", F.col("p_name"), F.col("p_partkey")).alias("url"))
+    api, title, key = "https://wiki.example/w/api.php", F.col("p_name"), F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", wiki.page_url_column("https://wiki.example/w/", api, title, key).alias("url"), wiki.page_url_column("", api, title, key).alias("api_url"))
 
 
 def field_value_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("page_id"), F.format_string(FIELDS_PAGE, F.col("r_regionkey"), F.col("r_regionkey")).alias("markdown"))
-    m = documents.with_metadata(d)
+    d = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.concat(F.format_string(FIELDS_TABLE, F.col("page_id") % 7, F.col("page_id")), F.coalesce("html", F.lit(""))).alias("html"))
+    m = documents.with_metadata(documents.clean_pages(d))
     return m.select("page_id", "title", "breadcrumb", "owner", "status", "last_reviewed", F.col("custom_fields")["runbookurl"].alias("runbook"), F.size("headings").alias("n_headings"), "word_count", "character_count")
 
 
@@ -286,9 +282,133 @@ def ask_history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collection_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit("x").alias("title"))
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return catalog.listed(n, c.where("c_acctbal > 9000").select(F.col("n_name").alias("name")), c.where("c_acctbal < -900").select(F.col("n_name").alias("name"))).select("name", "has_index", "has_golden")
+    nation = table(spark, sf_dir, "nation")
+    names = nation.select(F.col("n_name").alias("name")).unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))).withColumn("title", F.lit("x"))
+    held = lambda t, key: table(spark, sf_dir, t).join(nation, F.col(key) == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
+    return catalog.listed(names, held("customer", "c_nationkey"), held("supplier", "s_nationkey")).select("name", "has_index", "has_golden")
+
+
+def tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.tree_lines(page_tree(spark, sf_dir))
+
+
+def api_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = lambda n: F.when(F.col("p_size") % 3 != n, F.concat("p_brand", F.lit(f" {n}"))).otherwise(F.lit(""))
+    page = F.struct(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.struct(F.col("p_size").alias("number"), F.lit("2026-01-01").alias("when")).alias("version"), F.struct(F.col("p_brand").alias("key"), F.col("p_type").alias("name")).alias("space"),
+        F.struct(F.lit("2025-01-01").alias("createdDate"), F.struct(some(0).alias("displayName"), some(1).alias("publicName"), F.lit("id").alias("accountId")).alias("createdBy")).alias("history"),
+        F.array(F.struct(F.lit("1").alias("id"), F.col("p_brand").alias("title")), F.struct(F.lit("2").alias("id"), F.col("p_type").alias("title"))).alias("ancestors"),
+    )
+    d = table(spark, sf_dir, "part").select("p_partkey", page.alias("page"))
+    known = documents.from_api(F.col("page"), "https://wiki.example/")
+    path = F.array_join(F.array_append(known["ancestor_titles"], known["title"]), " > ")
+    return d.select("p_partkey", path.alias("breadcrumb"), F.array_join(known["ancestor_ids"], ",").alias("ancestor_ids"), *[known[c].alias(c) for c in ("title", "space_key", "space_name", "version", "updated_at", "created_at", "created_by", "source_url")])
+
+
+def vector_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("page_id"), F.col("doc_id").alias("chunk_number"))
+    return documents.with_vector_id(d).select("doc_id", "vector_id")
+
+
+def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = F.when(F.col("n_chars") % 2 == 0, F.col("source")).when(F.col("n_chars") % 3 == 0, F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", hybrid.key(some, F.col("doc_id")).alias("key"))
+
+
+def inline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.format_inline(answer.citations(retrieved(spark, sf_dir), 5))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = questions(spark, sf_dir).select("qid", "question").join(answer.contexts(retrieved(spark, sf_dir)), "qid")
+    return d.select("qid", F.md5(answer.prompt(F.col("question"), F.col("context"))).alias("prompt_md5"))
+
+
+def golden_from_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns asked about pages, added to a golden set of all assistant turns."""
+    d = table(spark, sf_dir, "conversations")
+    have = d.where("role = 'assistant'").select(F.col("text").alias("question"), F.array((F.col("conv_id") % 7).cast("string"), F.lit("x")).alias("relevant_page_ids"))
+    asked = d.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("text").alias("question"), (F.col("conv_id") % 7).cast("string").alias("page_id"))
+    return golden.from_ask(have, asked).select("id", "question", F.array_join("relevant_page_ids", ",").alias("pages"), F.array_join("answer_keywords", ",").alias("keywords"), "tag")
+
+
+def eval_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.by_k(eval_aggregate(spark, sf_dir))
+
+
+def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation is registered; one entry takes another's place and one goes."""
+    d = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lower("n_name").alias("title"), F.lit("mediawiki").alias("source"), F.lit("").alias("description"), F.create_map(F.lit("wiki_page_limit"), F.col("n_regionkey").cast("string")).alias("config"))
+    d = catalog.remove(catalog.register(catalog.register(d, "NEW", "new", "confluence", token_env="T"), "CANADA", "again", "mediawiki", wiki_page_limit=9), "BRAZIL")
+    path = scratch_path(spark, "registry")
+    hierarchy.write_json(d, path)
+    return hierarchy.read_json(spark, path, catalog.SCHEMA).select("name", "title", "source", F.col("config")["wiki_page_limit"].alias("page_limit"), F.col("config")["token_env"].alias("token_env"))
+
+
+def _job(spark: SparkSession, name: str) -> pipeline.Ingestion:
+    return pipeline.Ingestion(spark, scratch_path(spark, name), "kb")
+
+
+def raw_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two collections written below one root, one of them twice; the other is whole."""
+    job, d = _job(spark, "raw"), table(spark, sf_dir, "pages")
+    other = pipeline.Ingestion(spark, job.root, "other")
+    for j, pages in ((job, d), (other, d), (other, d.where("page_id < 0"))):
+        j._write(pages, "raw")
+    return job.table("raw").select("page_id", "url", F.md5("html").alias("html_md5"))
+
+
+def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through cleaning, metadata, chunks, vectors and the index; what the written index says of each page."""
+    job, d = _job(spark, "kb"), table(spark, sf_dir, "pages")
+    job._write(d.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.concat(F.lit("Page "), "page_id").alias("title")), "raw")
+    list(job.run(["clean", "metadata", "chunk", "embed", "index"]))
+    per = job.table("indexed").groupBy("page_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("vector_id").alias("first_vector"))
+    terms = job.sparse_index().postings.join(job.table("indexed").select(F.col("vector_id").alias("id"), "page_id"), "id").groupBy("page_id").agg(F.sum("tf").alias("tokens"))
+    return per.join(terms, "page_id", "left")
+
+
+def index_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse index of all documents, written and read back."""
+    job = _job(spark, "index")
+    job._write(chunks(spark, sf_dir), "indexed")
+    job.index()
+    return job.sparse_index().terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def golden_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from all documents saved, approved twice and read back as the golden set."""
+    job = _job(spark, "golden")
+    job._write(chunks(spark, sf_dir), "indexed")
+    e = evaluation.Evaluation(job)
+    e.bootstrap(3)
+    e.approve()
+    e.approve()
+    return e.questions().select("id", "question", F.array_join("relevant_page_ids", ",").alias("pages"), F.array_join("answer_keywords", ",").alias("keywords"), "tag")
+
+
+def history_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns logged as asks, in two parts; the history keeps its newest 200."""
+    e = evaluation.Evaluation(_job(spark, "history"))
+    t = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ask_id"), F.col("text").alias("question"))
+    rows = t.select(F.timestamp_seconds("ask_id").alias("ts"), "ask_id", "question", F.lit("LOW").alias("confidence"), F.lit(False).alias("answer_generated"), F.lit(0.0).alias("top_similarity"), F.lit(0).cast("long").alias("unique_pages"), *[F.array().cast("array<string>").alias(c) for c in ("retrieved_pages", "retrieved_titles")])
+    for part in (0, 1):
+        e.keep(rows.where(F.col("ask_id") % 2 == part))
+    return e.history().select("ask_id", "question")
+
+
+def results_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation's means, written as JSON and read back."""
+    path, d = scratch_path(spark, "results"), eval_aggregate(spark, sf_dir)
+    hierarchy.write_json(d, path)
+    return hierarchy.read_json(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields))
+
+
+def sidecar_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a source knows of each page, joined to its cleaned page from the written table."""
+    job, d = _job(spark, "sidecar"), table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    job._write(d.select("page_id", "url", F.concat(F.lit("T "), "page_id").alias("title")), "sidecar")
+    return documents.join_sidecar(documents.clean_pages(d).select("page_id", F.length("html").alias("chars")), job.table("sidecar")).select("page_id", "url", "title", "chars")
 
 
 def synthetic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,6 +428,7 @@ QUERIES = (
     tokenize_stats, word_count, snippet, html_strip_sql, html_to_markdown, normalize_field_name, bm25_term_stats, bm25_topk, bm25_batch, dense_topk, dense_topk_batch, minmax_norm, hybrid_fusion, rerank_breakdown, retrieve_filtered, citations,
     context_block, answers, answer_metrics, confidence_bucket, score_summary, diagnostics, dedup_pages, precision_recall_hit, mrr_map, eval_aggregate, context_sufficiency, compare_dense_hybrid, auto_bootstrap, golden_merge, chunk_documents,
     chunk_validation, md_line_spans, corpus_summary, corpus_counts, page_tree, page_urls, field_value_table, embedding_texts, embed_chunks, ask_history_top, collection_listing, synthetic_chunks, synthetic_benchmark,
+    tree_lines, api_metadata, vector_ids, candidate_keys, inline_sources, prompts, golden_from_ask, eval_by_k, registry_changes, raw_sink, ingested_pages, index_sink, golden_sink, history_sink, results_sink, sidecar_sink,
 )
 
 

@@ -2,9 +2,14 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+# The same examples in each run.
+settings.register_profile("fixed", derandomize=True, deadline=None)
+settings.load_profile("fixed")
+
 
 @pytest.fixture(scope="session")
 def spark():
