@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import scratch_path
+from quarry.session import forget, scratch_path
 
 BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20  # of texts; so what a task reads does not grow with the input
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -105,6 +106,20 @@ def expand(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def squeeze_rows(m: np.ndarray) -> bytes:
+    """A matrix, column by column."""
+    return squeeze(np.ascontiguousarray(m.T).ravel())
+
+
+def expand_rows(b: bytes, kind: str, width: int) -> np.ndarray:
+    return expand(b, kind).reshape(width, -1).T
+
+
+def split(values: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Where each bucket's values begin, and the end; values are ascending, of so many bits, and buckets are their high ones."""
+    return np.searchsorted(values >> np.uint64(bits - (buckets.bit_length() - 1)), np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(values)])
+
+
 def squeeze_sorted(a: np.ndarray) -> bytes:
     return squeeze(np.diff(a, prepend=a.dtype.type(0)))
 
@@ -113,9 +128,13 @@ def expand_sorted(b: bytes, kind: str) -> np.ndarray:
     return np.cumsum(expand(b, kind), dtype=kind)
 
 
-def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> DataFrame:
-    """block_id, ids, texts and, if asked for, whole rows. A text over block_bytes is a block of its own."""
+def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> tuple[DataFrame, int]:
+    """(block_id, ids, texts and, if asked for, whole rows; the bytes of all texts). A text over block_bytes is a block of its own.
+
+    The number of buckets follows the bytes, and blocks are dealt to them before they are written: one file for each bucket.
+    """
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -137,10 +156,14 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(True).alias(" ")).alias("row")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([others] if whole_rows else []))
     name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = d.mapInArrow(frugal(gather), _schema(d, whole_rows))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    out = d.mapInArrow(frugal(gather), _schema(d, whole_rows)).repartition(buckets, "block_id")
     out.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block_id").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    # The plan knows the files and their buckets; the catalog need not keep the name. The files go with the application.
+    spark.sql(f"DROP TABLE {name}")
+    forget(spark, path)
+    return table, size
 
 
 def frugal(run: Callable) -> Callable:

@@ -76,11 +76,6 @@ def questions(ids_roles: np.ndarray, texts: pa.Array) -> tuple[list[tuple[np.nda
     return [words, pairs], np.searchsorted(words[0], context), doc
 
 
-def split(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's values begin, and the end; values are ascending and buckets are their high bits."""
-    return np.searchsorted(values >> np.uint64(64 - (buckets.bit_length() - 1)), np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(values)])
-
-
 def add_up(g: pd.DataFrame) -> pd.DataFrame:
     """The corpus's counts for each value that blocks ask for, sent to each; and sums over the bucket's different values."""
     keys = [B.expand_sorted(k, "u8") for k in g["keys"]]
@@ -137,11 +132,10 @@ def learn_weights(cells: list[tuple[int, int, int, int]], v: int, rounds: int =
 def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_rows: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score (add-half unigram), score. learn: of the id, the rows that may be learnt from."""
     spark = docs.sparkSession
-    table = B.write_blocks(docs, id_col, text_col, block_bytes)
+    table, size = B.write_blocks(docs, id_col, text_col, block_bytes)
     held = lambda i: F.pmod(F.xxhash64(F.lit(17), i), F.lit(held_every)) == 0
     known = lambda i: F.coalesce(learn(i), F.lit(False)) if learn else F.lit(True)
     table = table.withColumn("roles", F.transform("ids", lambda i: F.when(~known(i), 2).when(held(i), 1).otherwise(0)))
-    size = table.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
     buckets = 1 << max(4, (2 * size // 6 // bucket_rows).bit_length())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +144,7 @@ def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_ro
                 sent, _, _ = questions(b.column("roles")[i].values.to_numpy(), texts)
                 block, rows = b.column("block_id")[i].as_py(), []
                 for kind, (value, counts, _) in enumerate(sent):
-                    at = split(value, buckets)
+                    at = B.split(value, buckets)
                     for k in np.flatnonzero(np.diff(at)):
                         s = slice(at[k], at[k + 1])
                         rows.append((kind, int(k), block, B.squeeze_sorted(value[s]), B.squeeze(np.ascontiguousarray(counts[s].T).ravel())))

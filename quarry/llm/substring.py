@@ -1,18 +1,23 @@
 r"""Substring dedup by prefix-partitioned suffix trees.
 
-A suffix starts at a word ``[^\x20\x09-\x0D]+`` and is followed for ``window`` words, which is as deep as the answer needs.
-Suffixes are split into groups by prefixes of variable length: a prefix of one word if few suffixes share it, else
-of two, four, eight or all words, by counts over the whole corpus, so a group fits in memory. A group's suffixes, sorted, are
-the leaves of its subtree in order; neighbours that agree over the whole window hang from one deep internal node, a
-repeat, and the node keeps its smallest document id. Labels of prefixes and windows are held as 64-bit hashes. Each block
-of documents sends every different suffix once, with its own smallest id, so a passage that a third of all documents
-share costs a group one row for each block. Nodes answer the blocks whose suffix also starts in a document with a smaller id.
+A suffix starts at a word ``[^\x20\x09-\x0D]+`` and is followed for ``depth`` words or to its document's end. Only suffixes
+whose first ``window`` words occur twice or more can hang below a node that deep. They are found first, by hashes of these
+words over the whole corpus; a hash that two different windows share costs work and decides nothing.
 
-A word goes if it lies in a window that also starts in a document with a smaller id, judged on the input.
+Those suffixes are split into groups by prefixes of variable length: of two words, and where a group holds more than
+``leaf`` suffixes, counted over the whole corpus, of four, eight or ``window`` words. A group is sorted by words; the common
+prefixes of neighbours give the internal nodes of its subtree (``nodes``). A node of ``window`` words or more is a repeat.
+``dedup`` cuts suffixes after the window, as deeper nodes hang below and remove nothing more; ``repeats`` follows
+them further and gives the maximal repeats. Each block of documents sends every different suffix once, with its own smallest
+document id, so a passage that a third of all documents share costs a group one row for each block.
+
+Words are known by 64-bit hashes; two windows are equal if all their words are. A word goes if it lies in a window that also
+starts in a document with a smaller id, judged on the input.
 
 Defined cases: a null text is empty; an empty document has no words and stays, empty; a text under ``window`` words is
-left as it is; a null id counts as larger than any id; rows with equal ids never remove from each other; an empty
-table gives an empty result; other columns are ignored. Removed words leave the rest joined by single spaces, and so are the words of all documents.
+left as it is; a text of any length is followed whole; a null id counts as larger than any id; rows with equal ids never remove
+from each other; an empty table gives an empty result; other columns are ignored. Removed words leave the rest joined by
+single spaces, and so are the words of all documents.
 """
 
 from __future__ import annotations
@@ -30,130 +35,280 @@ from quarry.llm import blocks as B
 from quarry.session import cut
 
 WINDOW = 13
-LEAF = 1 << 21
+LEAF, SMALLEST = 1 << 19, 1 << 16  # suffixes in a group, and the least that a group is split from
 NO_ID = np.iinfo(np.int64).max
+FIRST, SEVERAL = np.uint64(1), np.uint64(2)  # what stands before a suffix: its document's begin, or different words
+_odd = np.random.Generator(np.random.PCG64(4242)).integers(1, 1 << 62, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def prefix_lengths(window: int) -> list[int]:
-    return sorted({n for n in (1, 2, 4, 8) if n < window} | {window})
-
-
-def suffixes(ids: pa.Array, texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, text numbers, positions of whole windows, ids by text) of a block."""
-    h, doc = B.word_hashes(*B.text_bytes(texts))
-    whole = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :]) if len(doc) >= window else np.zeros(0, np.int64)
-    return h, doc, whole, ids.fill_null(NO_ID).to_numpy()
-
-
-def group_of(h: np.ndarray, whole: np.ndarray, window: int, slots: int, heavy: list[np.ndarray]) -> np.ndarray:
-    """The group of each suffix: the first prefix length whose slot isn't too heavy."""
-    lengths = prefix_lengths(window)
-    group = np.full(len(whole), -1, np.int64)
-    for level, n in enumerate(lengths):
-        slot = (B.run_hashes(h, n)[whole] >> np.uint64(20)).astype(np.int64) % slots
-        free = (group < 0) & (~heavy[level][slot] if level + 1 < len(lengths) else True)
-        group[free] = level * slots + slot[free]
-    return group
-
-
-def leaves(h: np.ndarray, doc: np.ndarray, whole: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(different window hashes ascending, smallest id of each, number of each position's window, first positions)."""
-    key = B.run_hashes(h, window)[whole]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    least = np.minimum.reduceat(ids[doc[whole[order]]], begin) if len(begin) else np.zeros(0, np.int64)
-    number = np.empty(len(whole), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return key[begin], least, number, order[begin]
-
-
-def plan_groups(table: DataFrame, window: int, slots: int, leaf: int) -> list[np.ndarray]:
-    """For each prefix length, which slots hold more suffixes than a group may. Counted over all suffixes."""
-    lengths = prefix_lengths(window)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(lengths), slots), np.int64)
-        for b in batches:
-            for _, ids, texts in B.blocks_of(b):
-                h, _, whole, _ = suffixes(ids, texts, window)
-                for level, n in enumerate(lengths[:-1]):
-                    sums[level] += np.bincount((B.run_hashes(h, n)[whole] >> np.uint64(20)).astype(np.int64) % slots, minlength=slots)
-        at = np.flatnonzero(sums.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], names=["at", "n"])
+    return sorted({n for n in (2, 4, 8) if n < window} | {window})
 
-    rows = table.select("ids", "texts").mapInArrow(B.frugal(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > leaf).collect()
-    heavy = np.zeros(len(lengths) * slots, bool)
-    heavy[[r["at"] for r in rows]] = True
-    return list(heavy.reshape(len(lengths), slots))
 
+def row_hashes(m: np.ndarray) -> np.ndarray:
+    """One hash for each row."""
+    out = np.zeros(len(m), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(m.shape[1]):
+            out += B.mix(m[:, j].astype(np.uint64) * _odd[j % len(_odd)] + np.uint64(j))
+    return B.mix(out)
 
-def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
-    """id, n_words, n_removed, text (the words that stay) for each row.
 
-    whole_rows: the table's own columns instead, and untouched documents keep their text as it is.
-    """
-    spark = docs.sparkSession
-    table = B.write_blocks(docs, id_col, text_col, whole_rows=whole_rows)
-    size = table.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
-    leaf = int(min(leaf, max(1 << 14, size // 6 // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    slots = 1 << max(4, (2 * size // 6 // leaf).bit_length())
-    heavy = plan_groups(table, window, slots, leaf)
+class Block:
+    """The words of a block of documents: hashes, the documents they stand in, and where whole windows start."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, ids: pa.Array, texts: pa.Array, window: int) -> None:
+        self.window = window
+        self.h, self.doc = B.word_hashes(*B.text_bytes(texts))
+        n = len(self.h)
+        self.whole = np.flatnonzero(self.doc[: n - window + 1] == self.doc[window - 1 :]) if n >= window else np.zeros(0, np.int64)
+        self.ids = ids.fill_null(NO_ID).to_numpy()
+
+    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(different windows ascending, how often each, number of each start's window), known by so many bits."""
+        key = B.run_hashes(self.h, self.window)[self.whole] >> np.uint64(64 - bits)
+        order = np.argsort(key, kind="stable")
+        new = np.r_[True, np.diff(key[order]) > 0] if len(key) else np.zeros(0, bool)
+        number = np.empty(len(key), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return key[order[new]], np.diff(np.r_[np.flatnonzero(new), len(key)]), number
+
+    def repeated(self, bits: int, buckets: int, answers: list) -> np.ndarray:
+        """Starts of windows that occur twice or more, in this block or, as the answers say, in others too."""
+        key, times, number = self.keys(bits)
+        often, at = times > 1, B.split(key, buckets, bits)
+        for a in answers:
+            often[at[a["bucket"]] + B.expand_sorted(a["told"], "i4")] = True
+        return self.whole[often[number]]
+
+    def suffixes(self, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The different suffixes there: (codes of their words, 0 after the end), the words by code, number of each start's suffix, order of the starts, where each suffix begins in it."""
+        vocabulary = np.unique(np.r_[np.uint64(0), self.h])
+        code = np.searchsorted(vocabulary, self.h).astype(np.int32)
+        place = starts[:, None] + np.arange(depth)
+        if depth > self.window:
+            within = np.minimum(place, len(code) - 1)
+            m = np.where((place < len(code)) & (self.doc[within] == self.doc[starts][:, None]), code[within], 0)
+        else:
+            m = code[place]
+        key = row_hashes(m)
+        order = np.argsort(key, kind="stable")
+        key, m = key[order], m[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (m[1:] != m[:-1]).any(1)] if len(m) else np.zeros(0, bool)
+        number = np.empty(len(m), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return m[new], vocabulary, number, order, np.flatnonzero(new)
+
+
+def messages(m: np.ndarray, vocabulary: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes, bytes]]:
+    """(group, its rows, their words, their codes) for each group."""
+    order = np.argsort(group, kind="stable")
+    names, begin = np.unique(group[order], return_index=True)
+    for name, rows in zip(names.tolist(), np.split(order, begin[1:]) if len(names) else [], strict=True):
+        part = m[rows]
+        used = np.flatnonzero(np.bincount(part.ravel(), minlength=len(vocabulary)))
+        to = np.zeros(len(vocabulary), np.uint32)
+        to[used] = np.arange(len(used))
+        yield name, rows, B.squeeze_sorted(vocabulary[used]), B.squeeze_rows(to[part])
+
+
+def groups_of(m: np.ndarray, vocabulary: np.ndarray, n: int, ways: int | np.ndarray) -> np.ndarray:
+    """A number below ways for each row, by its first n words."""
+    return (row_hashes(vocabulary[m[:, :n]]) % np.asarray(ways, np.uint64)).astype(np.int64)
+
+
+def sorted_suffixes(words: list[np.ndarray], codes: list[np.ndarray], times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefixes of neighbours) of the rows of all messages of a group, each row so many times."""
+    vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), *words]))
+    m = np.concatenate([np.searchsorted(vocabulary, w).astype(np.int32)[c] for w, c in zip(words, codes, strict=True)])
+    m = m if times is None else np.repeat(m, times, axis=0)
+    bits = len(vocabulary).bit_length()
+    each, keys = 63 // bits, []
+    for j in range(0, m.shape[1], each):
+        key = np.zeros(len(m), np.int64)
+        for k in range(j, min(j + each, m.shape[1])):
+            key = (key << bits) | m[:, k]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    m = m[order]
+    apart = m[1:] != m[:-1]
+    length = (m != 0).sum(1)
+    common = np.where(apart.any(1), apart.argmax(1), m.shape[1])
+    return order, np.minimum(common, np.minimum(length[1:], length[:-1]))
+
+
+def nodes(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of each internal node of at least that depth, from the neighbours' common prefixes."""
+    found = []
+    for depth in np.unique(common[common >= least]).tolist():
+        deep = np.r_[False, common >= depth, False]
+        edges = np.flatnonzero(deep[1:] != deep[:-1])
+        shallow = np.minimum.reduceat(np.r_[common, 0], edges)[::2]
+        found += [(depth, a, b) for a, b in edges.reshape(-1, 2)[shallow == depth].tolist()]
+    return found
+
+
+def find_repeated(table: DataFrame, window: int, bits: int, buckets: int) -> DataFrame:
+    """block_id, repeated: for each block, which of its different windows other blocks hold too, by bucket."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, ids, texts in B.blocks_of(b):
-                h, doc, whole, by_text = suffixes(ids, texts, window)
-                key, least, _, first = leaves(h, doc, whole, by_text, window)
-                group = group_of(h, whole[first], window, slots, heavy)
-                order = np.argsort(group, kind="stable")
-                names, begin = np.unique(group[order], return_index=True)
-                parts = np.split(order, begin[1:]) if len(names) else []
+                key, _, _ = Block(ids, texts, window).keys(bits)
+                at = B.split(key, buckets, bits)
+                some = np.flatnonzero(np.diff(at))
                 block = b.column("block_id")[i].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array([block] * len(names), pa.int64()), pa.array([B.squeeze_sorted(key[p]) for p in parts], pa.binary()), pa.array([B.squeeze(least[p]) for p in parts], pa.binary())],
-                    names=["group", "block_id", "keys", "least"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), pa.array([block] * len(some), pa.int64()), pa.array([B.squeeze_sorted(key[at[k] : at[k + 1]]) for k in some], pa.binary())], names=["bucket", "block_id", "keys"])
 
-    def nodes(g: pd.DataFrame) -> pd.DataFrame:
+    def answer(g: pd.DataFrame) -> pd.DataFrame:
         keys = [B.expand_sorted(k, "u8") for k in g["keys"]]
-        key, least = np.concatenate(keys), np.concatenate([B.expand(x, "i8") for x in g["least"]])
-        order = np.argsort(key, kind="stable")
-        new = np.r_[True, key[order][1:] != key[order][:-1]]
-        low = np.empty(len(key), np.int64)
-        low[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        rows, at = [], 0
-        for name, block, k in zip(g["group"], g["block_id"], keys, strict=True):
-            told = np.flatnonzero(low[at : at + len(k)] < least[at : at + len(k)])
+        every = np.sort(np.concatenate(keys))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        rows = []
+        for bucket, block, k in zip(g["bucket"], g["block_id"], keys, strict=True):
+            at = np.minimum(np.searchsorted(twice, k), max(len(twice) - 1, 0))
+            told = np.flatnonzero(twice[at] == k) if len(twice) else at[:0]
+            if len(told):
+                rows.append((block, bucket, len(told), B.squeeze_sorted(told.astype("i4"))))
+        return pd.DataFrame(rows, columns=["block_id", "bucket", "n", "told"])
+
+    asked = table.select("block_id", "ids", "texts").mapInArrow(B.frugal(ask), "bucket int, block_id long, keys binary")
+    return cut(asked.groupBy("bucket").applyInPandas(answer, "block_id long, bucket int, n long, told binary"), "repeated")
+
+
+MESSAGE = "group long, block_id long, home long, at binary, n long, words binary, codes binary, least binary"
+
+
+def split_groups(sent: DataFrame, window: int, depth: int, leaf: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The messages, with groups of more than leaf suffixes split by longer prefixes. Counted over all messages."""
+    kinds = {"least": "i8", "left": "u8", "times": "i8", "where": "i8"}
+
+    def longer(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    words, codes, at = B.expand_sorted(r["words"], "u8"), B.expand_rows(r["codes"], "u4", depth), B.expand_sorted(r["at"], "i4")
+                    # Groups that get the same number by chance are one, which costs memory alone.
+                    group = (B.mix(np.array([r["group"]], np.int64).view(np.uint64)) + groups_of(codes, words, n, r["ways"]).astype(np.uint64)).view(np.int64)
+                    out = []
+                    for name, rows, w, c in messages(codes.astype(np.int64), words, group):
+                        out.append({"group": name, "block_id": r["block_id"], "home": r["home"], "at": B.squeeze_sorted(at[rows]), "n": len(rows), "words": w, "codes": c, **{x: B.squeeze(B.expand(r[x], kinds[x])[rows]) for x in ("least", *extra)}})
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(f.name, f.type) for f in b.schema if f.name != "ways"]))
+
+        return run
+
+    for n in prefix_lengths(window)[1:]:
+        heavy = sent.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > leaf)
+        heavy = cut(heavy.select("group", F.least(F.lit(1 << 20), F.ceil(2 * F.col("all") / leaf)).cast("long").alias("ways")), "heavy")
+        if heavy.isEmpty():
+            break
+        parts = sent.join(heavy, "group").select(*sent.columns, "ways").mapInArrow(B.frugal(longer(n)), sent.schema)
+        sent = cut(sent.join(heavy.select("group"), "group", "left_anti").unionByName(parts), "messages")
+    return sent
+
+
+def _corpus(docs: DataFrame, window: int, id_col: str, text_col: str, whole_rows: bool) -> tuple[DataFrame, DataFrame, int, int]:
+    """(blocks with what is repeated in each, the answers alone, bits, buckets)."""
+    table, size = B.write_blocks(docs, id_col, text_col, whole_rows=whole_rows)
+    words = size // 6 + 1
+    # Enough bits that few windows look repeated by chance.
+    bits, buckets = min(64, max(32, words.bit_length() + 6)), 1 << max(4, (words >> 20).bit_length())
+    told = find_repeated(table, window, bits, buckets)
+    per = told.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "told")).alias("repeated"))
+    return table.join(per, "block_id", "left"), told, bits, buckets
+
+
+def _messages(both: DataFrame, told: DataFrame, window: int, depth: int, bits: int, buckets: int, leaf: int, everything: bool) -> tuple[DataFrame, int]:
+    """The different suffixes of each block by groups, and the number of groups before any is split."""
+    spark = both.sparkSession
+    suffixes = told.agg(F.sum("n")).first()[0] or 0
+    leaf = int(min(leaf, max(SMALLEST, suffixes // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    ways = 1 << max(4, (2 * suffixes // leaf).bit_length())
+    extra = ("left", "times", "where") if everything else ()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, ids, texts in B.blocks_of(b):
+                block = Block(ids, texts, window)
+                starts = block.repeated(bits, buckets, b.column("repeated")[i].as_py() or [])
+                m, vocabulary, number, order, begin = block.suffixes(starts, depth)
+                owner = block.ids[block.doc[starts]]
+                least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner
+                more = _details(block, starts, number, order, begin, owner, least) if everything else {}
+                name, out = b.column("block_id")[i].as_py(), []
+                for group, rows, words, codes in messages(m, vocabulary, groups_of(m, vocabulary, prefix_lengths(window)[0], ways)):
+                    out.append({"group": group, "block_id": name, "home": group, "at": B.squeeze_sorted(np.arange(len(rows), dtype="i4")), "n": len(rows), "words": words, "codes": codes, "least": B.squeeze(least[rows]), **{k: B.squeeze(v[rows]) for k, v in more.items()}})
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")]))
+
+    schema = MESSAGE + "".join(f", {x} binary" for x in extra)
+    sent = cut(both.select("block_id", "ids", "texts", "repeated").mapInArrow(B.frugal(send), schema), "messages")
+    return split_groups(sent, window, depth, leaf, extra), ways
+
+
+def _details(block: Block, starts: np.ndarray, number: np.ndarray, order: np.ndarray, begin: np.ndarray, owner: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
+    """For each different suffix what stands before it, how often it occurs, and its first word's place in the smallest document."""
+    if not len(begin):
+        return {"left": np.zeros(0, np.uint64), "times": np.zeros(0, np.int64), "where": np.zeros(0, np.int64)}
+    first = np.r_[True, block.doc[1:] != block.doc[:-1]]
+    before = np.where(first[starts], FIRST, block.h[np.maximum(starts - 1, 0)])[order]
+    low, high = np.minimum.reduceat(before, begin), np.maximum.reduceat(before, begin)
+    times = np.diff(np.r_[begin, len(starts)])
+    left = np.where(low != high, SEVERAL, np.where((low == FIRST) & (times > 1), SEVERAL, low))
+    place = starts - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))[starts]
+    place = np.where(owner == least[number], place, NO_ID)[order]
+    return {"left": left, "times": times, "where": np.minimum.reduceat(place, begin)}
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """id, n_words, n_removed, text (the words that stay) for each row.
+
+    whole_rows: the table's own columns instead, and untouched documents keep their text as it is.
+    """
+    table, found, bits, buckets = _corpus(docs, window, id_col, text_col, whole_rows)
+    sent, ways = _messages(table, found, window, window, bits, buckets, leaf, False)
+
+    def tree(g: pd.DataFrame) -> pd.DataFrame:
+        """Each deep node's smallest document, told to the blocks whose own smallest is larger."""
+        codes = [B.expand_rows(c, "u4", window) for c in g["codes"]]
+        order, common = sorted_suffixes([B.expand_sorted(w, "u8") for w in g["words"]], codes)
+        least = np.concatenate([B.expand(x, "i8") for x in g["least"]])
+        # Suffixes end at the window here, so a node of that depth is a run of neighbours that agree over all of it.
+        node = np.cumsum(np.r_[0, common < window])
+        low = np.empty(len(least), np.int64)
+        low[order] = np.minimum.reduceat(least[order], np.flatnonzero(np.r_[True, common < window]))[node]
+        rows, start = [], 0
+        for home, block, at, c in zip(g["home"], g["block_id"], g["at"], codes, strict=True):
+            told = np.flatnonzero(low[start : start + len(c)] < least[start : start + len(c)])
             if len(told):
-                rows.append((block, name, B.squeeze_sorted(told.astype("i4")), B.squeeze(low[at + told])))
-            at += len(k)
-        return pd.DataFrame(rows, columns=["block_id", "group", "told", "low"])
+                rows.append((block, home, B.squeeze_sorted(B.expand_sorted(at, "i4")[told]), B.squeeze(low[start + told])))
+            start += len(c)
+        return pd.DataFrame(rows, columns=["block_id", "home", "told", "low"])
 
-    told = table.mapInArrow(B.frugal(send), "group long, block_id long, keys binary, least binary").groupBy("group").applyInPandas(nodes, "block_id long, group long, told binary, low binary")
-    told = cut(told, "repeats").groupBy("block_id").agg(F.collect_list(F.struct("group", "told", "low")).alias("answers"))
+    told = sent.groupBy("group").applyInPandas(tree, "block_id long, home long, told binary, low binary")
+    told = cut(told, "nodes").groupBy("block_id").agg(F.collect_list(F.struct("home", "told", "low")).alias("answers"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, ids, texts in B.blocks_of(b):
-                h, doc, whole, by_text = suffixes(ids, texts, window)
-                _, least, number, first = leaves(h, doc, whole, by_text, window)
-                answers = b.column("answers")[i].as_py() or []
-                if answers:
-                    group = group_of(h, whole[first], window, slots, heavy)
-                    order = np.argsort(group, kind="stable")
-                    names, begin = np.unique(group[order], return_index=True)
-                    start = dict(zip(names.tolist(), begin.tolist(), strict=True))
+                block = Block(ids, texts, window)
+                starts = block.repeated(bits, buckets, b.column("repeated")[i].as_py() or [])
+                m, vocabulary, number, order, begin = block.suffixes(starts, window)
+                owner = block.ids[block.doc[starts]]
+                least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner
+                if answers := b.column("answers")[i].as_py() or []:
+                    group = groups_of(m, vocabulary, prefix_lengths(window)[0], ways)
+                    by = np.argsort(group, kind="stable")
+                    names, first = np.unique(group[by], return_index=True)
+                    at = dict(zip(names.tolist(), first.tolist(), strict=True))
                     for a in answers:
-                        least[order[start[a["group"]] + B.expand_sorted(a["told"], "i4")]] = B.expand(a["low"], "i8")
-                gone = whole[by_text[doc[whole]] > least[number]]
-                cover = np.zeros(len(h) + 1, np.int64)
+                        least[by[at[a["home"]] + B.expand_sorted(a["told"], "i4")]] = B.expand(a["low"], "i8")
+                gone = starts[owner > least[number]]
+                cover = np.zeros(len(block.h) + 1, np.int64)
                 np.add.at(cover, gone, 1)
                 np.add.at(cover, gone + window, -1)
                 out = np.cumsum(cover[:-1]) > 0
-                words = np.bincount(doc, minlength=len(ids))
-                removed = np.bincount(doc[out], minlength=len(ids))
+                words = np.bincount(block.doc, minlength=len(ids))
+                removed = np.bincount(block.doc[out], minlength=len(ids))
                 kept, at = [], 0
                 for t, n, r in zip(texts.to_pylist(), words.tolist(), removed.tolist(), strict=True):
                     ws = t.encode().split() if r or not whole_rows else [t.encode()]
@@ -162,9 +317,37 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
                 columns = [ids, pa.array(words), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, b.column("rows")[i].values] if whole_rows else columns, names=["id", "n_words", "n_removed", "text", "row"][: 4 + whole_rows])
 
-    both = table.join(told, "block_id", "left").select("ids", "texts", "answers", *(["rows"] if whole_rows else []))
+    both = table.join(told, "block_id", "left").select("ids", "texts", "repeated", "answers", *(["rows"] if whole_rows else []))
     kind = T.StructType().add("id", T.LongType()).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("text", T.StringType())
     if not whole_rows:
         return both.mapInArrow(B.frugal(apply), kind)
     d = both.mapInArrow(B.frugal(apply), kind.add("row", table.schema["rows"].dataType.elementType))
     return d.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def repeats(docs: DataFrame, least: int = WINDOW, depth: int = 64, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeats of at least that many words: length, occurrences, id and start (a word's place, from 0) of the first one, open.
+
+    A repeat is maximal if its occurrences neither all continue with one word nor all follow one word. Suffixes are followed for
+    depth words; a repeat of that length may go on, and is open.
+    """
+    table, found, bits, buckets = _corpus(docs, least, id_col, text_col, False)
+    sent, _ = _messages(table, found, least, depth, bits, buckets, leaf, True)
+
+    def tree(g: pd.DataFrame) -> pd.DataFrame:
+        words, codes = [B.expand_sorted(w, "u8") for w in g["words"]], [B.expand_rows(c, "u4", depth) for c in g["codes"]]
+        low, left, times, where = (np.concatenate([B.expand(v, kind) for v in g[x]]) for x, kind in (("least", "i8"), ("left", "u8"), ("times", "i8"), ("where", "i8")))
+        # A suffix that occurs several times in its block is a node by itself: it is set beside itself.
+        copies = np.minimum(times, 2)
+        order, common = sorted_suffixes(words, codes, copies)
+        leaf_of = np.repeat(np.arange(len(times)), copies)[order]
+        rows = []
+        for d, a, b in nodes(common, least):
+            here = np.unique(leaf_of[a : b + 1])
+            before = left[here]
+            if before.min() != before.max() or before[0] in (FIRST, SEVERAL):
+                first = here[np.lexsort((where[here], low[here]))[0]]
+                rows.append((d, int(times[here].sum()), None if low[first] == NO_ID else int(low[first]), int(where[first]), d == depth))
+        return pd.DataFrame(rows, columns=["length", "occurrences", "id", "start", "open"]).astype({"length": "int64", "occurrences": "int64", "id": "Int64", "start": "int64", "open": "bool"})
+
+    return sent.groupBy("group").applyInPandas(tree, "length long, occurrences long, id long, start long, open boolean")
