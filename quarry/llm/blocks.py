@@ -129,9 +129,10 @@ def expand_sorted(b: bytes, kind: str) -> np.ndarray:
 
 
 def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> tuple[DataFrame, int]:
-    """(block_id, ids, texts and, if asked for, whole rows; the bytes of all texts). A text over block_bytes is a block of its own.
+    """(part, block_id, ids, texts and, if asked for, whole rows; the bytes of all texts). A text over block_bytes is a block of its own.
 
-    The number of buckets follows the bytes, and blocks are dealt to them before they are written: one file for each bucket.
+    A part is what one task writes, and its buckets go by part: one file for each task, and a number of buckets that follows
+    the bytes. The high half of a block's id is its part.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
@@ -148,8 +149,8 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes, side="right")) - 1)
                 whole = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([b.column("row")[at:end]]))] if whole_rows else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + made], pa.int64()), pa.array([ids[at:end].to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([texts[at:end]])), *whole],
-                    names=["block_id", "ids", "texts", "rows"][: 3 + len(whole)],
+                    [pa.array([task], pa.int32()), pa.array([(task << 32) + made], pa.int64()), pa.array([ids[at:end].to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([texts[at:end]])), *whole],
+                    names=["part", "block_id", "ids", "texts", "rows"][: 4 + len(whole)],
                 )
                 at, made = end, made + 1
 
@@ -157,8 +158,8 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([others] if whole_rows else []))
     name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    out = d.mapInArrow(frugal(gather), _schema(d, whole_rows)).repartition(buckets, "block_id")
-    out.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block_id").saveAsTable(name)
+    out = d.mapInArrow(frugal(gather), _schema(d, whole_rows))
+    out.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
     table = spark.table(name)
     # The plan knows the files and their buckets; the catalog need not keep the name. The files go with the application.
     spark.sql(f"DROP TABLE {name}")
@@ -166,6 +167,14 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return table, size
 
 
+def with_answers(table: DataFrame, told: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The blocks with name: the rows of told about each, as structs of the columns. Only the answers move."""
+    part = F.shiftright("block_id", 32).cast("int").alias("part")
+    per = told.groupBy(part).agg(F.collect_list(F.struct("block_id", *columns)).alias(name))
+    d = table.join(per, "part", "left")
+    return d.withColumn(name, F.filter(name, lambda a: a["block_id"] == F.col("block_id")))
+
+
 def frugal(run: Callable) -> Callable:
     """run for mapInArrow, after which a worker that waits for its next task gives free memory back to the system."""
 
@@ -199,7 +208,7 @@ def slices(batch: pa.RecordBatch, columns: list[str], most_bytes: int = BLOCK_BY
 
 
 def _schema(d: DataFrame, whole_rows: bool) -> T.StructType:
-    out = T.StructType().add("block_id", T.LongType()).add("ids", T.ArrayType(T.LongType())).add("texts", T.ArrayType(T.StringType()))
+    out = T.StructType().add("part", T.IntegerType()).add("block_id", T.LongType()).add("ids", T.ArrayType(T.LongType())).add("texts", T.ArrayType(T.StringType()))
     return out.add("rows", T.ArrayType(d.schema["row"].dataType)) if whole_rows else out
 
 

@@ -153,7 +153,7 @@ def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_ro
     sent = table.select("block_id", "texts", "ids", "roles").mapInArrow(B.frugal(ask), "kind int, bucket int, block_id long, keys binary, counts binary")
     told = cut(sent.groupBy("kind", "bucket").applyInPandas(add_up, "block_id long, kind int, bucket int, counts binary, v_main long, v_all long, n_main long, n_all long"), "counts")
     sums = told.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v_main", "v_all", "n_main", "n_all")]).first().asDict()
-    both = table.join(told.groupBy("block_id").agg(F.collect_list(F.struct("kind", "bucket", "counts")).alias("answers")), "block_id").select("ids", "texts", "roles", "answers")
+    both = B.with_answers(table, told, ["kind", "bucket", "counts"], "answers").select("ids", "texts", "roles", "answers")
 
     def estimates(b: pa.RecordBatch, i: int, texts: pa.Array, which: slice, n: int) -> tuple:
         roles = b.column("roles")[i].values.to_numpy()

@@ -4,8 +4,8 @@ A suffix starts at a word ``[^\x20\x09-\x0D]+`` and is followed for ``depth`` wo
 whose first ``window`` words occur twice or more can hang below a node that deep. They are found first, by hashes of these
 words over the whole corpus; a hash that two different windows share costs work and decides nothing.
 
-Those suffixes are split into groups by prefixes of variable length: of two words, and where a group holds more than
-``leaf`` suffixes, counted over the whole corpus, of four, eight or ``window`` words. A group is sorted by words; the common
+Those suffixes are split into groups by prefixes of variable length: of two words, and where a group turns out to hold more
+than ``leaf`` suffixes, of four, eight or ``window`` words; a group that is too large is dealt again without being held. A group is sorted by words; the common
 prefixes of neighbours give the internal nodes of its subtree (``nodes``). A node of ``window`` words or more is a repeat.
 ``dedup`` cuts suffixes after the window, as deeper nodes hang below and remove nothing more; ``repeats`` follows
 them further and gives the maximal repeats. Each block of documents sends every different suffix once, with its own smallest
@@ -23,11 +23,12 @@ single spaces, and so are the words of all documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,52 +180,80 @@ def find_repeated(table: DataFrame, window: int, bits: int, buckets: int) -> Dat
 MESSAGE = "group long, block_id long, home long, at binary, n long, words binary, codes binary, least binary"
 
 
-def split_groups(sent: DataFrame, window: int, depth: int, leaf: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The messages, with groups of more than leaf suffixes split by longer prefixes. Counted over all messages."""
-    kinds = {"least": "i8", "left": "u8", "times": "i8", "where": "i8"}
+KINDS = {"least": "i8", "left": "u8", "times": "i8", "where": "i8"}
 
-    def longer(n: int):
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
+
+
+def longer(message: dict, n: int, depth: int, extra: tuple[str, ...], ways: int = 64) -> Iterator[dict]:
+    """The message in parts, by its suffixes' first n words."""
+    words, codes, at = B.expand_sorted(message["words"], "u8"), B.expand_rows(message["codes"], "u4", depth), B.expand_sorted(message["at"], "i4")
+    # Groups that get the same number by chance are one, which costs memory alone.
+    group = (B.mix(np.array([message["group"]], np.int64).view(np.uint64)) + groups_of(codes, words, n, ways).astype(np.uint64)).view(np.int64)
+    for name, rows, w, c in messages(codes.astype(np.int64), words, group):
+        yield {"group": name, "block_id": message["block_id"], "home": message["home"], "at": B.squeeze_sorted(at[rows]), "n": len(rows), "words": w, "codes": c, **{x: B.squeeze(B.expand(message[x], KINDS[x])[rows]) for x in ("least", *extra)}}
+
+
+def subtrees(sent: DataFrame, window: int, depth: int, leaf: int, total: int, extra: tuple[str, ...], result: str, tree) -> DataFrame:
+    """The rows of result that tree(messages of a group) gives for all groups.
+
+    A task counts a group's suffixes as its messages come. A group of more than leaf is not held: its messages are passed on in
+    parts by longer prefixes, to be dealt again.
+    """
+    message = MESSAGE + "".join(f", {x} binary" for x in extra)
+    told, kind = _arrow(result), f"{result}, {message}"
+    whole = _arrow(kind)
+    tasks = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * total // leaf)
+    lengths, found = prefix_lengths(window), []
+
+    def grow(further: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, name = [], 0, None
             for b in batches:
-                for r in b.to_pylist():
-                    words, codes, at = B.expand_sorted(r["words"], "u8"), B.expand_rows(r["codes"], "u4", depth), B.expand_sorted(r["at"], "i4")
-                    # Groups that get the same number by chance are one, which costs memory alone.
-                    group = (B.mix(np.array([r["group"]], np.int64).view(np.uint64)) + groups_of(codes, words, n, r["ways"]).astype(np.uint64)).view(np.int64)
-                    out = []
-                    for name, rows, w, c in messages(codes.astype(np.int64), words, group):
-                        out.append({"group": name, "block_id": r["block_id"], "home": r["home"], "at": B.squeeze_sorted(at[rows]), "n": len(rows), "words": w, "codes": c, **{x: B.squeeze(B.expand(r[x], kinds[x])[rows]) for x in ("least", *extra)}})
-                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(f.name, f.type) for f in b.schema if f.name != "ways"]))
+                for i in range(b.num_rows):
+                    m = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                    if m["group"] != name:
+                        if held:
+                            yield pa.RecordBatch.from_pylist(tree(held), schema=whole)
+                        held, size, name = [], 0, m["group"]
+                    size += m["n"]
+                    held.append(m)
+                    if further and size > leaf:
+                        for x in held:
+                            yield pa.RecordBatch.from_pylist(list(longer(x, further, depth, extra)), schema=whole)
+                        held = []
+            if held:
+                yield pa.RecordBatch.from_pylist(tree(held), schema=whole)
 
         return run
 
-    for n in prefix_lengths(window)[1:]:
-        heavy = sent.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > leaf)
-        heavy = cut(heavy.select("group", F.least(F.lit(1 << 20), F.ceil(2 * F.col("all") / leaf)).cast("long").alias("ways")), "heavy")
-        if heavy.isEmpty():
+    for k in range(len(lengths)):
+        further = lengths[k + 1] if k + 1 < len(lengths) else None
+        out = cut(sent.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(B.frugal(grow(further)), kind), "nodes")
+        found.append(out.where("group is null").select(told.names))
+        sent = out.where("group is not null").select(_arrow(message).names)
+        if sent.isEmpty():
             break
-        parts = sent.join(heavy, "group").select(*sent.columns, "ways").mapInArrow(B.frugal(longer(n)), sent.schema)
-        sent = cut(sent.join(heavy.select("group"), "group", "left_anti").unionByName(parts), "messages")
-    return sent
+    return reduce(DataFrame.unionByName, found)
 
 
-def _corpus(docs: DataFrame, window: int, id_col: str, text_col: str, whole_rows: bool) -> tuple[DataFrame, DataFrame, int, int]:
-    """(blocks with what is repeated in each, the answers alone, bits, buckets)."""
+def _corpus(docs: DataFrame, window: int, id_col: str, text_col: str, whole_rows: bool) -> tuple[DataFrame, int, int, int]:
+    """(blocks with what is repeated in each, how many suffixes that is, bits, buckets)."""
     table, size = B.write_blocks(docs, id_col, text_col, whole_rows=whole_rows)
     words = size // 6 + 1
     # Enough bits that few windows look repeated by chance.
     bits, buckets = min(64, max(32, words.bit_length() + 6)), 1 << max(4, (words >> 20).bit_length())
     told = find_repeated(table, window, bits, buckets)
-    per = told.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "told")).alias("repeated"))
-    return table.join(per, "block_id", "left"), told, bits, buckets
+    return B.with_answers(table, told, ["bucket", "told"], "repeated"), told.agg(F.sum("n")).first()[0] or 0, bits, buckets
 
 
-def _messages(both: DataFrame, told: DataFrame, window: int, depth: int, bits: int, buckets: int, leaf: int, everything: bool) -> tuple[DataFrame, int]:
+def _messages(both: DataFrame, total: int, window: int, depth: int, bits: int, buckets: int, leaf: int, extra: tuple[str, ...]) -> tuple[DataFrame, int]:
     """The different suffixes of each block by groups, and the number of groups before any is split."""
-    spark = both.sparkSession
-    suffixes = told.agg(F.sum("n")).first()[0] or 0
-    leaf = int(min(leaf, max(SMALLEST, suffixes // int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    ways = 1 << max(4, (2 * suffixes // leaf).bit_length())
-    extra = ("left", "times", "where") if everything else ()
+    ways = 1 << max(4, (2 * total // leaf).bit_length())
+    schema = MESSAGE + "".join(f", {x} binary" for x in extra)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,15 +263,18 @@ def _messages(both: DataFrame, told: DataFrame, window: int, depth: int, bits: i
                 m, vocabulary, number, order, begin = block.suffixes(starts, depth)
                 owner = block.ids[block.doc[starts]]
                 least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner
-                more = _details(block, starts, number, order, begin, owner, least) if everything else {}
+                more = _details(block, starts, number, order, begin, owner, least) if extra else {}
                 name, out = b.column("block_id")[i].as_py(), []
                 for group, rows, words, codes in messages(m, vocabulary, groups_of(m, vocabulary, prefix_lengths(window)[0], ways)):
                     out.append({"group": group, "block_id": name, "home": group, "at": B.squeeze_sorted(np.arange(len(rows), dtype="i4")), "n": len(rows), "words": words, "codes": codes, "least": B.squeeze(least[rows]), **{k: B.squeeze(v[rows]) for k, v in more.items()}})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")]))
+                yield pa.RecordBatch.from_pylist(out, schema=_arrow(schema))
 
-    schema = MESSAGE + "".join(f", {x} binary" for x in extra)
-    sent = cut(both.select("block_id", "ids", "texts", "repeated").mapInArrow(B.frugal(send), schema), "messages")
-    return split_groups(sent, window, depth, leaf, extra), ways
+    return both.select("block_id", "ids", "texts", "repeated").mapInArrow(B.frugal(send), schema), ways
+
+
+def group_leaf(spark: SparkSession, total: int, leaf: int) -> int:
+    """leaf, or less where the groups would be too few for the tasks."""
+    return int(min(leaf, max(SMALLEST, 2 * total // int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def _details(block: Block, starts: np.ndarray, number: np.ndarray, order: np.ndarray, begin: np.ndarray, owner: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
@@ -264,28 +296,28 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
 
     whole_rows: the table's own columns instead, and untouched documents keep their text as it is.
     """
-    table, found, bits, buckets = _corpus(docs, window, id_col, text_col, whole_rows)
-    sent, ways = _messages(table, found, window, window, bits, buckets, leaf, False)
+    table, total, bits, buckets = _corpus(docs, window, id_col, text_col, whole_rows)
+    leaf = group_leaf(docs.sparkSession, total, leaf)
+    sent, ways = _messages(table, total, window, window, bits, buckets, leaf, ())
 
-    def tree(g: pd.DataFrame) -> pd.DataFrame:
+    def tree(group: list[dict]) -> list[dict]:
         """Each deep node's smallest document, told to the blocks whose own smallest is larger."""
-        codes = [B.expand_rows(c, "u4", window) for c in g["codes"]]
-        order, common = sorted_suffixes([B.expand_sorted(w, "u8") for w in g["words"]], codes)
-        least = np.concatenate([B.expand(x, "i8") for x in g["least"]])
+        codes = [B.expand_rows(x["codes"], "u4", window) for x in group]
+        order, common = sorted_suffixes([B.expand_sorted(x["words"], "u8") for x in group], codes)
+        least = np.concatenate([B.expand(x["least"], "i8") for x in group])
         # Suffixes end at the window here, so a node of that depth is a run of neighbours that agree over all of it.
-        node = np.cumsum(np.r_[0, common < window])
+        begins = np.r_[True, common < window]
         low = np.empty(len(least), np.int64)
-        low[order] = np.minimum.reduceat(least[order], np.flatnonzero(np.r_[True, common < window]))[node]
+        low[order] = np.minimum.reduceat(least[order], np.flatnonzero(begins))[np.cumsum(begins) - 1]
         rows, start = [], 0
-        for home, block, at, c in zip(g["home"], g["block_id"], g["at"], codes, strict=True):
+        for x, c in zip(group, codes, strict=True):
             told = np.flatnonzero(low[start : start + len(c)] < least[start : start + len(c)])
             if len(told):
-                rows.append((block, home, B.squeeze_sorted(B.expand_sorted(at, "i4")[told]), B.squeeze(low[start + told])))
+                rows.append({"to": x["block_id"], "of": x["home"], "told": B.squeeze_sorted(B.expand_sorted(x["at"], "i4")[told]), "low": B.squeeze(low[start + told])})
             start += len(c)
-        return pd.DataFrame(rows, columns=["block_id", "home", "told", "low"])
+        return rows
 
-    told = sent.groupBy("group").applyInPandas(tree, "block_id long, home long, told binary, low binary")
-    told = cut(told, "nodes").groupBy("block_id").agg(F.collect_list(F.struct("home", "told", "low")).alias("answers"))
+    told = subtrees(sent, window, window, leaf, total, (), "to long, of long, told binary, low binary", tree).withColumnRenamed("to", "block_id")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,7 +333,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
                     names, first = np.unique(group[by], return_index=True)
                     at = dict(zip(names.tolist(), first.tolist(), strict=True))
                     for a in answers:
-                        least[by[at[a["home"]] + B.expand_sorted(a["told"], "i4")]] = B.expand(a["low"], "i8")
+                        least[by[at[a["of"]] + B.expand_sorted(a["told"], "i4")]] = B.expand(a["low"], "i8")
                 gone = starts[owner > least[number]]
                 cover = np.zeros(len(block.h) + 1, np.int64)
                 np.add.at(cover, gone, 1)
@@ -317,7 +349,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
                 columns = [ids, pa.array(words), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, b.column("rows")[i].values] if whole_rows else columns, names=["id", "n_words", "n_removed", "text", "row"][: 4 + whole_rows])
 
-    both = table.join(told, "block_id", "left").select("ids", "texts", "repeated", "answers", *(["rows"] if whole_rows else []))
+    both = B.with_answers(table, told, ["of", "told", "low"], "answers").select("ids", "texts", "repeated", "answers", *(["rows"] if whole_rows else []))
     kind = T.StructType().add("id", T.LongType()).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("text", T.StringType())
     if not whole_rows:
         return both.mapInArrow(B.frugal(apply), kind)
@@ -331,12 +363,13 @@ def repeats(docs: DataFrame, least: int = WINDOW, depth: int = 64, leaf: int = L
     A repeat is maximal if its occurrences neither all continue with one word nor all follow one word. Suffixes are followed for
     depth words; a repeat of that length may go on, and is open.
     """
-    table, found, bits, buckets = _corpus(docs, least, id_col, text_col, False)
-    sent, _ = _messages(table, found, least, depth, bits, buckets, leaf, True)
+    table, total, bits, buckets = _corpus(docs, least, id_col, text_col, False)
+    leaf, extra = group_leaf(docs.sparkSession, total, leaf), ("left", "times", "where")
+    sent, _ = _messages(table, total, least, depth, bits, buckets, leaf, extra)
 
-    def tree(g: pd.DataFrame) -> pd.DataFrame:
-        words, codes = [B.expand_sorted(w, "u8") for w in g["words"]], [B.expand_rows(c, "u4", depth) for c in g["codes"]]
-        low, left, times, where = (np.concatenate([B.expand(v, kind) for v in g[x]]) for x, kind in (("least", "i8"), ("left", "u8"), ("times", "i8"), ("where", "i8")))
+    def tree(group: list[dict]) -> list[dict]:
+        words, codes = [B.expand_sorted(x["words"], "u8") for x in group], [B.expand_rows(x["codes"], "u4", depth) for x in group]
+        low, left, times, where = (np.concatenate([B.expand(x[c], KINDS[c]) for x in group]) for c in ("least", *extra))
         # A suffix that occurs several times in its block is a node by itself: it is set beside itself.
         copies = np.minimum(times, 2)
         order, common = sorted_suffixes(words, codes, copies)
@@ -347,7 +380,7 @@ def repeats(docs: DataFrame, least: int = WINDOW, depth: int = 64, leaf: int = L
             before = left[here]
             if before.min() != before.max() or before[0] in (FIRST, SEVERAL):
                 first = here[np.lexsort((where[here], low[here]))[0]]
-                rows.append((d, int(times[here].sum()), None if low[first] == NO_ID else int(low[first]), int(where[first]), d == depth))
-        return pd.DataFrame(rows, columns=["length", "occurrences", "id", "start", "open"]).astype({"length": "int64", "occurrences": "int64", "id": "Int64", "start": "int64", "open": "bool"})
+                rows.append({"length": d, "occurrences": int(times[here].sum()), "id": None if low[first] == NO_ID else int(low[first]), "start": int(where[first]), "open": d == depth})
+        return rows
 
-    return sent.groupBy("group").applyInPandas(tree, "length long, occurrences long, id long, start long, open boolean")
+    return subtrees(sent, least, depth, leaf, total, extra, "length long, occurrences long, id long, start long, open boolean", tree)
