@@ -11,7 +11,7 @@ prefixes of neighbours give the internal nodes of its subtree (``nodes``). A nod
 them further and gives the maximal repeats. Each block of documents sends every different suffix once, with its own smallest
 document id, so a passage that a third of all documents share costs a group one row for each block.
 
-Words are known by 64-bit hashes; two windows are equal if all their words are. A word goes if it lies in a window that also
+Every word has a number of its own in the corpus (words are known by 64-bit hashes); two windows are equal if all their words are. A word goes if it lies in a window that also
 starts in a document with a smaller id, judged on the input.
 
 Defined cases: a null text is empty; an empty document has no words and stays, empty; a text under ``window`` words is
@@ -79,13 +79,17 @@ class Block:
         key, times, number = self.keys(bits)
         often, at = times > 1, B.split(key, buckets, bits)
         for a in answers:
-            often[at[a["bucket"]] + B.expand_sorted(a["told"], "i4")] = True
+            if a["kind"] == WINDOWS:
+                often[at[a["bucket"]] + B.expand_sorted(a["told"], "i4")] = True
         return self.whole[often[number]]
 
-    def suffixes(self, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The different suffixes there: (codes of their words, 0 after the end), the words by code, number of each start's suffix, order of the starts, where each suffix begins in it."""
-        vocabulary = np.unique(np.r_[np.uint64(0), self.h])
-        code = np.searchsorted(vocabulary, self.h).astype(np.int32)
+    def numbers(self, answers: list) -> np.ndarray:
+        """The corpus's number of each word, from 1."""
+        told = [B.expand(a["told"], "i8") for a in sorted(answers, key=lambda a: a["bucket"]) if a["kind"] == WORDS]
+        return (np.concatenate(told) if told else np.zeros(0, np.int64))[np.unique(self.h, return_inverse=True)[1]]
+
+    def suffixes(self, starts: np.ndarray, depth: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The different suffixes there: (their words by number, 0 after the end; number of each start's suffix; order of the starts; where each suffix begins in it)."""
         place = starts[:, None] + np.arange(depth)
         if depth > self.window:
             within = np.minimum(place, len(code) - 1)
@@ -98,32 +102,25 @@ class Block:
         new = np.r_[True, (key[1:] != key[:-1]) | (m[1:] != m[:-1]).any(1)] if len(m) else np.zeros(0, bool)
         number = np.empty(len(m), np.int64)
         number[order] = np.cumsum(new) - 1
-        return m[new], vocabulary, number, order, np.flatnonzero(new)
+        return m[new], number, order, np.flatnonzero(new)
 
 
-def messages(m: np.ndarray, vocabulary: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes, bytes]]:
-    """(group, its rows, their words, their codes) for each group."""
+def messages(m: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(group, its rows, their words) for each group."""
     order = np.argsort(group, kind="stable")
     names, begin = np.unique(group[order], return_index=True)
     for name, rows in zip(names.tolist(), np.split(order, begin[1:]) if len(names) else [], strict=True):
-        part = m[rows]
-        used = np.flatnonzero(np.bincount(part.ravel(), minlength=len(vocabulary)))
-        to = np.zeros(len(vocabulary), np.uint32)
-        to[used] = np.arange(len(used))
-        yield name, rows, B.squeeze_sorted(vocabulary[used]), B.squeeze_rows(to[part])
+        yield name, rows, B.squeeze_rows(m[rows])
 
 
-def groups_of(m: np.ndarray, vocabulary: np.ndarray, n: int, ways: int | np.ndarray) -> np.ndarray:
+def groups_of(m: np.ndarray, n: int, ways: int) -> np.ndarray:
     """A number below ways for each row, by its first n words."""
-    return (row_hashes(vocabulary[m[:, :n]]) % np.asarray(ways, np.uint64)).astype(np.int64)
+    return (row_hashes(m[:, :n]) % np.uint64(ways)).astype(np.int64)
 
 
-def sorted_suffixes(words: list[np.ndarray], codes: list[np.ndarray], times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common prefixes of neighbours) of the rows of all messages of a group, each row so many times."""
-    vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), *words]))
-    m = np.concatenate([np.searchsorted(vocabulary, w).astype(np.int32)[c] for w, c in zip(words, codes, strict=True)])
-    m = m if times is None else np.repeat(m, times, axis=0)
-    bits = len(vocabulary).bit_length()
+def sorted_suffixes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefixes of neighbours) of the rows of a group, sorted by words."""
+    bits = max(1, int(m.max(initial=0)).bit_length())
     each, keys = 63 // bits, []
     for j in range(0, m.shape[1], each):
         key = np.zeros(len(m), np.int64)
@@ -149,35 +146,48 @@ def nodes(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return found
 
 
+WINDOWS, WORDS = 0, 1
+
+
 def find_repeated(table: DataFrame, window: int, bits: int, buckets: int) -> DataFrame:
-    """block_id, repeated: for each block, which of its different windows other blocks hold too, by bucket."""
+    """block_id, kind, bucket, n, told: which of a block's different windows other blocks hold too, and the numbers of its words.
+
+    Every word of the corpus has one number; in each bucket those that more blocks hold have smaller ones, which take less room.
+    """
+    of_words = max(16, buckets >> 3)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, ids, texts in B.blocks_of(b):
-                key, _, _ = Block(ids, texts, window).keys(bits)
-                at = B.split(key, buckets, bits)
-                some = np.flatnonzero(np.diff(at))
-                block = b.column("block_id")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype("i4")), pa.array([block] * len(some), pa.int64()), pa.array([B.squeeze_sorted(key[at[k] : at[k + 1]]) for k in some], pa.binary())], names=["bucket", "block_id", "keys"])
+                words, block = Block(ids, texts, window), b.column("block_id")[i].as_py()
+                for kind, key, at in ((WINDOWS, key := words.keys(bits)[0], B.split(key, buckets, bits)), (WORDS, key := np.unique(words.h), B.split(key, of_words))):
+                    some = np.flatnonzero(np.diff(at))
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some.astype("i4")), pa.array([block] * len(some), pa.int64()), pa.array([B.squeeze_sorted(key[at[k] : at[k + 1]]) for k in some], pa.binary())], names=["kind", "bucket", "block_id", "keys"])
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
-        keys = [B.expand_sorted(k, "u8") for k in g["keys"]]
+        keys, kind, bucket = [B.expand_sorted(k, "u8") for k in g["keys"]], int(g["kind"].iloc[0]), int(g["bucket"].iloc[0])
+        columns = ["block_id", "kind", "bucket", "n", "told"]
+        if kind == WORDS:
+            _, which, held = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            rank = np.empty(len(held), np.int64)
+            rank[np.argsort(-held, kind="stable")] = np.arange(len(held))
+            number = np.split(rank[which] * of_words + bucket + 1, np.cumsum([len(k) for k in keys])[:-1])
+            return pd.DataFrame([(block, kind, bucket, 0, B.squeeze(x)) for block, x in zip(g["block_id"], number, strict=True)], columns=columns)
         every = np.sort(np.concatenate(keys))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         rows = []
-        for bucket, block, k in zip(g["bucket"], g["block_id"], keys, strict=True):
+        for block, k in zip(g["block_id"], keys, strict=True):
             at = np.minimum(np.searchsorted(twice, k), max(len(twice) - 1, 0))
             told = np.flatnonzero(twice[at] == k) if len(twice) else at[:0]
             if len(told):
-                rows.append((block, bucket, len(told), B.squeeze_sorted(told.astype("i4"))))
-        return pd.DataFrame(rows, columns=["block_id", "bucket", "n", "told"])
+                rows.append((block, kind, bucket, len(told), B.squeeze_sorted(told.astype("i4"))))
+        return pd.DataFrame(rows, columns=columns)
 
-    asked = table.select("block_id", "ids", "texts").mapInArrow(B.frugal(ask), "bucket int, block_id long, keys binary")
-    return cut(asked.groupBy("bucket").applyInPandas(answer, "block_id long, bucket int, n long, told binary"), "repeated")
+    asked = table.select("block_id", "ids", "texts").mapInArrow(B.frugal(ask), "kind int, bucket int, block_id long, keys binary")
+    return cut(asked.groupBy("kind", "bucket").applyInPandas(answer, "block_id long, kind int, bucket int, n long, told binary"), "repeated")
 
 
-MESSAGE = "group long, block_id long, home long, at binary, n long, words binary, codes binary, least binary"
+MESSAGE = "group long, block_id long, home long, at binary, n long, words binary, least binary"
 
 
 KINDS = {"least": "i8", "left": "u8", "times": "i8", "where": "i8"}
@@ -190,11 +200,11 @@ def _arrow(schema: str) -> pa.Schema:
 
 def longer(message: dict, n: int, depth: int, extra: tuple[str, ...], ways: int = 64) -> Iterator[dict]:
     """The message in parts, by its suffixes' first n words."""
-    words, codes, at = B.expand_sorted(message["words"], "u8"), B.expand_rows(message["codes"], "u4", depth), B.expand_sorted(message["at"], "i4")
+    m, at = B.expand_rows(message["words"], "i8", depth), B.expand_sorted(message["at"], "i4")
     # Groups that get the same number by chance are one, which costs memory alone.
-    group = (B.mix(np.array([message["group"]], np.int64).view(np.uint64)) + groups_of(codes, words, n, ways).astype(np.uint64)).view(np.int64)
-    for name, rows, w, c in messages(codes.astype(np.int64), words, group):
-        yield {"group": name, "block_id": message["block_id"], "home": message["home"], "at": B.squeeze_sorted(at[rows]), "n": len(rows), "words": w, "codes": c, **{x: B.squeeze(B.expand(message[x], KINDS[x])[rows]) for x in ("least", *extra)}}
+    group = (B.mix(np.array([message["group"]], np.int64).view(np.uint64)) + groups_of(m, n, ways).astype(np.uint64)).view(np.int64)
+    for name, rows, words in messages(m, group):
+        yield {"group": name, "block_id": message["block_id"], "home": message["home"], "at": B.squeeze_sorted(at[rows]), "n": len(rows), "words": words, **{x: B.squeeze(B.expand(message[x], KINDS[x])[rows]) for x in ("least", *extra)}}
 
 
 def subtrees(sent: DataFrame, window: int, depth: int, leaf: int, total: int, extra: tuple[str, ...], result: str, tree) -> DataFrame:
@@ -247,7 +257,7 @@ def _corpus(docs: DataFrame, window: int, id_col: str, text_col: str, whole_rows
     # Enough bits that few windows look repeated by chance.
     bits, buckets = min(64, max(32, words.bit_length() + 6)), 1 << max(4, (words >> 20).bit_length())
     told = find_repeated(table, window, bits, buckets)
-    return B.with_answers(table, told, ["bucket", "told"], "repeated"), told.agg(F.sum("n")).first()[0] or 0, bits, buckets
+    return B.with_answers(table, told, ["kind", "bucket", "told"], "repeated"), told.agg(F.sum("n")).first()[0] or 0, bits, buckets
 
 
 def _messages(both: DataFrame, total: int, window: int, depth: int, bits: int, buckets: int, leaf: int, extra: tuple[str, ...]) -> tuple[DataFrame, int]:
@@ -259,14 +269,15 @@ def _messages(both: DataFrame, total: int, window: int, depth: int, bits: int, b
         for b in batches:
             for i, ids, texts in B.blocks_of(b):
                 block = Block(ids, texts, window)
-                starts = block.repeated(bits, buckets, b.column("repeated")[i].as_py() or [])
-                m, vocabulary, number, order, begin = block.suffixes(starts, depth)
+                heard = b.column("repeated")[i].as_py() or []
+                starts = block.repeated(bits, buckets, heard)
+                m, number, order, begin = block.suffixes(starts, depth, block.numbers(heard))
                 owner = block.ids[block.doc[starts]]
                 least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner
                 more = _details(block, starts, number, order, begin, owner, least) if extra else {}
                 name, out = b.column("block_id")[i].as_py(), []
-                for group, rows, words, codes in messages(m, vocabulary, groups_of(m, vocabulary, prefix_lengths(window)[0], ways)):
-                    out.append({"group": group, "block_id": name, "home": group, "at": B.squeeze_sorted(np.arange(len(rows), dtype="i4")), "n": len(rows), "words": words, "codes": codes, "least": B.squeeze(least[rows]), **{k: B.squeeze(v[rows]) for k, v in more.items()}})
+                for group, rows, words in messages(m, groups_of(m, prefix_lengths(window)[0], ways)):
+                    out.append({"group": group, "block_id": name, "home": group, "at": B.squeeze_sorted(np.arange(len(rows), dtype="i4")), "n": len(rows), "words": words, "least": B.squeeze(least[rows]), **{k: B.squeeze(v[rows]) for k, v in more.items()}})
                 yield pa.RecordBatch.from_pylist(out, schema=_arrow(schema))
 
     return both.select("block_id", "ids", "texts", "repeated").mapInArrow(B.frugal(send), schema), ways
@@ -302,19 +313,19 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
 
     def tree(group: list[dict]) -> list[dict]:
         """Each deep node's smallest document, told to the blocks whose own smallest is larger."""
-        codes = [B.expand_rows(x["codes"], "u4", window) for x in group]
-        order, common = sorted_suffixes([B.expand_sorted(x["words"], "u8") for x in group], codes)
+        parts = [B.expand_rows(x["words"], "i8", window) for x in group]
+        order, common = sorted_suffixes(np.concatenate(parts))
         least = np.concatenate([B.expand(x["least"], "i8") for x in group])
         # Suffixes end at the window here, so a node of that depth is a run of neighbours that agree over all of it.
         begins = np.r_[True, common < window]
         low = np.empty(len(least), np.int64)
         low[order] = np.minimum.reduceat(least[order], np.flatnonzero(begins))[np.cumsum(begins) - 1]
         rows, start = [], 0
-        for x, c in zip(group, codes, strict=True):
-            told = np.flatnonzero(low[start : start + len(c)] < least[start : start + len(c)])
+        for x, part in zip(group, parts, strict=True):
+            told = np.flatnonzero(low[start : start + len(part)] < least[start : start + len(part)])
             if len(told):
                 rows.append({"to": x["block_id"], "of": x["home"], "told": B.squeeze_sorted(B.expand_sorted(x["at"], "i4")[told]), "low": B.squeeze(low[start + told])})
-            start += len(c)
+            start += len(part)
         return rows
 
     told = subtrees(sent, window, window, leaf, total, (), "to long, of long, told binary, low binary", tree).withColumnRenamed("to", "block_id")
@@ -323,12 +334,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
         for b in batches:
             for i, ids, texts in B.blocks_of(b):
                 block = Block(ids, texts, window)
-                starts = block.repeated(bits, buckets, b.column("repeated")[i].as_py() or [])
-                m, vocabulary, number, order, begin = block.suffixes(starts, window)
+                heard = b.column("repeated")[i].as_py() or []
+                starts = block.repeated(bits, buckets, heard)
+                m, number, order, begin = block.suffixes(starts, window, block.numbers(heard))
                 owner = block.ids[block.doc[starts]]
                 least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner
                 if answers := b.column("answers")[i].as_py() or []:
-                    group = groups_of(m, vocabulary, prefix_lengths(window)[0], ways)
+                    group = groups_of(m, prefix_lengths(window)[0], ways)
                     by = np.argsort(group, kind="stable")
                     names, first = np.unique(group[by], return_index=True)
                     at = dict(zip(names.tolist(), first.tolist(), strict=True))
@@ -368,11 +380,11 @@ def repeats(docs: DataFrame, least: int = WINDOW, depth: int = 64, leaf: int = L
     sent, _ = _messages(table, total, least, depth, bits, buckets, leaf, extra)
 
     def tree(group: list[dict]) -> list[dict]:
-        words, codes = [B.expand_sorted(x["words"], "u8") for x in group], [B.expand_rows(x["codes"], "u4", depth) for x in group]
+        m = np.concatenate([B.expand_rows(x["words"], "i8", depth) for x in group])
         low, left, times, where = (np.concatenate([B.expand(x[c], KINDS[c]) for x in group]) for c in ("least", *extra))
         # A suffix that occurs several times in its block is a node by itself: it is set beside itself.
         copies = np.minimum(times, 2)
-        order, common = sorted_suffixes(words, codes, copies)
+        order, common = sorted_suffixes(np.repeat(m, copies, axis=0))
         leaf_of = np.repeat(np.arange(len(times)), copies)[order]
         rows = []
         for d, a, b in nodes(common, least):
