@@ -128,19 +128,42 @@ def expand_sorted(b: bytes, kind: str) -> np.ndarray:
     return np.cumsum(expand(b, kind), dtype=kind)
 
 
+def bucket_hash(v: np.ndarray) -> np.ndarray:
+    """Spark's hash of integers, by which bucketBy deals rows."""
+    turn = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+    with np.errstate(over="ignore"):
+        h = turn(np.uint32(42) ^ turn(v.astype(np.int32).view(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return h.view(np.int32)
+
+
+def part_of(task: int, buckets: int) -> int:
+    """A number of the task's own that bucketBy deals to bucket ``task % buckets``, so that tasks spread evenly over buckets."""
+    skip, start = task // buckets, 0
+    while True:
+        some = np.arange(start, start + 2 * buckets + 64)
+        fits = some[bucket_hash(some) % buckets == task % buckets]
+        if skip < len(fits):
+            return int(fits[skip])
+        skip, start = skip - len(fits), int(some[-1]) + 1
+
+
 def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> tuple[DataFrame, int]:
     """(part, block_id, ids, texts and, if asked for, whole rows; the bytes of all texts). A text over block_bytes is a block of its own.
 
-    A part is what one task writes, and its buckets go by part: one file for each task, and a number of buckets that follows
-    the bytes. The high half of a block's id is its part.
+    A part is what one task writes, and its bucket goes by part: one file for each task, evenly over a number of buckets that
+    follows the bytes. The high half of a block's id is its part.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        made, task = 0, TaskContext.get().partitionId()
+        made, task = 0, part_of(TaskContext.get().partitionId(), buckets)
         for b in batches:
             ids, texts = b.column("id"), b.column("text").fill_null("")
             _, offsets = text_bytes(texts)
@@ -157,7 +180,6 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(True).alias(" ")).alias("row")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([others] if whole_rows else []))
     name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     out = d.mapInArrow(frugal(gather), _schema(d, whole_rows))
     out.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
     table = spark.table(name)

@@ -81,5 +81,24 @@ def test_cascade_keeps_prose_whatever_the_order(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     kept = lambda rules: {r["id"] for r in Q.cascade(d, rules).where("kept").collect()}
     assert kept(Q.RULES) == kept(Q.RULES[::-1]) == {1}
-    order = Q.order_rules(d)
-    assert [-s / t for _, t, s in order] == sorted(-s / t for _, t, s in order)
+
+
+def test_rules_are_ordered_by_rejections_per_cost(spark, no_docs):
+    text = " ".join(f"word{i} and then" for i in range(400))
+    d = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") + text) for i in range(400)], "doc_id long, text string")
+    slow = Q.Rule("slow", lambda t, s: F.length(F.regexp_replace(F.regexp_replace(F.reverse(t), "[aeiou]+", "xx"), "(x+)y?", "$1$1")) * F.when(t.startswith("bad"), 1).otherwise(0) > 0)
+    fast = Q.Rule("fast", lambda t, s: t.startswith("bad"))
+    never = Q.Rule("never", lambda t, s: s["n_words"] < 0)
+    rare = Q.Rule("rare", lambda t, s: t.startswith("bad") & (s["n_words"] < 0))
+    for rules in ([slow, fast, never], [never, slow, fast]):
+        order = Q.order_rules(d, rules)
+        assert [r.name for r, _, _ in order] == ["fast", "slow", "never"] and [s for _, _, s in order] == [0.5, 0.5, 0]
+    assert Q.order_rules(d, [never, rare])[0][0].name == "never" and len(Q.order_rules(no_docs)) == len(Q.RULES)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert len({tuple(r.name for r, _, _ in Q.order_rules(docs)) for _ in range(2)}) == 1
+
+
+def test_rejected_rows_are_those_that_fail(spark, odd_docs, no_docs):
+    kept = {r["id"] for r in Q.cascade(odd_docs).where("kept").collect()}
+    rows = Q.reject(odd_docs)
+    assert sorted(map(str, rows.collect())) == sorted(str(r) for r in odd_docs.collect() if r["doc_id"] in kept) and Q.reject(no_docs).count() == 0
