@@ -5,7 +5,7 @@ counts its rejections on a bounded sample, and sorts the rules by rejections per
 that order in one nested CASE, so a document that an early rule rejects pays for no later one. The order changes the
 cost alone: a document is kept if no rule rejects it.
 
-A rule's cost is what it adds to a job that reads the cached sample ``passes`` times over: the least of several timings, so that
+A rule's cost is what it adds to a job that reads the cached sample so often that ``timed_bytes`` go by: the least of several timings, so that
 compilation and other work of the machine drop out, less the least of the same job without a rule, so that starting a job
 does too. Costs within a factor of two count as equal, and equal rules keep the order in which they are listed; so
 the order does not hang on the clock's noise. Rules read the statistics that are there and count nothing again.
@@ -102,7 +102,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, sample_bytes: int = 16 << 20, rounds: int = 4, passes: int = 5, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[Rule, float, float]]:
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, sample_bytes: int = 16 << 20, timed_bytes: int = 16 << 20, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[Rule, float, float]]:
     """(rule, seconds, rejected share) on the sample, by rejections per cost. The sample orders the rules and decides nothing else.
 
     The sample is the table's first rows, at most sample_rows of them and those whose texts together take at most sample_bytes.
@@ -120,46 +120,46 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
     d = measure(given, "id", "text").select("text", *STATISTICS).cache()
     stats = {c: F.col(c) for c in STATISTICS}
     try:
-        rows = d.count()
-        again = d.join(F.broadcast(spark.range(passes)))
-        nothing = again.agg(F.count_if(F.col("n_words") < 0))
-        jobs = {r: again.agg(F.count_if(r.rejects(F.col("text"), stats))) for r in rules}
-        shares = {r: jobs[r].first()[0] / max(rows * passes, 1) for r in rules}  # warms up too
-        least = _least_times([nothing, *jobs.values()], rounds)
+        rows, passes = d.count(), min(20, 1 + timed_bytes // max(used, 1))
+        # Rows are repeated by a generator, below which the optimizer does not move a rule as it does below a join.
+        again = d.select("text", *STATISTICS, F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"))
+        tests = [F.col("n_words") < 0, *(r.rejects(F.col("text"), stats) for r in rules)]
+        least, counts = _least_times(again, tests, rounds)
     finally:
         d.unpersist()
-    costs = {r: max(t - least[0], 0.001 * passes) / passes for r, t in zip(rules, least[1:], strict=True)}
+    shares = {r: n / max(rows * passes, 1) for r, n in zip(rules, counts[1:], strict=True)}
+    costs = {r: max(t - least[0], 0.01) / passes for r, t in zip(rules, least[1:], strict=True)}
     value = lambda r: round(math.log2(shares[r] / 2 ** round(math.log2(costs[r])))) if shares[r] else -math.inf
     place = {r: i for i, r in enumerate(rules)}
     # Rules that reject nothing here go last.
     return sorted(((r, costs[r], shares[r]) for r in rules), key=lambda x: (-value(x[0]), place[x[0]]))
 
 
-def _least_times(jobs: list[DataFrame], rounds: int) -> list[float]:
-    """The shortest of several timings of each job, taken in turns."""
-    least = [math.inf] * len(jobs)
-    for _ in range(rounds):
-        for k, job in enumerate(jobs):
+def _least_times(rows: DataFrame, tests: list[Column], rounds: int) -> tuple[list[float], list[int]]:
+    """The shortest of several timings of each test over the rows, taken in turns after a first one, and how many it holds for."""
+    least, counts = [math.inf] * len(tests), [0] * len(tests)
+    for k in range(rounds + 1):
+        for i, test in enumerate(tests):
             began = time.perf_counter()
-            job.collect()  # one row
-            least[k] = min(least[k], time.perf_counter() - began)
-    return least
+            counts[i] = rows.agg(F.count_if(test)).first()[0]  # a new plan each time: an old one would keep its shuffled rows
+            least[i] = min(least[i], time.perf_counter() - began) if k else math.inf
+    return least, counts
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """id, the statistics of ``measure``, base_failed, kept, and the row itself if asked for."""
-    d = measure(docs, id_col, text_col, whole_rows=whole_rows)
+    # The row number keeps Catalyst from moving rules or filters below the statistics, where each mention would take them again.
+    d = measure(docs, id_col, text_col, whole_rows=whole_rows).withColumn("_at", F.monotonically_increasing_id())
     d = d.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     gone, stats = None, {c: F.col(c) for c in STATISTICS}
     for r, _, _ in order_rules(docs, rules, sample_rows, id_col=id_col, text_col=text_col):
         test = F.coalesce(r.rejects(F.col("text"), stats), F.lit(False))
         gone = F.when(test, F.lit(True)) if gone is None else gone.when(test, F.lit(True))
     failed = F.col("base_failed")
-    return d.withColumn("kept", ~(failed if gone is None else failed | gone.otherwise(F.lit(False)))).drop("text")
+    return d.withColumn("kept", ~(failed if gone is None else failed | gone.otherwise(F.lit(False))) & (F.col("_at") >= 0)).drop("text", "_at")
 
 
 def reject(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns, that the cascade keeps."""
     d = cascade(docs, rules, sample_rows, id_col, text_col, whole_rows=True)
-    # The row number keeps Catalyst from moving the filter below the projection, where it would take every statistic again.
-    return d.withColumn("at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("at") >= 0)).select("row.*")
+    return d.where("kept").select("row.*")

@@ -94,7 +94,7 @@ def test_rules_are_ordered_by_rejections_per_cost(spark, no_docs):
         order = Q.order_rules(d, rules)
         assert [r.name for r, _, _ in order] == ["fast", "slow", "never"] and [s for _, _, s in order] == [0.5, 0.5, 0]
     assert Q.order_rules(d, [never, rare])[0][0].name == "never" and len(Q.order_rules(no_docs)) == len(Q.RULES)
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert len({tuple(r.name for r, _, _ in Q.order_rules(docs)) for _ in range(2)}) == 1
 
 
