@@ -14,7 +14,7 @@ lost, whatever its size.
 Classes are the connected components of the links.
 
 Defined cases: null and empty texts are one word sequence (none) and so one class; a text of one to ``width - 1`` words is one
-shingle; equal rows fall into one class; class_id is the smallest id of the class, null if it has none; an empty table gives an
+shingle; a text of any length is compared whole; equal rows fall into one class; class_id is the smallest id of the class, null if it has none; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -229,7 +229,8 @@ def _second_candidates(star: DataFrame, similarity: float, every: bool = False,
     """
     # Counted from the table itself, so that the join below can be split where a leader has very many members.
     groups = star.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"), F.count_if(~F.col("linked")).alias("f")).where("f > 0").select("b", "k")
-    d = star.select("a", "b", "linked", (F.col("n_b") - F.size("only_b") + F.size("only_a")).alias("n"), F.concat("only_a", "only_b").alias("x")).join(groups, "b")
+    d = star.select("a", "b", "linked", (F.col("n_b") - F.size("only_b") + F.size("only_a")).alias("n"), F.concat("only_a", "only_b").alias("x"))
+    d = spread_join(d, groups, "b", "a")
     d = d.withColumn("at", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
     left = d.withColumn("j", F.explode(F.sequence("at", F.col("k") - 1))).select("b", F.col("at").alias("i"), "j", "a", "linked", "n", "x")
     right = d.withColumn("i", F.explode(F.sequence(F.lit(0), "at"))).select(*[F.col(c).alias(f"r_{n}") for c, n in (("b", "b"), ("i", "i"), ("at", "j"), ("a", "a"), ("linked", "linked"), ("n", "n"), ("x", "x"))])
@@ -249,23 +250,29 @@ def _second_candidates(star: DataFrame, similarity: float, every: bool = False,
     return left.groupBy("b", "i", "j").cogroup(right.groupBy("r_b", "r_i", "r_j")).applyInPandas(pairs, "a binary, b binary").distinct()
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", ways: int = 16) -> DataFrame:
+    """many joined to one, which has a row for each key: the rows of a hot key in many go to so many tasks, by the column ``by``."""
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    return salted.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, root: the smallest vertex of each vertex's component, by minimum labels and pointer jumping."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root"))
     while True:
         label = cut(label, "labels")
-        seen = both.join(label.select(F.col("v").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        seen = spread_join(both, label.select(F.col("v").alias("b"), "root"), "b", "a").groupBy("a").agg(F.min("root").alias("m"))
         new = label.join(seen, label["v"] == seen["a"]).select("v", "root", F.least("root", "m").alias("near"))
         jump = new.select(F.col("v").alias("near"), F.col("near").alias("far"))
-        new = cut(new.join(jump, "near", "left").select("v", "root", F.least("near", F.coalesce("far", "near")).alias("new")), "labels")
+        new = cut(spread_join(new, jump, "near", "v", "left").select("v", "root", F.least("near", F.coalesce("far", "near")).alias("new")), "labels")
         if new.where("new <> root").isEmpty():
             return label
         label = new.select("v", F.col("new").alias("root"))
 
 
-def _rooted(docs: DataFrame, width: int, bands: int, keep: int, similarity: float) -> DataFrame:
-    """id, v and root of every row; docs has id and text."""
+def _linked(docs: DataFrame, width: int, bands: int, keep: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id and v of every row, v and root of every vertex that has a link); docs has id and text."""
     rows = cut(_sketches(docs, width, bands, keep), "sketches")
     vertices = rows.where("n > 0").groupBy("v").agg(F.any_value("bands").alias("bands"))
     members = cut(vertices.select("v", F.posexplode("bands").alias("band", "value")), "members")
@@ -285,21 +292,31 @@ def _rooted(docs: DataFrame, width: int, bands: int, keep: int, similarity: floa
     if not refused.isEmpty():
         again = star.join(star.join(refused, "a", "left_semi").select("b").distinct(), "b", "left_semi")
         links = links.union(_verify(_second_candidates(again, similarity, every=True), texts, width, similarity, False).where("linked").select("a", "b"))
-    root = components(links)
-    return rows.select("id", "v").join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    return rows.select("id", "v"), components(links)
+
+
+def _named(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """v, n (rows that hold it) and m, the smallest (none, id, v) of its class, null ids last, for every vertex."""
+    low = cut(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("low")), "vertices")
+    members = cut(linked.join(low.select("v", "low"), "v"), "members")
+    best = members.groupBy("root").agg(F.min("low").alias("m"))
+    of_class = spread_join(members.select("v", "root"), best, "root", "v").select("v", "m")
+    return low.join(of_class, "v", "left").select("v", "n", F.coalesce("m", "low").alias("m"), F.col("low.id").alias("id"))
 
 
 def classes(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, keep: int = KEEP, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and class_id of every row."""
-    rooted = _rooted(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), width, bands, keep, similarity)
-    name = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
-    return rooted.join(name, "root").select("id", "class_id")
+    rows, linked = _linked(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), width, bands, keep, similarity)
+    named = cut(_named(rows, linked), "classes").withColumn("class_id", F.col("m.id"))
+    # A vertex of one row needs no join; the rows of the others meet their class in many tasks each.
+    several = spread_join(rows, named.where("n > 1").select("v", "class_id"), "v", "id")
+    return named.where("n = 1").select("id", "class_id").unionByName(several.select("id", "class_id"))
 
 
 def reject(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, keep: int = KEEP, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, all columns, of each class: the one with the smallest id. Equal rows count as one."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    best = _rooted(d.select("id", "text"), width, bands, keep, similarity).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("m"))
+    best = _named(*_linked(d.select("id", "text"), width, bands, keep, similarity)).select("m").distinct()
     kind = T.StructType().add("id", T.LongType()).add("v", T.BinaryType()).add(d.schema["row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,5 +326,7 @@ def reject(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, keep: int =
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([k.tobytes() for k in keys], pa.binary()), b.column("row")], names=["id", "v", "row"])
 
     best = best.select(F.col("m.id").alias("best"), F.col("m.v").alias("v"))
-    rows = d.mapInArrow(B.frugal(run), kind).join(best, "v").where(F.col("id").eqNullSafe(F.col("best")))
+    # The id is part of the key, so that copies of a class's first document go to other tasks than it does.
+    rows = d.mapInArrow(B.frugal(run), kind).withColumnRenamed("v", "of")
+    rows = rows.join(best, (F.col("of") == F.col("v")) & F.col("id").eqNullSafe(F.col("best")))
     return rows.groupBy("v").agg(F.first("row").alias("row")).select("row.*")
