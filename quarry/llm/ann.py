@@ -2,9 +2,11 @@
 
 A bounded sample of vectors (``sample_rows``) gives a neighbour graph, which is cut into equal parts with few
 crossing edges. A small network learns from each sampled vector the parts of its neighbours. It then assigns every
-vector to one part and each query to its most probable parts; the number of parts probed is the least that reaches
-``recall`` against brute force on the sample. Every vector is indexed. Parts are searched in blocks of a bounded size,
-so a part that holds a third of all vectors is many blocks; scores are taken again in double precision.
+vector to one part, and each query to its most probable parts until their probabilities add up to a threshold, the least that
+reaches ``recall`` against brute force on the sample: a query inside a cluster probes few parts, one between clusters many.
+The number of parts grows with the square root of the number of vectors, as far as the sample can teach them. A query
+whose parts hold fewer than ``k`` candidates probes all the others too. Every vector is indexed. Parts are searched in blocks of a
+bounded size, so a part that holds a third of all vectors is many blocks; scores are taken again in double precision.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null id
 or another dimension than most; equal scores go to the smaller id; a row never finds its own id; with fewer than ``k``
@@ -13,6 +15,7 @@ candidates the query gets all of them; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,8 +103,14 @@ class Router:
         return self._soft(np.maximum(x @ self.w[0] + self.b[0], 0) @ self.w[1] + self.b[1])
 
 
-def learn(sample: np.ndarray, parts: int, recall: float, k: int) -> tuple[Router, int]:
-    """The router, and how many parts it has to probe for this recall on the sample."""
+def probed(p: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of its most probable parts each row probes: until their probabilities reach the threshold."""
+    before = np.cumsum(-np.sort(-p, axis=1), axis=1)
+    return np.minimum((before < threshold - 1e-12).sum(1) + 1, p.shape[1])
+
+
+def learn(sample: np.ndarray, parts: int, recall: float, k: int) -> tuple[Router, float]:
+    """The router, and the threshold of probability that it has to reach for this recall on the sample."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     k = min(k, len(sample) - 1)
     graph = neighbours(unit, k)
@@ -116,8 +125,10 @@ def learn(sample: np.ndarray, parts: int, recall: float, k: int) -> tuple[Router
     place = np.argsort(np.argsort(-p[asked], axis=1), axis=1)
     true = neighbours(sample, k)[asked]
     where = np.take_along_axis(place, assigned[true], 1)
-    found = [(where < m).mean() for m in range(1, parts + 1)]
-    return router, next((m for m, r in enumerate(found, 1) if r >= recall), parts)
+    for threshold in (0.3, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99, 0.995):
+        if (where < probed(p[asked], threshold)[:, None]).mean() >= recall:
+            return router, threshold
+    return router, 1.0
 
 
 def block_top(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,9 +137,9 @@ def block_top(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: i
     order = np.lexsort((ci, which.ravel()))
     start = np.r_[0, np.cumsum(np.bincount(which.ravel(), minlength=len(unique)))]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    near = q @ unique.T
     take = min(k + 1, len(unique))
-    for i, row in enumerate(near):
+    # A slice of the queries at a time bounds the matrix of scores.
+    for i, row in ((a + j, row) for a in range(0, len(q), 512) for j, row in enumerate(q[a : a + 512] @ unique.T)):
         least = np.partition(row, len(row) - take)[len(row) - take]
         some = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
         score = (unique[some] * q[i]).sum(1)
@@ -142,7 +153,7 @@ def block_top(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: i
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 16, recall: float = 0.95, sample_rows: int = 4096, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None = None, recall: float = 0.95, sample_rows: int = 4096, block: int = 2048, query_block: int = 16_384, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
     """query_id, rank, id, score. is_query: of the column ``id``. exact: probe every part, for measuring recall."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
@@ -154,10 +165,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 16, r
     share = max(1, min(1 << 30, (2 * sample_rows << 30) // dims["count"]))
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
     sample = np.unique(np.array(chosen["v"].tolist()), axis=0)
-    while parts > 1 and len(sample) < 8 * parts:
+    parts = parts or 1 << max(1, round(math.log2(dims["count"] ** 0.5 / 2)))
+    while parts > 1 and len(sample) < 16 * parts:
         parts //= 2
-    router, probes = learn(sample, parts, recall, k) if parts > 1 else (None, 1)
-    probes = parts if exact else probes
+    router, threshold = learn(sample, parts, recall, k) if parts > 1 else (None, 1.0)
+    threshold = math.inf if exact else threshold
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,23 +177,36 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 16, r
             v = b.column("v").flatten().to_numpy().reshape(n, -1)
             asked = b.column("asked").to_numpy(zero_copy_only=False)
             p = router(v) if router else np.ones((n, 1))
-            order = np.argsort(-p, axis=1, kind="stable")[:, :probes].astype("i4")
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(order[:, 0]), pa.array([o if a else None for o, a in zip(order, asked, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "part", "probe"])
+            order, most = np.argsort(-p, axis=1, kind="stable").astype("i4"), probed(p, threshold)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(order[:, 0]), pa.array([o[:m] if a else None for o, m, a in zip(order, most, asked, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "part", "probe"])
 
     placed = cut(rows.withColumn("asked", is_query).mapInArrow(assign, "id long, v array<double>, part int, probe array<int>"), "ann")
-    asked = placed.where("probe is not null").select("id", "v", F.explode("probe").alias("part"))
-    size = lambda d: {r["part"]: -(-r["count"] // block) for r in d.groupBy("part").count().collect()}
-    blocks, groups = size(placed), size(asked)
-    number = lambda of, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "v"), F.get(F.lit([of.get(p, 0) or 1 for p in range(parts)]), "part")).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.get(F.lit([of.get(p, 0) or 1 for p in range(parts)]), "part").cast("int") - 1))
-    keys = ["part", "c", "g"]
-    there = placed.select("id", "v", "part", number(blocks, 1).alias("c")).withColumn("g", every(groups))
-    askers = asked.select("id", "v", "part", number(groups, 2).alias("g")).withColumn("c", every(blocks))
+    size = lambda d, of: {r["part"]: -(-r["count"] // of) for r in d.groupBy("part").count().collect()}
+    blocks = size(placed, block)
+    within = lambda counts: F.get(F.lit([counts.get(p, 0) or 1 for p in range(parts)]), "part").cast("int")
+    number = lambda counts, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "v"), within(counts)).cast("int")
+    every = lambda counts: F.explode(F.sequence(F.lit(0), within(counts) - 1))
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         got = block_top(q["id"].to_numpy(), np.array(q["v"].tolist()), c["id"].to_numpy(), np.array(c["v"].tolist()), k) if len(q) and len(c) else ((), (), ())
         return pd.DataFrame(dict(zip(("query_id", "id", "score"), got, strict=True))).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
-    found = askers.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(best, "query_id long, id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    def nearest(asked: DataFrame) -> DataFrame:
+        """The best k in each block that the queries (id, v, part) probe."""
+        keys, groups = ["part", "c", "g"], size(asked, query_block)
+        there = placed.select("id", "v", "part", number(blocks, 1).alias("c")).withColumn("g", every(groups))
+        askers = asked.select("id", "v", "part", number(groups, 2).alias("g")).withColumn("c", every(blocks))
+        return askers.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(best, "query_id long, id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    queries = placed.where("probe is not null")
+    got = cut(ranked(nearest(queries.select("id", "v", F.explode("probe").alias("part")))), "found")
+    full = got.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = queries.where(F.size("probe") < parts).join(full, "id", "left_anti")
+    if short.isEmpty():
+        return got
+    rest = F.explode(F.array_except(F.lit(list(range(parts))).cast("array<int>"), "probe")).alias("part")
+    again = nearest(short.select("id", "v", rest))
+    return ranked(got.select("query_id", "id", "score").unionByName(again))

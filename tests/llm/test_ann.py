@@ -51,3 +51,24 @@ def test_parts_are_balanced():
     x = np.random.default_rng(1).normal(size=(640, 16))
     at = ann.balanced_parts(x, ann.neighbours(x, 10), 8)
     assert np.bincount(at, minlength=8).max() <= 90
+
+
+def test_queries_whose_parts_hold_too_few_probe_all_others(spark):
+    r = np.random.default_rng(0)
+    centres, share = r.normal(size=(16, 16)) * 6, r.dirichlet(np.full(16, 0.7))
+    x = centres[r.choice(16, 260, p=share)] + r.normal(size=(260, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(d, F.col("id") % 20 == 0, k=20, parts=16).toPandas()
+    assert set(got.groupby("query_id").size()) == {20} and got.groupby("query_id")["rank"].max().eq(20).all()
+    want = _brute(np.arange(260), x, 20)
+    assert np.mean([len(set(g.id) & {i for i, _ in want[q]}) / 20 for q, g in got.groupby("query_id")]) >= 0.9
+
+
+def test_clusters_are_searched_in_few_parts():
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(32, 32)) * 3, 64, axis=0) + r.normal(size=(2048, 32))
+    router, threshold = ann.learn(x, 16, 0.95, 20)
+    assert ann.probed(router(x), threshold).mean() <= 4
+    assert list(ann.probed(np.array([[0.6, 0.3, 0.1], [0.1, 0.1, 0.8]]), 0.85)) == [2, 2]
+    assert list(ann.probed(np.array([[0.6, 0.3, 0.1]]), np.inf)) == [3]
