@@ -1,7 +1,7 @@
 r"""LM scoring by deleted interpolation of word n-grams.
 
 P(w | h) mixes the maximum-likelihood estimates of the bigram and the unigram and a uniform floor over the training
-vocabulary and one unknown word. The weights depend on the bucket of the context's frequency (powers of two) and are
+vocabulary and one unknown word. Counts are 64-bit numbers. The weights depend on the bucket of the context's frequency (powers of two) and are
 learned by expectation-maximisation on counts held out from the estimates: one training document in ``held_every``. The final
 estimates count all training documents. Tokens are words ``[^\x20\x09-\x0D]+``, A-Z lower-cased, and one end; the first token's
 context is a start symbol.
@@ -13,7 +13,8 @@ histogram of estimates for each frequency bucket, both of bounded size.
 
 Defined cases: a null text is empty; an empty document is the end token alone; without training documents N and
 the vocabulary are 0 and every token has probability 1 / (V + 1) = 1; repeated rows count again and score alike; a null id
-is learnt from only if ``learn`` says so; an empty table gives an empty result; other columns are ignored.
+is learnt from only if ``learn`` says so; a text of any length is scored whole, one over a block's size in a block of its own;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def asked(values: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
     number = np.empty(len(v), np.int64)
     number[order] = np.cumsum(new) - 1
-    counts = np.stack([np.bincount(number[role == r], minlength=int(new.sum())) for r in (0, 1)], 1).astype(np.uint32)
+    counts = np.stack([np.bincount(number[role == r], minlength=int(new.sum())) for r in (0, 1)], 1).astype(np.int64)
     return v[new], counts, number
 
 
@@ -80,14 +81,14 @@ def add_up(g: pd.DataFrame) -> pd.DataFrame:
     """The corpus's counts for each value that blocks ask for, sent to each; and sums over the bucket's different values."""
     keys = [B.expand_sorted(k, "u8") for k in g["keys"]]
     key = np.concatenate(keys)
-    counts = np.concatenate([B.expand(c, "u4").reshape(2, -1).T for c in g["counts"]]).astype(np.int64)
+    counts = np.concatenate([B.expand(c, "i8").reshape(2, -1).T for c in g["counts"]])
     order = np.argsort(key, kind="stable")
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     begin = np.flatnonzero(new)
     total = np.add.reduceat(counts[order], begin)
     back = np.empty(len(key), np.int64)
     back[order] = np.cumsum(new) - 1
-    all_counts = total[back].astype(np.uint32)
+    all_counts = total[back]
     true = total[~np.isin(key[order][begin], [START])]
     sums = [int((true[:, 0] > 0).sum()), int((true.sum(1) > 0).sum()), int(true[:, 0].sum()), int(true.sum())]
     rows, at = [], 0
@@ -101,8 +102,8 @@ def heard(answers: list, sizes: list[int]) -> list[np.ndarray]:
     """The counts for a block's words and bigrams, in the order in which it asked."""
     out: list[list] = [[], []]
     for a in sorted(answers, key=lambda a: a["bucket"]):
-        out[a["kind"]].append(B.expand(a["counts"], "u4").reshape(2, -1).T)
-    return [np.concatenate(x).astype(np.int64) if x else np.zeros((n, 2), np.int64) for x, n in zip(out, sizes, strict=True)]
+        out[a["kind"]].append(B.expand(a["counts"], "i8").reshape(2, -1).T)
+    return [np.concatenate(x) if x else np.zeros((n, 2), np.int64) for x, n in zip(out, sizes, strict=True)]
 
 
 def frequency_bucket(c: np.ndarray) -> np.ndarray:

@@ -73,3 +73,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[2] == by[3] == by[4] == 1 and by[10] == 30_001
     assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in L.score(odd_docs, learn=lambda i: F.lit(False)).collect())
     assert L.score(no_docs).count() == 0
+
+
+def test_counts_above_32_bits_add_up():
+    import pandas as pd
+
+    from quarry.llm import blocks as B
+
+    keys = np.array([5, 9], np.uint64)
+    sent = [(np.array([[3_000_000_000, 1], [1, 2]], np.int64), b) for b in (7, 8)]
+    g = pd.DataFrame([(0, 0, b, B.squeeze_sorted(keys), B.squeeze(np.ascontiguousarray(c.T).ravel())) for c, b in sent], columns=["kind", "bucket", "block_id", "keys", "counts"])
+    told = L.add_up(g)
+    assert told["n_main"].tolist() == [6_000_000_002, 0] and told["n_all"].tolist() == [6_000_000_008, 0]
+    words, _ = L.heard([{"kind": 0, "bucket": 0, "counts": told["counts"][1]}], [2, 0])
+    assert words.tolist() == [[6_000_000_000, 2], [2, 4]]
