@@ -17,6 +17,7 @@ are judged alike; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import itertools
 import math
 import time
 from collections.abc import Sequence
@@ -108,14 +109,12 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
     The sample is the table's first rows, at most sample_rows of them and those whose texts together take at most sample_bytes.
     """
     spark = docs.sparkSession
-    # A limit's rows come from as few partitions as it needs, one partition at a time.
+    # collect() of a limit reads as few partitions as it needs. Sizes come first, so that the texts that follow are bounded.
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some, used = [], 0
-    for row in docs.select(text.alias("text")).limit(sample_rows).toLocalIterator():
-        used += len(row["text"].encode("utf-8", "surrogatepass"))
-        if some and used > sample_bytes:
-            break
-        some.append(row)
+    sizes = [r["n"] for r in docs.select(F.octet_length(text).alias("n")).limit(sample_rows).collect()]
+    within = sum(total <= sample_bytes for total in itertools.accumulate(sizes))
+    some = docs.select(text.alias("text")).limit(max(1, within)).collect()
+    used = sum(sizes[: len(some)])
     given = spark.createDataFrame(some, "text string").withColumn("id", F.lit(0).cast("long"))
     d = measure(given, "id", "text").select("text", *STATISTICS).cache()
     stats = {c: F.col(c) for c in STATISTICS}
