@@ -153,7 +153,7 @@ def block_top(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: i
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None = None, recall: float = 0.95, sample_rows: int = 4096, block: int = 2048, query_block: int = 16_384, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None = None, recall: float = 0.95, sample_rows: int = 4096, block: int = 2048, query_block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
     """query_id, rank, id, score. is_query: of the column ``id``. exact: probe every part, for measuring recall."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
