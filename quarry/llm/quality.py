@@ -7,8 +7,8 @@ cost alone: a document is kept if no rule rejects it.
 
 A rule's cost is what it adds to a job that reads the cached sample so often that ``timed_bytes`` go by: the least of several timings, so that
 compilation and other work of the machine drop out, less the least of the same job without a rule, so that starting a job
-does too. Costs within a factor of two count as equal, and equal rules keep the order in which they are listed; so
-the order does not hang on the clock's noise. Rules read the statistics that are there and count nothing again.
+does too. What is under half of that job can't be told from noise and counts as half; costs within a factor of two count as
+equal, and equal rules keep the order in which they are listed; so the order does not hang on the clock's noise. Rules read the statistics that are there and count nothing again.
 
 Words are ``[^\x20\x09-\x0D]+``. Defined cases: null and empty texts have no words (all statistics 0) and fail
 the base rule; texts under eight words have no windows; a text of any length is measured whole; repeated rows
@@ -119,7 +119,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
     d = measure(given, "id", "text").select("text", *STATISTICS).cache()
     stats = {c: F.col(c) for c in STATISTICS}
     try:
-        rows, passes = d.count(), min(20, 1 + timed_bytes // max(used, 1))
+        rows, passes = d.count(), min(2000, 1 + timed_bytes // max(used, 1))
         # Rows are repeated by a generator, below which the optimizer does not move a rule as it does below a join.
         again = d.select("text", *STATISTICS, F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"))
         tests = [F.col("n_words") < 0, *(r.rejects(F.col("text"), stats) for r in rules)]
@@ -127,7 +127,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
     finally:
         d.unpersist()
     shares = {r: n / max(rows * passes, 1) for r, n in zip(rules, counts[1:], strict=True)}
-    costs = {r: max(t - least[0], 0.01) / passes for r, t in zip(rules, least[1:], strict=True)}
+    costs = {r: max(t - least[0], least[0] / 2) / passes for r, t in zip(rules, least[1:], strict=True)}
     value = lambda r: round(math.log2(shares[r] / 2 ** round(math.log2(costs[r])))) if shares[r] else -math.inf
     place = {r: i for i, r in enumerate(rules)}
     # Rules that reject nothing here go last.
