@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,43 +151,61 @@ def part_of(task: int, buckets: int) -> int:
         skip, start = skip - len(fits), int(some[-1]) + 1
 
 
-def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole_rows: bool = False) -> tuple[DataFrame, int]:
+def bucket_count(spark: SparkSession, size: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+
+
+def write_bucketed(df: DataFrame, buckets: int, label: str) -> DataFrame:
+    """df as a table bucketed by part in the shared folder: joins on part read it without moving it."""
+    spark = df.sparkSession
+    name, path = f"{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
+    table = spark.table(name)
+    # The plan knows the files and their buckets; the catalog need not keep the name. The files go with the application.
+    spark.sql(f"DROP TABLE {name}")
+    forget(spark, path)
+    return table
+
+
+def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole_rows: bool = False, apart: Column | None = None) -> tuple[DataFrame, int]:
     """(part, block_id, ids, texts and, if asked for, whole rows; the bytes of all texts). A text over block_bytes is a block of its own.
 
+    Rows where apart (a condition on docs) holds don't share blocks with others.
     A part is what one task writes, and its bucket goes by part: one file for each task, evenly over a number of buckets that
     follows the bytes. The high half of a block's id is its part.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    buckets, whole = bucket_count(spark, size), apart is None
+
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if whole:
+                yield b
+            else:
+                yield b.filter(pc.invert(b.column("apart")))
+                yield b.filter(b.column("apart"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         made, task = 0, part_of(TaskContext.get().partitionId(), buckets)
-        for b in batches:
+        for b in divided(batches):
             ids, texts = b.column("id"), b.column("text").fill_null("")
             _, offsets = text_bytes(texts)
             at = 0
             while at < len(ids):
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes, side="right")) - 1)
-                whole = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([b.column("row")[at:end]]))] if whole_rows else []
+                rows = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([b.column("row")[at:end]]))] if whole_rows else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([task], pa.int32()), pa.array([(task << 32) + made], pa.int64()), pa.array([ids[at:end].to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([texts[at:end]])), *whole],
-                    names=["part", "block_id", "ids", "texts", "rows"][: 4 + len(whole)],
+                    [pa.array([task], pa.int32()), pa.array([(task << 32) + made], pa.int64()), pa.array([ids[at:end].to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([texts[at:end]])), *rows],
+                    names=["part", "block_id", "ids", "texts", "rows"][: 4 + len(rows)],
                 )
                 at, made = end, made + 1
 
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(True).alias(" ")).alias("row")
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([others] if whole_rows else []))
-    name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
-    out = d.mapInArrow(frugal(gather), _schema(d, whole_rows))
-    out.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
-    table = spark.table(name)
-    # The plan knows the files and their buckets; the catalog need not keep the name. The files go with the application.
-    spark.sql(f"DROP TABLE {name}")
-    forget(spark, path)
-    return table, size
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([others] if whole_rows else []), *([] if apart is None else [F.coalesce(apart, F.lit(False)).alias("apart")]))
+    return write_bucketed(d.mapInArrow(frugal(gather), _schema(d, whole_rows)), buckets, "blocks"), size
 
 
 def with_answers(table: DataFrame, told: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -197,6 +216,18 @@ def with_answers(table: DataFrame, told: DataFrame, columns: list[str], name: st
     return d.withColumn(name, F.filter(name, lambda a: a["block_id"] == F.col("block_id")))
 
 
+def written_answers(told: DataFrame, columns: list[str], sums: list[str], buckets: int) -> DataFrame:
+    """(part, answers, sums): told, moved once to the blocks' buckets and written there; sums are totals of told's columns for each part."""
+    d = told.withColumn("part", F.shiftright("block_id", 32).cast("int")).repartition(buckets, "part")
+    return write_bucketed(d.groupBy("part").agg(F.collect_list(F.struct("block_id", *columns)).alias("answers"), *[F.sum(c).alias(c) for c in sums]), buckets, "answers")
+
+
+def join_answers(table: DataFrame, written: DataFrame, name: str) -> DataFrame:
+    """The blocks with name: their answers, joined bucket by bucket."""
+    d = table.join(written.select("part", F.col("answers").alias(name)), "part", "left")
+    return d.withColumn(name, F.filter(name, lambda a: a["block_id"] == F.col("block_id")))
+
+
 def frugal(run: Callable) -> Callable:
     """run for mapInArrow, after which a worker that waits for its next task gives free memory back to the system."""
 

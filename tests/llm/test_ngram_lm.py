@@ -34,23 +34,29 @@ def test_base_score_against_counting(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
-def test_score_is_the_mixture(spark, monkeypatch):
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_score_is_the_mixture(spark, monkeypatch, block_bytes):
     """With fixed weights the score follows from counts alone."""
-    fixed = np.array([0.5, 0.3, 0.2])
+    fixed = np.array([0.4, 0.25, 0.2, 0.15])
     monkeypatch.setattr(L, "learn_weights", lambda cells, v: {-1: fixed})
-    rows = [(i, t) for i, t in enumerate(["a b a b c", "b a b", "A c c c", "", "a b d", None, "q"])]
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "b a b", "A c c c", "", "a b d", None, "q", "b a b c", "x a b a q"])]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: r["score"] for r in L.score(d, learn=lambda i: i < 4).collect()}
+    got = {r["id"]: r["score"] for r in L.score(d, learn=lambda i: i < 4, block_bytes=block_bytes).collect()}
     train = [["<s>", *_tokens(t)] for i, t in rows if i < 4]
-    one, two, ctx = Counter(), Counter(), Counter()
+    one, two, three, ctx = Counter(), Counter(), Counter(), Counter()
     for k in train:
         one.update(k[1:])
         two.update(zip(k, k[1:], strict=False))
+        three.update(zip(k, k[1:], k[2:], strict=False))
         ctx.update(k[:-1])
     n, v = sum(one.values()), len(one)
     for i, t in rows:
         k = ["<s>", *_tokens(t)]
-        want = sum(math.log10(0.5 * two[h, w] / max(ctx[h], 1) + 0.3 * one[w] / n + 0.2 / (v + 1)) for h, w in zip(k, k[1:], strict=False))
+        want = 0.0
+        for at in range(1, len(k)):
+            f2 = two[k[at - 1], k[at]] / max(ctx[k[at - 1]], 1)
+            f3 = three[tuple(k[at - 2 : at + 1])] / max(two[k[at - 2], k[at - 1]], 1) if at > 1 else f2
+            want += math.log10(0.4 * f3 + 0.25 * f2 + 0.2 * one[k[at]] / n + 0.15 / (v + 1))
         assert got[i] == pytest.approx(want)
 
 
@@ -60,10 +66,20 @@ def test_small_blocks_and_buckets_give_the_same_scores(spark):
     assert np.allclose(np.array(a, float), np.array(b, float))
 
 
-def test_weights_rise_with_the_share_that_bigrams_explain():
-    w = L.learn_weights([(1, L.UNSEEN, 8, 100), (9, 2, 30, 1000)], 50)
-    assert w[9][0] > 0.8 > w[1][0] and all(abs(x.sum() - 1) < 1e-9 for x in w.values())
-    assert L.learn_weights([], 0).keys() == {-1}
+def test_weights_rise_with_the_share_that_longer_contexts_explain():
+    w = L.learn_weights(np.array([(1, L.UNSEEN, L.UNSEEN, 8, 100), (9, L.UNSEEN, 2, 30, 1000), (L.LONG + 3, 1, 20, 30, 1000)]), 50)
+    assert w[9][1] > 0.8 > w[1][1] and w[L.LONG + 3][0] > 0.8 and all(abs(x.sum() - 1) < 1e-9 for x in w.values())
+    assert L.learn_weights(np.zeros((0, 5)), 0).keys() == {-1}
+
+
+def test_text_that_occurs_twice_scores_far_above_the_rest(spark):
+    """A model of the whole corpus knows the runs of words of a text whose copy it has learnt from."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").dropDuplicates(["text"]).where("length(text) > 100").cache()
+    texts = d.count()
+    twice = d.unionByName(d.where("doc_id % 10 = 3").selectExpr("doc_id + 1000000 doc_id", "text"))
+    got = {r["id"]: r["score"] / r["n_tokens"] for r in L.score(twice, learn=lambda i: i < 1_000_000, block_bytes=20_000).collect()}
+    alone = {r["id"]: r["score"] / r["n_tokens"] for r in L.score(d, learn=lambda i: i % 10 != 3, block_bytes=20_000).collect() if r["id"] % 10 == 3}
+    assert texts > 50 and all(got[i + 1_000_000] > alone[i] for i in alone)
 
 
 def test_odd_rows(odd_docs, no_docs):
