@@ -217,15 +217,15 @@ def with_answers(table: DataFrame, told: DataFrame, columns: list[str], name: st
 
 
 def written_answers(told: DataFrame, columns: list[str], sums: list[str], buckets: int) -> DataFrame:
-    """(part, answers, sums): told, moved once to the blocks' buckets and written there; sums are totals of told's columns for each part."""
+    """(part, block_id, answers, sums): told, moved once to the blocks' buckets and written there; sums are totals of told's columns for each block."""
     d = told.withColumn("part", F.shiftright("block_id", 32).cast("int")).repartition(buckets, "part")
-    return write_bucketed(d.groupBy("part").agg(F.collect_list(F.struct("block_id", *columns)).alias("answers"), *[F.sum(c).alias(c) for c in sums]), buckets, "answers")
+    return write_bucketed(d.groupBy("part", "block_id").agg(F.collect_list(F.struct(*columns)).alias("answers"), *[F.sum(c).alias(c) for c in sums]), buckets, "answers")
 
 
 def join_answers(table: DataFrame, written: DataFrame, name: str) -> DataFrame:
-    """The blocks with name: their answers, joined bucket by bucket."""
-    d = table.join(written.select("part", F.col("answers").alias(name)), "part", "left")
-    return d.withColumn(name, F.filter(name, lambda a: a["block_id"] == F.col("block_id")))
+    """The blocks with name: their answers, joined bucket by bucket. The difference keeps block_id out of the keys, by which the tables aren't dealt."""
+    w = written.select(F.col("part").alias("of"), F.col("block_id").alias("to"), F.col("answers").alias(name))
+    return table.join(w, (F.col("part") == F.col("of")) & (F.col("block_id") - F.col("to") == 0), "left").drop("of", "to")
 
 
 def frugal(run: Callable) -> Callable:

@@ -160,7 +160,7 @@ def learn_weights(cells: np.ndarray, v: int, rounds: int = 60, backing: float =
     return {-1: every} | {int(b): run(np.flatnonzero(buckets == b), every * backing) for b in np.unique(buckets)}
 
 
-def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_rows: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_rows: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES // 2) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score (add-half unigram), score. learn: of the id, the rows that may be learnt from."""
     spark = docs.sparkSession
     held = lambda i: F.pmod(F.xxhash64(F.lit(17), i), F.lit(held_every)) == 0
@@ -202,12 +202,12 @@ def score(docs: DataFrame, learn: object = None, held_every: int = 10, bucket_ro
     sums = first.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v_main", "v_all", "n_main", "n_all")]).first().asDict()
     both = B.join_answers(table, first, "answers")
     second = told(both.select("block_id", "texts", "ids", "roles", "answers"), ask_again, [])
-    both = B.join_answers(both, second, "more").select("ids", "texts", "roles", F.concat("answers", F.coalesce("more", F.array())).alias("answers"))
+    both = B.join_answers(both, second, "more").select("ids", "texts", "roles", "answers", "more")
 
     def estimates(b: pa.RecordBatch, i: int, texts: pa.Array, which: slice, n: int) -> tuple:
         roles = b.column("roles")[i].values.to_numpy()
         (words, pairs), at_context, doc, triple = questions(roles, texts)
-        answers = b.column("answers")[i].as_py()
+        answers = b.column("answers")[i].as_py() + (b.column("more")[i].as_py() or [])
         near, own = later(pairs[2], heard_shared(answers, pairs[0], buckets), doc)
         threes, alone = (asked(triple[at - 1], roles[doc[at]]) for at in (near, own))
         counts = heard(answers, [len(words[0]), len(pairs[0]), len(threes[0])])
