@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, near_dedup, ngram_lm, packing, piece_sampling, quality, sharding, substring, toxicity, url_filter
+from quarry.llm import ann, merkle, near_dedup, ngram_lm, packing, piece_sampling, quality, sharding, substring, toxicity, url_filter
+from quarry.llm.url_filter import LOWER, UPPER
 from quarry.session import ready
 
 PAGE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -66,8 +67,15 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_merkle_coordinate_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(_fold(F.col("doc_id"), 3) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    p = merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), other={"text": tampered}))
+    p = p.withColumn("folded_root", merkle.fold(F.col("other"), F.col("steps")))
+    return p.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op3_gumbel_segmentations, op4_order_minhash, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op8_deleted_interpolation, op9_external_shuffle, op10_prefix_suffix_trees)}
+    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op3_gumbel_segmentations, op4_order_minhash, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op8_deleted_interpolation, op9_external_shuffle, op10_prefix_suffix_trees, op11_merkle_coordinate_proofs)}
 
 
 def oracle_sql() -> dict[str, str]:
