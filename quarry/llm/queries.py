@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, merkle, near_dedup, ngram_lm, packing, piece_sampling, quality, sharding, substring, toxicity, url_filter
+from quarry.llm import ann, chat, fim, merkle, near_dedup, ngram_lm, packing, piece_sampling, quality, sharding, substring, toxicity, url_filter
 from quarry.llm.url_filter import LOWER, UPPER
-from quarry.session import ready
+from quarry.session import cut, ready
 
 PAGE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -74,8 +74,22 @@ def op11_merkle_coordinate_proofs(spark: SparkSession, sf_dir: str) -> DataFrame
     return p.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    out = cut(chat.formatted(chat.paths(chat.threads(rows))), "chats")
+    return chat.read_back(out).withColumnRenamed("conv", "conv_id").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op13_parallel_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fim.transform(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return d.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op3_gumbel_segmentations, op4_order_minhash, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op8_deleted_interpolation, op9_external_shuffle, op10_prefix_suffix_trees, op11_merkle_coordinate_proofs)}
+    return {f.__name__: f for f in (op1_toxicity_string_kernel, op2_histogram_packing, op3_gumbel_segmentations, op4_order_minhash, op5_learned_partitions, op6_url_vocabulary, op7_quality_cascade, op8_deleted_interpolation, op9_external_shuffle, op10_prefix_suffix_trees, op11_merkle_coordinate_proofs, op12_reply_trees, op13_parallel_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
