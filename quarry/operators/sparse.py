@@ -1,47 +1,233 @@
-"""BM25 over an inverted table: postings, document and term statistics, and scored top-k for a table of questions."""
+"""BM25 over blocks of documents: postings, document and term statistics, and exact top-k for a table of questions.
+
+A block holds the postings of some documents, by term, with 32-bit offsets instead of ids. Beside it stands, for every term, the
+most that the term can give any of its documents. A question's bound for a block is the sum of those over its terms. Search
+takes two passes: the block with the best bound gives each question a threshold (its k-th best score there), then only blocks whose bound
+reaches the threshold are scored, whole groups of questions at once. Inside a block the terms that cannot reach the
+threshold together are looked up only for documents that the other terms leave in the race. What moves is a
+bound for each question and block, the questions' terms, and k rows for each question and task, never a row for each question and document.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.session import cut, ready
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+BLOCK_DOCS, BLOCK_TOKENS = 2048, 1 << 19
+#: Questions that a block is scored for at once.
+GROUP = 512
+#: Scores that differ by less count as equal where a bound decides.
+SLACK = 1e-8
+
+_BLOCKS = "block long, ids array<bigint>, lengths array<int>, terms array<string>, ends array<int>, docs array<int>, tf array<int>"
+_names = lambda schema: [c.split()[0] for c in schema.split(", ")]
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings(term, id, tf, dl), terms(term, df, idf) and corpus(n, avgdl), one row."""
+    """blocks, bounds(block, terms, best), terms(term, df, idf), corpus(n, avgdl), one row, and dead(block, dead): offsets of documents that are no more."""
 
-    postings: DataFrame
+    blocks: DataFrame
+    bounds: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    dead: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, id, tf, dl, without those of dead documents."""
+        return postings(self.blocks, self.dead)
+
+
+def impact(tf, length, avgdl):
+    """What one occurrence list gives a document, without the term's weight. Columns or arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
+
+
+def gather(docs: DataFrame, segment: int = 0) -> DataFrame:
+    """Blocks of docs(id, tokens), in the order and partitions in which they come; nothing is shuffled. segment keeps block numbers apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = (segment << 48) | (TaskContext.get().partitionId() << 24)
+        for b in batches:
+            sizes = np.diff(b.column("tokens").offsets.to_numpy())
+            total, at = np.r_[0, np.cumsum(sizes)], 0
+            while at < b.num_rows:
+                end = min(at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(total, total[at] + BLOCK_TOKENS, side="right")) - 1))
+                n, coded = end - at, b.column("tokens").slice(at, end - at).flatten().dictionary_encode()
+                key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes[at:end]), return_counts=True)
+                ends = np.cumsum(np.bincount(key // n, minlength=len(coded.dictionary)))
+                row = [b.column("id").slice(at, n), sizes[at:end], coded.dictionary, ends, key % n, tf]
+                kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t)) for x, t in zip(row, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *lists], names=_names(_BLOCKS))
+                at, block = end, block + 1
+
+    return docs.mapInArrow(run, _BLOCKS)
 
 
-def counted(tokens: Column) -> Column:
-    """array<struct<term, tf>> of the different tokens, from the places where the sorted array changes."""
-    at = lambda s, i: F.get(s, i)
-    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != at(s, i - 1)), i)), lambda i: i.isNotNull())
-    # Arrays of one bind the sorted tokens and the places, so that neither is computed again for each element.
-    bound = F.transform(F.array(F.array_sort(tokens)), lambda s: F.struct(s.alias("s"), begins(s).alias("b")))
-    runs = lambda z: F.transform(z["b"], lambda i, k: F.struct(at(z["s"], i).alias("term"), (F.coalesce(F.get(z["b"], k + 1), F.size(z["s"])) - i).cast("long").alias("tf")))
-    return F.get(F.transform(bound, runs), 0)
+def document_counts(blocks: DataFrame) -> DataFrame:
+    """term, df: in how many documents of the blocks each term is."""
+    each = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.get("ends", i) - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long").alias("n")))
+    return blocks.select(F.inline(each)).groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def build(chunks: DataFrame, id_col: str, text: Column) -> SparseIndex:
-    """Term frequencies are counted inside each row before any shuffle, so a frequent term costs a row for each document."""
-    t = chunks.select(F.col(id_col).alias("id"), X.tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
-    corpus = t.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = t.select("id", "dl", F.explode(counted(F.col("tokens"))).alias("p")).select("p.term", "id", "dl", "p.tf")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(corpus).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def sizes(blocks: DataFrame) -> DataFrame:
+    """documents and tokens of the blocks, one row."""
+    return blocks.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("documents"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("tokens"))
+
+
+def weighed(counts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """terms(term, df, idf) from counts(term, df). Terms in more than half of all documents get a share of the mean over the vocabulary, negative ones included in that mean."""
+    raw = counts.join(corpus).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    # Terms in more than half of all documents get a share of the mean over the vocabulary, negative ones included in that mean.
-    terms = raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, terms, corpus)
+    return raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def bounded(blocks: DataFrame, corpus: DataFrame) -> DataFrame:
+    """bounds(block, terms, best): the largest impact of each term in each block, at this average length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                held = _Block(b, k, b.column("avgdl")[k].as_py())
+                best = np.maximum.reduceat(held.impacts(slice(None)), held.begins) if len(held.begins) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([b.column("block").slice(k, 1), b.column("terms").slice(k, 1), pa.array([best], pa.list_(pa.float64()))], names=["block", "terms", "best"])
+
+    return blocks.join(corpus.select("avgdl")).mapInArrow(run, "block long, terms array<string>, best array<double>")
+
+
+def build(chunks: DataFrame, id_col: str, text: Column, together: Sequence[str] = ()) -> SparseIndex:
+    """Tokens are taken once and written as blocks. Documents alike in the columns together share blocks (at the price of a shuffle), which tightens bounds."""
+    ready(chunks.sparkSession)
+    d = chunks.select(F.col(id_col).cast("long").alias("id"), X.tokens(text).alias("tokens"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(together)])
+    if together:
+        by = [f"_{k}" for k in range(len(together))]
+        d = d.withColumn("_n", F.size("tokens")).repartitionByRange(*by, "_n").sortWithinPartitions(*by, "_n")
+    blocks = cut(gather(d.select("id", "tokens")), "sparse-blocks")
+    corpus = sizes(blocks).select(F.col("documents").alias("n"), F.try_divide("tokens", "documents").alias("avgdl"))
+    return SparseIndex(blocks, bounded(blocks, corpus), weighed(document_counts(blocks), corpus), corpus)
+
+
+class _Block:
+    """A row of a batch of blocks as arrays."""
+
+    def __init__(self, b: pa.RecordBatch, k: int, avgdl: float) -> None:
+        get = lambda c: b.column(c)[k].values.to_numpy(zero_copy_only=False)
+        self.lengths, self.ends, self.docs, self.tf, self.avgdl = get("lengths"), get("ends").astype(np.int64), get("docs"), get("tf"), avgdl
+        self.terms, self.begins = b.column("terms")[k].values, np.r_[0, self.ends[:-1]].astype(np.int64) if len(self.ends) else np.zeros(0, np.int64)
+
+    def impacts(self, at) -> np.ndarray:
+        return impact(self.tf[at], self.lengths[self.docs[at]], self.avgdl)
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, … of every range, end to end."""
+    return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
+def score_block(held: _Block, question: np.ndarray, words: pa.Array, weight: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, int]:
+    """(scores of all questions and documents, -inf for those out of the race; postings that were scored).
+
+    question, words and weight are the questions' terms; least is each question's threshold.
+    """
+    nq, nd = len(least), len(held.lengths)
+    at = pc.fill_null(pc.index_in(words, value_set=held.terms), -1).to_numpy()
+    q, w, at = question[at >= 0], weight[at >= 0], at[at >= 0]
+    begins, n = held.begins[at], held.ends[at] - held.begins[at]
+    wanted, inverse = np.unique(at, return_inverse=True)
+    own = held.ends[wanted] - held.begins[wanted]
+    impacts, first = held.impacts(_ranges(held.begins[wanted], own)), (np.cumsum(own) - own)[inverse]
+    best = np.maximum.reduceat(impacts, np.cumsum(own) - own)[inverse] if len(wanted) else np.zeros(0)
+    most = np.maximum(w * best, 0)
+    # By question, the least promising terms first; those that stay under the threshold together are the second wave.
+    order = np.lexsort((most, q))
+    run = np.cumsum(most[order])
+    start = np.searchsorted(q[order], np.arange(nq))
+    run -= np.r_[0, run][start][q[order]]
+    second = np.zeros(len(q), bool)
+    second[order] = run < least[q[order]] - SLACK
+    rest = np.bincount(q[second], most[second], nq)
+
+    def wave(which: np.ndarray, among: np.ndarray | None) -> tuple[np.ndarray, int]:
+        cell = np.repeat(q[which] * nd, n[which]) + held.docs[_ranges(begins[which], n[which])]
+        value = np.repeat(w[which], n[which]) * impacts[_ranges(first[which], n[which])]
+        if among is not None:
+            cell, value = cell[among[cell]], value[among[cell]]
+        return np.bincount(cell, value, nq * nd), len(cell)
+
+    total, scored = wave(~second, None)
+    race = total + np.repeat(rest, nd) >= np.repeat(least, nd) - SLACK
+    if second.any():
+        more, late = wave(second, race)
+        total, scored = total + more, scored + late
+    total[~race] = -np.inf
+    return total.reshape(nq, nd), scored
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best positive scores, as the final ranking orders them."""
+    at = np.flatnonzero(scores > 0)
+    if len(at) > k:
+        r = np.round(scores[at], 9)
+        kth = -np.partition(-r, k - 1)[k - 1]
+        at, r = at[r >= kth], r[r >= kth]
+        at = at[np.lexsort((ids[at], -r))[:k]]
+    return at
+
+
+def _evaluate(index: SparseIndex, pairs: DataFrame, asked: DataFrame, groups: int, k: int) -> DataFrame:
+    """qid, id, bm25_score of the k best of each of pairs(qid, block, least) that reach least. asked: qid, words."""
+    apart = F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("group")
+    told = pairs.join(asked, "qid").groupBy("block", apart).agg(F.collect_list(F.struct("qid", "least", "words")).alias("asked"))
+    d = index.blocks.join(told, "block").join(index.corpus.select("avgdl"))
+    d = d.withColumn("dead", F.array().cast("array<int>")) if index.dead is None else d.join(index.dead, "block", "left").withColumn("dead", F.coalesce("dead", F.array().cast("array<int>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                held, told = _Block(b, row, b.column("avgdl")[row].as_py()), b.column("asked")[row].values
+                words = told.field("words")
+                own = np.diff(words.offsets.to_numpy())
+                flat = words.flatten()
+                total, _ = score_block(held, np.repeat(np.arange(len(told)), own), flat.field("term"), flat.field("weight").to_numpy(), told.field("least").to_numpy())
+                total[:, b.column("dead")[row].values.to_numpy()] = -np.inf
+                ids = b.column("ids")[row].values
+                low = pc.fill_null(ids, -(1 << 63)).to_numpy()
+                found = [_best(s, low, k) for s in total]
+                q, at = np.repeat(np.arange(len(told)), [len(x) for x in found]), np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([told.field("qid").take(pa.array(q)), ids.take(pa.array(at)), pa.array(total[q, at])], names=["qid", "id", "bm25_score"])
+
+    return d.select(*index.blocks.columns, "asked", "avgdl", "dead").mapInArrow(run, "qid long, id long, bm25_score double")
+
+
+def postings(blocks: DataFrame, dead: DataFrame | None = None, kept: bool = True) -> DataFrame:
+    """term, id, tf, dl of the documents of blocks that are not dead, or of those that are."""
+    none = F.array().cast("array<int>")
+    d = blocks.withColumn("dead", none) if dead is None else blocks.join(dead, "block", "left").withColumn("dead", F.coalesce("dead", none))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                held, ids = _Block(b, k, 1.0), b.column("ids")[k].values
+                out = np.isin(held.docs, b.column("dead")[k].values.to_numpy(), invert=kept)
+                term = np.repeat(np.arange(len(held.ends)), held.ends - held.begins)[out]
+                docs = held.docs[out]
+                yield pa.RecordBatch.from_arrays([held.terms.take(pa.array(term)), ids.take(pa.array(docs)), pa.array(held.tf[out].astype(np.int64)), pa.array(held.lengths[docs])], names=["term", "id", "tf", "dl"])
+
+    return d.select(*blocks.columns, "dead").mapInArrow(run, "term string, id long, tf long, dl int")
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -49,17 +235,25 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(X.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def score(index: SparseIndex, questions: DataFrame) -> DataFrame:
-    """qid, id, bm25_score of every document that holds a term of the question."""
-    asked = question_terms(questions).join(index.terms, "term")
-    hits = index.postings.join(asked, "term").join(index.corpus)
-    tf, length = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * length)
-    return hits.groupBy("qid", "id").agg(F.sum(part).alias("bm25_score"))
+def block_bounds(index: SparseIndex, asked: DataFrame) -> DataFrame:
+    """qid, block, bound: the most that any document of the block can score. asked: qid, term, weight."""
+    each = index.bounds.select("block", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("best").alias("best"))))
+    return each.join(asked, "term").groupBy("qid", "block").agg(F.sum(F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))).alias("bound"))
 
 
 def search(index: SparseIndex, questions: DataFrame, k: int = 30) -> DataFrame:
     """qid, id, bm25_score, sparse_rank: the k best with a positive score, ties to the smaller id."""
-    best = score(index, questions).where("bm25_score > 0")
+    ready(questions.sparkSession)
+    asked = cut(question_terms(questions).join(index.terms, "term").select(F.col("qid").cast("long").alias("qid"), "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
+    words = cut(asked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("words")), "asked-words")
+    groups = -(-words.count() // GROUP) or 1
+    bounds = cut(block_bounds(index, asked), "block-bounds")
+    first = bounds.groupBy("qid").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    found = cut(_evaluate(index, first.withColumn("least", F.lit(0.0)), words, groups, k), "first-pass")
+    least = found.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("bm25_score")).otherwise(0.0).alias("least"))
+    rest = bounds.join(first.select("qid", F.col("block").alias("_block")), "qid").where("block <> _block").join(least, "qid", "left")
+    rest = rest.withColumn("least", F.coalesce("least", F.lit(0.0))).where(F.col("bound") >= F.col("least") - SLACK).select("qid", "block", "least")
+    if rest.take(1):
+        found = found.unionByName(_evaluate(index, rest, words, groups, k))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("bm25_score", 9)), "id"))
-    return best.withColumn("sparse_rank", rank).where(F.col("sparse_rank") <= k)
+    return found.withColumn("sparse_rank", rank).where(F.col("sparse_rank") <= k)
