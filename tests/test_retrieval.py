@@ -46,7 +46,7 @@ def test_fusion(spark):
 def test_dense_batches_and_ties(spark, monkeypatch):
     v = frame(spark, [(i, [float(i % 3), 1.0]) for i in range(12)] + [(None, [9.0, 9.0]), (99, None)], "vec_id long, embedding array<float>")
     q = frame(spark, [(q, [1.0, 0.0]) for q in range(5)], "qid long, embedding array<float>")
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(dense, "GROUP", 2)
     got = dense.search(v, q, 5).orderBy("qid", "dense_rank").collect()
     assert [r["id"] for r in got if r["qid"] == 4] == [2, 5, 8, 11, 1] and len(got) == 25
     assert dense.search(v, q.where("1 = 0")).count() == 0
