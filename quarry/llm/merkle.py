@@ -6,10 +6,11 @@ digest of their digests, until one node, the subroot, remains. Subroots in order
 top is the root. All nodes are kept in a table (tree, level, pos, digest).
 
 A proof is looked up, not walked: from a node's place and the tree's size follow the coordinates of the siblings that it
-needs, which are exploded, joined to the node table and put in order. A node asks for two levels (14 siblings) itself; what
-lies above is the same for all 64 nodes of its page, so the node two levels up asks for it once, and pages pass their answers
-down. No key of the join is asked for by more than 64 nodes, whatever the size of the tree, and the number of rounds is the
-tree's height. The proof folds back to a root by hashing the leaf with its siblings level by level.
+needs, which are exploded, looked up in the node table and put in order. The node table is joined a page at a time: the 64 nodes
+of a level that share the node two levels up, and their 8 parents, hold all that any of them asks for on two levels. What lies
+above is the same for the whole page, so the node two levels up asks for it once and passes it down with its page. So a leaf moves
+once, no key of a join has more than 64 rows, whatever the size of the tree, and the number of rounds is the tree's height. The
+proof folds back to a root by hashing the leaf with its siblings level by level.
 
 Defined cases: a null field is ``-``, which no value gives, so null and empty text differ; a null group is a tree of its own
 and the first; null ids come first in their tree; rows with equal ids go by their leaf's digest; equal rows are separate
@@ -91,15 +92,16 @@ def grow(leaves: DataFrame) -> list[DataFrame]:
 
 
 def build(docs: DataFrame, fields: Sequence[str] = FIELDS, group_col: str = "lang", id_col: str = "doc_id", other: dict[str, Column] | None = None) -> Manifest:
-    """The manifest of docs. other: fields taken from these expressions for a second digest of the leaf, kept beside the first."""
+    """The manifest of docs. other: fields taken from these expressions for a second digest of the leaf, kept where it differs."""
     values = [F.col(f"`{c}`") for c in fields]
     changed = leaf([(other or {}).get(c, v) for c, v in zip(fields, values, strict=True)])
     rows = docs.select(F.col(f"`{group_col}`").alias("group"), F.col(f"`{id_col}`").alias("id"), leaf(values).alias("leaf"), (changed if other else F.lit(None).cast("string")).alias("other"))
-    rows = cut(placed(cut(rows, "leaves"), ["group"], ["id", "leaf"]), "placed-leaves")
+    rows = rows.select("group", "id", F.unhex("leaf").alias("leaf"), F.when(F.col("other") != F.col("leaf"), F.unhex("other")).alias("other"))
+    rows = placed(cut(rows, "leaves"), ["group"], ["id", "leaf"])
     groups = cut(placed(cut(rows.groupBy("group").agg(F.max("_n").alias("n")), "groups"), [], ["group"]), "trees")
     known = groups.select(F.col("group").alias("of"), F.col("_place").alias("tree"))
     leaves = cut(rows.join(known, F.col("group").eqNullSafe(F.col("of"))).select("tree", F.col("_place").alias("pos"), F.col("_n").alias("n"), "id", "leaf", "other"), "tree-leaves")
-    nodes = grow(leaves.select("tree", "pos", "n", F.unhex("leaf").alias("digest")))
+    nodes = grow(leaves.select("tree", "pos", "n", F.col("leaf").alias("digest")))
     roots = None
     for level in nodes:
         found = level.where(height(F.col("n")) == F.col("level")).select("tree", "n", "digest")
@@ -126,28 +128,39 @@ def siblings(pos: Column, n: Column, base: int) -> Column:
     return F.flatten(F.array(*[on(base + k) for k in range(PAGE)]))
 
 
-def _page(nodes: list[DataFrame], base: int) -> DataFrame:
-    """tree, pos, steps of every node at level base: for each of its PAGE levels the siblings' digests left and right of it."""
-    own = nodes[base].where(height(F.col("n")) > base)
-    asked = own.select("tree", "pos", "n", F.explode_outer(siblings(F.col("pos"), F.col("n"), base)).alias("want"))
-    asked = asked.select("tree", "pos", "n", F.col("want.level").alias("level"), F.col("want.at").alias("at"))
-    held = nodes[base].select("tree", "level", F.col("pos").alias("at"), "digest")
+def _pages(nodes: list[DataFrame], base: int) -> DataFrame:
+    """tree, page, low, high: the node table by pages of level base, its digests on that level and on the next."""
+    held = nodes[base].select("tree", "level", "pos", _down(F.col("pos"), PAGE).alias("page"), "digest")
     for k in range(base + 1, min(base + PAGE, len(nodes))):
-        held = held.unionByName(nodes[k].select("tree", "level", F.col("pos").alias("at"), "digest"))
-    met = asked.join(held, ["tree", "level", "at"], "left").where(F.col("at").isNull() | F.col("digest").isNotNull())
-    per = met.groupBy("tree", "pos").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("level", "at", "digest")))).alias("held"))
+        held = held.unionByName(nodes[k].select("tree", "level", "pos", _down(F.col("pos"), PAGE - (k - base)).alias("page"), "digest"))
+    per = held.groupBy("tree", "page").agg(F.array_sort(F.collect_list(F.struct("level", "pos", "digest"))).alias("held"))
+    on = lambda level: F.transform(F.filter("held", lambda x: x["level"] == level), lambda x: x["digest"])
+    return per.select("tree", "page", *[on(base + k).alias(f"on_{k}") for k in range(PAGE)])
+
+
+def _met(rows: DataFrame, nodes: list[DataFrame], base: int, above: DataFrame) -> DataFrame:
+    """rows(tree, pos, n, …) of level base with steps (siblings left and right of it, level by level to the root) and what above carries.
+
+    above: tree, pos, steps of the level PAGE above.
+    """
+    up = above.select(F.col("tree").alias("_tree"), F.col("pos").alias("_page"), F.col("steps").alias("_steps"), *[c for c in above.columns if c not in ("tree", "pos", "steps")])
+    pages = _pages(nodes, base).join(up, (F.col("tree") == F.col("_tree")) & (F.col("page") == F.col("_page"))).drop("tree", "page")
+    d = rows.where(height(F.col("n")) > base).join(pages, (F.col("tree") == F.col("_tree")) & (_down(F.col("pos"), PAGE) == F.col("_page")))
+    place = lambda c, k: (c["at"] - F.call_function("shiftleft", F.col("_page"), F.lit(BITS * (PAGE - k)))).cast("int")
+    found = F.transform(siblings(F.col("pos"), F.col("n"), base), lambda c: F.struct(c["level"].alias("level"), c["at"].alias("at"), F.coalesce(*[F.when(c["level"] == base + k, F.get(f"on_{k}", place(c, k))) for k in range(PAGE)]).alias("digest")))
+    d = d.withColumn("_held", found)
 
     def step(level: int) -> Column:
         at = _down(F.col("pos"), level - base)
-        side = lambda keep: F.array_join(F.transform(F.filter("held", lambda x: (x["level"] == level) & keep(x["at"])), lambda x: _hex(x["digest"])), "")
+        side = lambda keep: F.array_join(F.transform(F.filter("_held", lambda x: (x["level"] == level) & keep(x["at"])), lambda x: _hex(x["digest"])), "")
         return F.struct(side(lambda x: x < at).alias("left"), side(lambda x: x > at).alias("right"))
 
-    steps = F.filter(F.array(*[F.when(height(F.col("n")) > base + k, step(base + k)) for k in range(PAGE)]), lambda x: x.isNotNull())
-    return per.select("tree", "pos", steps.alias("steps"))
+    own = F.filter(F.array(*[F.when(height(F.col("n")) > base + k, step(base + k)) for k in range(PAGE)]), lambda x: x.isNotNull())
+    return d.withColumn("steps", F.concat(own, "_steps")).drop("_tree", "_page", "_steps", "_held", *[f"on_{k}" for k in range(PAGE)])
 
 
-def _ways(nodes: list[DataFrame], ends: DataFrame) -> DataFrame:
-    """tree, pos, steps and what ends carries, of every leaf: its own page's steps, then those of the page above, and so on.
+def _ways(rows: DataFrame, nodes: list[DataFrame], ends: DataFrame) -> DataFrame:
+    """rows(tree, pos, n, …), the leaves of nodes, with steps to the root and what ends carries.
 
     ends: tree, n, steps that follow the tree's top, and further columns.
     """
@@ -155,24 +168,23 @@ def _ways(nodes: list[DataFrame], ends: DataFrame) -> DataFrame:
     last = ends.select("tree", F.lit(0).cast("long").alias("pos"), "steps", *carried, (F.ceil(height(F.col("n")) / F.lit(PAGE)) * PAGE).cast("int").alias("base"))
     at_base = lambda b: last.where(F.col("base") == b).drop("base")
     pages = -(-(len(nodes) - 1) // PAGE)
-    ways = at_base(pages * PAGE)
-    for base in range((pages - 1) * PAGE, -1, -PAGE):
-        own, above = _page(nodes, base), ways.select(F.col("tree").alias("_tree"), F.col("pos").alias("_pos"), F.col("steps").alias("_steps"), *carried)
-        joined = own.join(above, (F.col("tree") == F.col("_tree")) & (_down(F.col("pos"), PAGE) == F.col("_pos")))
-        ways = joined.select("tree", "pos", F.concat("steps", "_steps").alias("steps"), *carried).unionByName(at_base(base))
-        ways = cut(ways, f"ways-{base}") if base else ways
-    return ways
+    above = at_base(pages * PAGE)
+    for base in range((pages - 1) * PAGE, 0, -PAGE):
+        above = cut(_met(nodes[base].select("tree", "pos", "n"), nodes, base, above).select("tree", "pos", "steps", *carried).unionByName(at_base(base)), f"ways-{base}")
+    alone = rows.where(height(F.col("n")) == 0).join(at_base(0).drop("pos"), "tree")
+    return alone if not pages else _met(rows, nodes, 0, above).select(*alone.columns).unionByName(alone)
 
 
 def proofs(m: Manifest) -> DataFrame:
-    """id, leaf, other, subroot, root and steps (array<struct<left, right>>, from the leaf up) of every leaf."""
-    if not m.top[0].take(1):
-        return m.leaves.select("id", "leaf", "other", F.col("leaf").alias("subroot"), F.col("leaf").alias("root"), F.array(F.struct(F.col("leaf").alias("left"), F.col("leaf").alias("right"))).alias("steps"))
+    """id, leaf, other (null where it is the leaf), subroot, root and steps (array<struct<left, right>>, from the leaf up) of every leaf."""
     none = F.array().cast("array<struct<left:string,right:string>>")
-    root = m.top[-1].select("tree", "n", none.alias("steps"), _hex(F.col("digest")).alias("root"))
-    over = _ways(m.top, root).select(F.col("pos").alias("tree"), "steps", "root")
-    ends = cut(over.join(m.trees, "tree").select("tree", "n", "steps", _hex(F.col("subroot")).alias("subroot"), "root"), "ends")
-    return m.leaves.join(_ways(m.nodes, ends), ["tree", "pos"]).select("id", "leaf", "other", "subroot", "root", "steps")
+    text = [_hex(F.col(c)).alias(c) for c in ("leaf", "other", "subroot", "root")]
+    if not m.top[0].take(1):
+        return m.leaves.select("id", "leaf", "other", F.col("leaf").alias("subroot"), F.col("leaf").alias("root")).select("id", *text, none.alias("steps"))
+    root = m.top[-1].select("tree", "n", none.alias("steps"), F.col("digest").alias("root"))
+    over = _ways(m.top[0].select("tree", "pos", "n"), m.top, root).select(F.col("pos").alias("tree"), "steps", "root")
+    ends = cut(over.join(m.trees, "tree").select("tree", "n", "steps", "subroot", "root"), "ends")
+    return _ways(m.leaves, m.nodes, ends).select("id", *text, "steps")
 
 
 def fold(start: Column, steps: Column) -> Column:

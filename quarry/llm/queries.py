@@ -70,7 +70,7 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_merkle_coordinate_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(_fold(F.col("doc_id"), 3) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
     p = merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), other={"text": tampered}))
-    p = p.withColumn("folded_root", merkle.fold(F.col("other"), F.col("steps")))
+    p = p.withColumn("folded_root", merkle.fold(F.coalesce("other", "leaf"), F.col("steps")))
     return p.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
