@@ -13,18 +13,12 @@ from quarry.operators import catalog, evaluate
 from quarry.plans import evaluation
 from quarry.plans.pipeline import STEPS, Ingestion
 from quarry.session import cut, get_spark
+from quarry.sources import snapshots
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
     """The registry's table, or one with the default collection alone."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/registry")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.read.schema(catalog.SCHEMA).json(f"{root}/registry")
-    return spark.createDataFrame([("default", "Default", "confluence", "", {})], catalog.SCHEMA)
-
-
-def save(reg: DataFrame, root: str) -> None:
-    cut(reg, "registry").coalesce(1).write.mode("overwrite").json(f"{root}/registry")
+    return catalog.or_default(snapshots.Table(spark, f"{root}/registry", catalog.SCHEMA).read())
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,12 +51,12 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     options = dict(o.split("=", 1) for o in a.option)
     spark = get_spark()
-    reg = registry(spark, a.root)
+    reg, kept = registry(spark, a.root), snapshots.Table(spark, f"{a.root}/registry", catalog.SCHEMA)
     if a.add_collection:
-        save(catalog.register(reg, a.add_collection, a.title or a.add_collection, a.source or "mediawiki", a.description, **options), a.root)
+        kept.update(lambda r: catalog.register(catalog.or_default(r), a.add_collection, a.title or a.add_collection, a.source or "mediawiki", a.description, **options).coalesce(1))
         return 0
     if a.remove_collection:
-        save(catalog.remove(reg, a.remove_collection), a.root)
+        kept.update(lambda r: catalog.remove(catalog.or_default(r), a.remove_collection).coalesce(1))
         return 0
     if a.list_collections:
         for r in reg.orderBy(F.col("name") != "default", "name").collect():

@@ -57,6 +57,11 @@ def listed(registry: DataFrame, indexed: DataFrame, golden: DataFrame) -> DataFr
     return out.orderBy((F.col("name") != "default"), "name")
 
 
+def or_default(registry: DataFrame) -> DataFrame:
+    """The registry, or one with the default collection alone if nothing was ever registered."""
+    return registry if registry.take(1) else registry.sparkSession.createDataFrame([("default", "Default", "confluence", "", {})], SCHEMA)
+
+
 def get(registry: DataFrame, name: str) -> dict:
     row = registry.where(F.col("name") == name).first()
     if row is None:

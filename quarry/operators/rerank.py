@@ -39,15 +39,15 @@ def rerank(candidates: DataFrame) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "rank")))
 
 
-def candidates(chunks: DataFrame, questions: DataFrame, index: sparse.SparseIndex | None = None, top_k: int = 20, alpha: float = 0.5, use_hybrid: bool = True) -> DataFrame:
-    """Chunk rows with qid, question, score, rank. chunks: vector_id, embedding and the metadata; questions: qid, question, embedding."""
+def candidates(chunks: DataFrame, questions: DataFrame, index: sparse.SparseIndex | None = None, top_k: int = 20, alpha: float = 0.5, use_hybrid: bool = True, vectors: dense.DenseIndex | None = None) -> DataFrame:
+    """Chunk rows with qid, question, score, rank. chunks: vector_id, embedding and the metadata; questions: qid, question, embedding. Indexes are built where none is given."""
     if use_hybrid:
         k = hybrid.candidate_k(top_k)
         index = index or sparse.build(chunks, "vector_id", X.page_text(*[F.col(c) for c in ("title", "section", "heading_path", "breadcrumb", "text")]))
-        both = hybrid.fuse(dense.search(chunks, questions, k, "vector_id"), sparse.search(index, questions, k), alpha, k)
+        both = hybrid.fuse(dense.search(vectors or chunks, questions, k, "vector_id"), sparse.search(index, questions, k), alpha, k)
         found = both.withColumn("score", F.col("hybrid_score"))
     else:
-        found = dense.search(chunks, questions, top_k, "vector_id").select("qid", "id", F.col("score").alias("cosine_score"), "score", F.col("dense_rank").alias("rank"))
+        found = dense.search(vectors or chunks, questions, top_k, "vector_id").select("qid", "id", F.col("score").alias("cosine_score"), "score", F.col("dense_rank").alias("rank"))
     meta = chunks.drop("embedding")
     return found.join(meta, found["id"] == meta["vector_id"]).drop("id").join(questions.select("qid", "question"), "qid")
 
@@ -61,9 +61,9 @@ def select(ranked: DataFrame, min_score: float = 0.20) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "rank")))
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, index: sparse.SparseIndex | None = None, top_k: int = 20, min_score: float = 0.20, alpha: float = 0.5, use_hybrid: bool = True) -> DataFrame:
+def retrieve(chunks: DataFrame, questions: DataFrame, index: sparse.SparseIndex | None = None, top_k: int = 20, min_score: float = 0.20, alpha: float = 0.5, use_hybrid: bool = True, vectors: dense.DenseIndex | None = None) -> DataFrame:
     """Ranked chunks for every question in one job. A failing sparse side raises; there is no silent change of strategy."""
-    return select(rerank(candidates(chunks, questions, index, top_k, alpha, use_hybrid)), min_score)
+    return select(rerank(candidates(chunks, questions, index, top_k, alpha, use_hybrid, vectors)), min_score)
 
 
 def retrieve_one(*args, **kwargs) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.operators import catalog, embedding, evaluate, golden, rerank, synthetic
 from quarry.plans.pipeline import Ingestion
 from quarry.session import cut
-from quarry.sources import hierarchy
+from quarry.sources import hierarchy, snapshots
 
 QUESTIONS = "id string, question string, relevant_page_ids array<string>, answer_keywords array<string>, tag string"
 HISTORY = "ts timestamp, ask_id long, question string, confidence string, answer_generated boolean, top_similarity double, unique_pages long, retrieved_pages array<string>, retrieved_titles array<string>"
@@ -55,10 +55,15 @@ class Evaluation:
 
     def approve(self, chosen: DataFrame | None = None) -> int:
         """Merges the chosen candidates (all of them by default) into the golden set; how many it lacked."""
-        have = self.questions()
-        before = have.count()
         new = (self.questions("candidates") if chosen is None else chosen).withColumn("pos", F.col("id"))
-        self.save(golden.merge(have, new), "golden")
+        before = 0
+
+        def merged(have: DataFrame) -> DataFrame:
+            nonlocal before
+            before = have.count()
+            return golden.merge(have, new).select(have.columns)
+
+        snapshots.Table(self.job.spark, self.path("golden"), QUESTIONS).update(merged)
         return self.questions().count() - before
 
     def _asked(self) -> DataFrame:
@@ -68,7 +73,7 @@ class Evaluation:
         """Writes results (a row for each question with its best pages) and summary (means); returns the summary."""
         began, q = time.perf_counter(), cut(self._asked(), "questions")
         asked = embedding.embed(q, self.job.embedder, F.col("question")).select("qid", "question", "embedding")
-        ranked = cut(rerank.retrieve(self.job.table("indexed"), asked, self.job.sparse_index() if use_hybrid else None, top_k, min_score, use_hybrid=use_hybrid), "ranked")
+        ranked = cut(rerank.retrieve(self.job.table("indexed"), asked, self.job.sparse_index() if use_hybrid else None, top_k, min_score, use_hybrid=use_hybrid, vectors=self.job.dense_index()), "ranked")
         per = cut(evaluate.evaluate(ranked, q), "per")
         best = evaluate.pages_in_order(ranked).where("rank <= 5").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page_id"))), lambda r: r["page_id"]).alias("retrieved_top5"))
         hierarchy.write_json(q.select("qid", "id", "question", "relevant_page_ids").join(best, "qid", "left").join(per, "qid"), self.path("results"))
@@ -80,15 +85,15 @@ class Evaluation:
         """Writes and returns metric, dense, hybrid, delta over the golden set."""
         dense, hybrid = compared(self.job.table("indexed"), cut(self._asked(), "questions"), self.job.embedder, self.job.sparse_index(), alpha, top_k, min_score)
         hierarchy.write_json(evaluate.compare(dense, hybrid), self.path("comparison"))
-        return self.job.spark.read.schema("metric string, dense double, hybrid double, delta double").json(self.path("comparison"))
+        return hierarchy.read_json(self.job.spark, self.path("comparison"), "metric string, dense double, hybrid double, delta double")
 
     def log(self, answers: DataFrame) -> DataFrame:
         """Puts answers on top of the history; returns it."""
         return self.keep(as_history(answers))
 
     def keep(self, asks: DataFrame) -> DataFrame:
-        """The history with these rows; it keeps its newest."""
-        hierarchy.write_json(catalog.history_top(self.history().unionByName(asks), HISTORY_MOST), self.path("history"))
+        """The history with these rows; it keeps its newest. Rows that others add meanwhile stay."""
+        snapshots.Table(self.job.spark, self.path("history"), HISTORY).update(lambda have: catalog.history_top(have.unionByName(asks), HISTORY_MOST))
         return self.history()
 
     def history(self) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import answer, catalog, dense, documents, embedding, evaluate, golden, hybrid, rerank, sparse, synthetic, validate
-from quarry.plans import evaluation, pipeline
+from quarry.plans import evaluation, pipeline, segments
 from quarry.session import cut, ready, scratch_path
-from quarry.sources import hierarchy, wiki
+from quarry.sources import hierarchy, snapshots, wiki
 
 ONE_QUESTION = "the thin edges of another winter"
 FIELDS_TABLE = "<table><tr><th>Field</th><th>Value</th></tr><tr><td>Owner</td><td><b>Docs Team</b></td></tr><tr><td>Status</td><td><code>LIVE</code></td></tr><tr><td>Last-Reviewed</td><td>2026-01-0%d</td></tr><tr><td>run_book_url</td><td><a href='http://x/%d'>wiki</a></td></tr></table>"
@@ -106,7 +106,7 @@ def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     c, q = vector_chunks(spark, sf_dir), questions(spark, sf_dir)
-    return c, q, dense.search(c, q, 60, "vector_id"), sparse.search(sparse.build(c, "vector_id", page_text()), q, 60)
+    return c, q, cut(dense.search(c, q, 60, "vector_id"), "dense-side"), cut(sparse.search(sparse.build(c, "vector_id", page_text()), q, 60), "sparse-side")
 
 
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +170,10 @@ def _eval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
     page = (F.col("id") % 100).cast("string").alias("page_id")
     ranked = dense.search(e, q, 40).where("id <> qid").select("qid", page, F.col("dense_rank").alias("rank"))
-    near = e.select(F.col("vec_id").alias("id"), "label").join(q.select("qid", "label"), "label").where("id <> qid")
-    return evaluate.pages_in_order(ranked), near.select("qid", page), q.select("qid")
+    # A label's pages with their numbers of rows, not its rows; a question's own row doesn't make its page relevant.
+    held = e.groupBy("label", (F.col("vec_id") % 100).cast("string").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+    near = held.join(q.select("qid", "label"), "label").where(F.col("n") > (F.col("page_id") == (F.col("qid") % 100).cast("string")).cast("int"))
+    return evaluate.pages_in_order(ranked), near.select("qid", "page_id"), q.select("qid")
 
 
 def dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,10 +341,12 @@ def eval_by_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every nation is registered; one entry takes another's place and one goes."""
     d = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lower("n_name").alias("title"), F.lit("mediawiki").alias("source"), F.lit("").alias("description"), F.create_map(F.lit("wiki_page_limit"), F.col("n_regionkey").cast("string")).alias("config"))
-    d = catalog.remove(catalog.register(catalog.register(d, "NEW", "new", "confluence", token_env="T"), "CANADA", "again", "mediawiki", wiki_page_limit=9), "BRAZIL")
-    path = scratch_path(spark, "registry")
-    hierarchy.write_json(d, path)
-    return hierarchy.read_json(spark, path, catalog.SCHEMA).select("name", "title", "source", F.col("config")["wiki_page_limit"].alias("page_limit"), F.col("config")["token_env"].alias("token_env"))
+    kept = snapshots.Table(spark, scratch_path(spark, "registry"), catalog.SCHEMA)
+    kept.replace(d)
+    kept.update(lambda r: catalog.register(r, "NEW", "new", "confluence", token_env="T"))
+    kept.update(lambda r: catalog.register(r, "CANADA", "again", "mediawiki", wiki_page_limit=9))
+    kept.update(lambda r: catalog.remove(r, "BRAZIL"))
+    return kept.read().select("name", "title", "source", F.col("config")["wiki_page_limit"].alias("page_limit"), F.col("config")["token_env"].alias("token_env"))
 
 
 def _job(spark: SparkSession, name: str) -> pipeline.Ingestion:
@@ -371,7 +375,7 @@ def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sparse index of all documents, written and read back."""
     job = _job(spark, "index")
-    job._write(chunks(spark, sf_dir), "indexed")
+    job._write(vector_chunks(spark, sf_dir), "indexed")
     job.index()
     return job.sparse_index().terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -411,6 +415,31 @@ def sidecar_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join_sidecar(documents.clean_pages(d).select("page_id", F.length("html").alias("chars")), job.table("sidecar")).select("page_id", "url", "title", "chars")
 
 
+def _reindexed(spark: SparkSession, sf_dir: str) -> segments.SegmentedIndex:
+    """An index of all documents, each a page, of which two in five changed, a fifth went and a fifth became empty since."""
+    index = segments.SegmentedIndex(spark, scratch_path(spark, "segments"))
+    d = chunks(spark, sf_dir).withColumn("page_id", F.col("chunk_id")).withColumn("chunk_number", F.lit(1))
+    of = lambda *some: (F.col("vector_id") % 5).isin(*some)
+    index.apply(d, d.select("page_id"))
+    index.apply(d.where(of(1)).withColumn("text", F.concat(F.lit("renewed once "), "text")), d.where(of(1, 2)).select("page_id"))
+    index.apply(d.where(of(1, 4)).withColumn("text", F.concat(F.lit("renewed twice again "), "text")), d.where(of(3)).select("page_id"))
+    return index
+
+
+def reindexed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the segments, which are those of an index built anew."""
+    return _reindexed(spark, sf_dir).index().terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def reindexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage asked of the segments and, after compaction, of the one that is left."""
+    index, asked = _reindexed(spark, sf_dir), questions(spark, sf_dir)
+    best = lambda: sparse.search(index.index(), asked, 30).groupBy("qid", F.round("bm25_score", 6).alias("score")).agg(F.count(F.lit(1)).alias("documents"))
+    before = cut(best().withColumn("compacted", F.lit(False)), "before-compaction")
+    index.compact()
+    return before.unionByName(best().withColumn("compacted", F.lit(True)))
+
+
 def synthetic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.chunks(ready(spark), 40).select("chunk_id", "page_id", "title", "section", "owner", "status", F.md5("text").alias("text_md5"), "word_count", "character_count")
 
@@ -427,7 +456,7 @@ def synthetic_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     tokenize_stats, word_count, snippet, html_strip_sql, html_to_markdown, normalize_field_name, bm25_term_stats, bm25_topk, bm25_batch, dense_topk, dense_topk_batch, minmax_norm, hybrid_fusion, rerank_breakdown, retrieve_filtered, citations,
     context_block, answers, answer_metrics, confidence_bucket, score_summary, diagnostics, dedup_pages, precision_recall_hit, mrr_map, eval_aggregate, context_sufficiency, compare_dense_hybrid, auto_bootstrap, golden_merge, chunk_documents,
-    chunk_validation, md_line_spans, corpus_summary, corpus_counts, page_tree, page_urls, field_value_table, embedding_texts, embed_chunks, ask_history_top, collection_listing, synthetic_chunks, synthetic_benchmark,
+    chunk_validation, md_line_spans, corpus_summary, corpus_counts, page_tree, page_urls, field_value_table, embedding_texts, embed_chunks, ask_history_top, collection_listing, reindexed_terms, reindexed_search,
     tree_lines, api_metadata, vector_ids, candidate_keys, inline_sources, prompts, golden_from_ask, eval_by_k, registry_changes, raw_sink, ingested_pages, index_sink, golden_sink, history_sink, results_sink, sidecar_sink,
 )
 

@@ -30,6 +30,8 @@ CHUNKS = """chunks AS (
   SELECT doc_id AS vector_id, CAST(doc_id AS VARCHAR) AS chunk_id, source AS page_id, source AS title, lang AS section, lang || ' ' || source AS heading, 'Corpus > ' || source AS breadcrumb,
     source AS child_page, lang || ' team' AS owner, text, source || ' ' || lang || ' ' || lang || ' ' || source || ' Corpus > ' || source || CASE WHEN coalesce(text, '') <> '' THEN ' ' || text ELSE '' END AS page_text FROM documents
 )"""
+# The documents as they are after all changes: two in five renewed, two in five gone.
+RENEWED = CHUNKS.replace("FROM documents", "FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 5 IN (1, 4) THEN 'renewed twice again ' || text ELSE text END AS text FROM documents WHERE doc_id % 5 NOT IN (2, 3))")
 VECTORS = CHUNKS + ", vc AS (SELECT chunks.*, embedding FROM chunks LEFT JOIN embeddings ON vec_id = vector_id)"
 QUESTIONS = "q AS (SELECT item_id AS qid, text AS question, text AS passage, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)"
 IP = "list_inner_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
@@ -121,6 +123,8 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(s, chr(13),
 SELECT p_partkey, trim(regexp_replace(regexp_replace(lower({_strip("'**' || p_name || '** - ' || p_type")}), '[\s-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_') AS field,
   trim(regexp_replace({_strip("replace(' `' || p_name || '`<br/>[x](y) [z]() ![i]() `` __' || p_type || '__  ' || p_brand, '<br/>', ' ')")}, '\s+', ' ', 'g'), ' ') AS cell FROM part""",
     "bm25_term_stats": f"WITH {CHUNKS}, {_bm25('chunks')} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "reindexed_terms": f"WITH {RENEWED}, {_bm25('chunks')} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "reindexed_search": f"WITH {RENEWED}, {QUESTIONS}, {_bm25('chunks')}, {_search('q', 30)} SELECT qid, round(bm25, 6) AS score, count(*) AS documents, compacted FROM sparse, (VALUES (false), (true)) v(compacted) GROUP BY ALL",
     "bm25_topk": f"WITH {CHUNKS}, q AS (SELECT 0 AS qid, '{ONE_QUESTION}' AS question), {_bm25('chunks')}, {_search('q', 20)} SELECT id, round(bm25, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sparse",
     "bm25_batch": f"WITH {CHUNKS}, {QUESTIONS}, {_bm25('chunks')}, {_search('q', 30)} SELECT qid, id, round(bm25, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sparse",
     "dense_topk": f"SELECT e.vec_id AS id, round({IP.format('e.embedding', 'q.embedding')}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY {IP.format('e.embedding', 'q.embedding')} DESC, id LIMIT 20",

@@ -3,6 +3,11 @@ import pytest
 from quarry import __main__ as command
 from quarry.operators import answer, evaluate
 from quarry.plans import evaluation, pipeline
+from quarry.sources import snapshots
+
+
+def _kept(spark, path):
+    return spark.read.json(f"{path}/{snapshots.Log(spark, path).manifest()['data']}")
 
 
 @pytest.fixture(scope="module")
@@ -21,12 +26,12 @@ def test_question_sets_results_and_comparison_are_kept(spark, job):
     assert e.approve() == 6 and e.approve() == 0
     s = e.evaluate().first().asDict()
     assert s["num_questions"] == 6 and s["hit_at_1"] == 1.0 and 0 < s["context_sufficiency"] <= 1
-    back = spark.read.json(e.path("results"))
+    back = _kept(spark, e.path("results"))
     assert back.count() == 6 and {"id", "question", "retrieved_top5", "mrr"} <= set(back.columns)
-    assert spark.read.json(e.path("summary")).first()["mrr"] == s["mrr"]
+    assert _kept(spark, e.path("summary")).first()["mrr"] == s["mrr"]
     got = {r["metric"]: r for r in e.compare(0.5).collect()}
     assert got["hit_at_1"]["hybrid"] == 1.0 and got["mrr"]["delta"] == round(got["mrr"]["hybrid"] - got["mrr"]["dense"], 4)
-    text = evaluate.comparison_report(spark.read.json(e.path("comparison")), 0.5, 6).split("\n")
+    text = evaluate.comparison_report(_kept(spark, e.path("comparison")), 0.5, 6).split("\n")
     assert text[1] == "DENSE vs HYBRID  (alpha=0.5, 6 questions)" and text[5].startswith("precision@3 ") and text[-2].startswith("context_sufficiency@5")
     lines = evaluate.report(e.evaluate(), 1.5).split("\n")
     assert lines[3:5] == ["Questions evaluated : 6", "Eval time           : 1.5s"] and lines[6].startswith("PRECISION@3") and lines[-3].startswith("MAP           : ") and lines[-2].startswith("CTX_SUFF@5")
