@@ -65,4 +65,73 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0
 FROM t LEFT JOIN rest USING (doc_id)
 """
 
-ORACLES = {"op10_prefix_suffix_trees": SUBSTRINGS, "op6_url_vocabulary": URLS, "op7_quality_cascade": QUALITY}
+_esc = lambda x: f"replace(replace(replace({x}, chr(92), chr(92) || chr(92)), '###', chr(92) || '###'), '</turn>', chr(92) || '</turn>')"
+
+CHATS = rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, role AS r0, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+rows AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r0 NULLS FIRST, text) AS nth FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || replace({_esc('role')}, ':', chr(92) || ':') || ': ' || {_esc('text')} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+FIM = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+k AS (SELECT *, CAST('0x' || hex[1:8] AS BIGINT) AS h1, CAST('0x' || hex[9:16] AS BIGINT) AS h2, CAST('0x' || hex[17:24] AS BIGINT) AS h3, CAST('0x' || hex[25:32] AS BIGINT) AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, substr(text, 1, a) AS pre, substr(text, a + 1, b - a) AS mid, substr(text, b + 1) AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+_FAN_LEVELS = 12  # 8 ** 12 leaves of a group; each level is one more pair of CTEs
+_field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+_leaf = lambda text: f"sha256({' || '.join(_field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _grown(name: str, level: int) -> str:
+    """CTEs of the next level of trees: pos of every node there, from nodes (tree, pos, h) below; a tree of one node is at its top."""
+    return f"""{name}{level + 1} AS MATERIALIZED (
+  SELECT tree, pos // 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {name}{level} WHERE tree IN (SELECT tree FROM {name}{level} WHERE pos = 1) GROUP BY tree, pos // 8)"""
+
+
+def _ways(name: str, leaves: str) -> str:
+    """Siblings left and right of every leaf, level by level: one row for each leaf and level that its tree has."""
+    parts = [
+        f"""SELECT l.tree, l.pos, {k} AS level, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos < l.pos // {8**k}), '') AS lft, coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos > l.pos // {8**k}), '') AS rgt
+  FROM {leaves} l JOIN {name}{k} n ON n.tree = l.tree AND n.pos // 8 = l.pos // {8 ** (k + 1)} WHERE l.tree IN (SELECT tree FROM {name}{k} WHERE pos = 1) GROUP BY l.tree, l.pos"""
+        for k in range(_FAN_LEVELS)
+    ]
+    return "\n  UNION ALL ".join(parts)
+
+
+_tops = lambda name: " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE tree NOT IN (SELECT tree FROM {name}{k} WHERE pos = 1)" for k in range(_FAN_LEVELS + 1))
+
+MERKLE = f"""
+WITH crc(t) AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, b)) AS t),
+keyed AS (SELECT doc_id, lang, {_leaf('text')} AS leaf,
+  CASE WHEN xor(list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)),
+    lambda c, x: xor(t[1 + CAST(xor(c, x) & 255 AS INTEGER)], c >> 8), 4294967295), 4294967295) % 3 = 0
+  THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf('text')} END AS other FROM documents, crc),
+base AS (SELECT doc_id, leaf, other, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM keyed),
+n0 AS MATERIALIZED (SELECT tree, pos, leaf AS h FROM base),
+{", ".join(_grown("n", k) for k in range(_FAN_LEVELS))},
+sub AS MATERIALIZED ({_tops("n")}),
+u0 AS MATERIALIZED (SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h FROM sub),
+{", ".join(_grown("u", k) for k in range(_FAN_LEVELS))},
+root AS ({_tops("u")}),
+low AS ({_ways("n", "n0")}),
+high AS ({_ways("u", "u0")}),
+steps AS (SELECT tree, pos, level, lft, rgt FROM low UNION ALL SELECT b.tree, b.pos, 100 + g.level, g.lft, g.rgt FROM base b JOIN high g ON g.pos = b.tree - 1),
+way AS (SELECT tree, pos, list([lft, rgt] ORDER BY level) AS w, string_agg(lft || rgt, '' ORDER BY level) AS siblings FROM steps GROUP BY tree, pos),
+done AS (SELECT b.doc_id, b.leaf, sub.h AS subroot, root.h AS root, sha256(coalesce(siblings, '')) AS proof_sha256, list_reduce(coalesce(w, []), lambda now, s: [sha256(s[1] || now[1] || s[2])], [b.other])[1] AS folded_root
+  FROM base b JOIN sub ON sub.tree = b.tree CROSS JOIN root LEFT JOIN way ON way.tree = b.tree AND way.pos = b.pos)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+ORACLES = {"op11_merkle_coordinate_proofs": MERKLE, "op12_reply_trees": CHATS, "op13_parallel_automaton": FIM, "op10_prefix_suffix_trees": SUBSTRINGS, "op6_url_vocabulary": URLS, "op7_quality_cascade": QUALITY}
