@@ -10,8 +10,10 @@ bound for each question and block, the questions' terms, and k rows for each que
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,14 @@ from quarry.functions import text as X
 from quarry.session import cut, ready
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-BLOCK_DOCS, BLOCK_TOKENS = 2048, 1 << 19
+BLOCK_DOCS, BLOCK_BYTES = 2048, 4 << 20
 #: Questions that a block is scored for at once.
 GROUP = 512
 #: Scores that differ by less count as equal where a bound decides.
 SLACK = 1e-8
 
 _BLOCKS = "block long, ids array<bigint>, lengths array<int>, terms array<string>, ends array<int>, docs array<int>, tf array<int>"
+_WORD, _STOPS = re.compile(r"[a-z0-9]+"), pa.array(X.STOP_WORDS)
 _names = lambda schema: [c.split()[0] for c in schema.split(", ")]
 
 
@@ -55,21 +58,28 @@ def impact(tf, length, avgdl):
 
 
 def gather(docs: DataFrame, segment: int = 0) -> DataFrame:
-    """Blocks of docs(id, tokens), in the order and partitions in which they come; nothing is shuffled. segment keeps block numbers apart."""
+    """Blocks of docs(id, text), in the order and partitions in which they come; nothing is shuffled. segment keeps block numbers apart.
+
+    Tokens are those of functions.text.tokens, taken here since the words of a block are then coded, cleared of stop words and counted as arrays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = (segment << 48) | (TaskContext.get().partitionId() << 24)
         for b in batches:
-            sizes = np.diff(b.column("tokens").offsets.to_numpy())
-            total, at = np.r_[0, np.cumsum(sizes)], 0
+            texts = b.column("text").fill_null("")
+            total, at = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))], 0
             while at < b.num_rows:
-                end = min(at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(total, total[at] + BLOCK_TOKENS, side="right")) - 1))
-                n, coded = end - at, b.column("tokens").slice(at, end - at).flatten().dictionary_encode()
-                key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes[at:end]), return_counts=True)
-                ends = np.cumsum(np.bincount(key // n, minlength=len(coded.dictionary)))
-                row = [b.column("id").slice(at, n), sizes[at:end], coded.dictionary, ends, key % n, tf]
+                end = min(at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(total, total[at] + BLOCK_BYTES, side="right")) - 1))
+                n, found = end - at, [_WORD.findall(t.lower()) for t in texts.slice(at, end - at).to_pylist()]
+                doc = np.repeat(np.arange(n), [len(x) for x in found])
+                coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+                code, kept = coded.indices.to_numpy().astype(np.int64), ~pc.is_in(coded.dictionary, value_set=_STOPS).to_numpy(zero_copy_only=False)
+                doc, code = doc[kept[code]], (np.cumsum(kept) - 1)[code[kept[code]]]
+                key, tf = np.unique(code * n + doc, return_counts=True)
+                ends = np.cumsum(np.bincount(key // n, minlength=int(kept.sum())))
+                row = [b.column("id").slice(at, n), np.bincount(doc, minlength=n), coded.dictionary.filter(pa.array(kept)), ends, key % n, tf]
                 kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t)) for x, t in zip(row, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([block]), *lists], names=_names(_BLOCKS))
@@ -110,13 +120,13 @@ def bounded(blocks: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame, id_col: str, text: Column, together: Sequence[str] = ()) -> SparseIndex:
-    """Tokens are taken once and written as blocks. Documents alike in the columns together share blocks (at the price of a shuffle), which tightens bounds."""
+    """Texts are read once and written as blocks. Documents alike in the columns together share blocks (at the price of a shuffle), which tightens bounds."""
     ready(chunks.sparkSession)
-    d = chunks.select(F.col(id_col).cast("long").alias("id"), X.tokens(text).alias("tokens"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(together)])
+    d = chunks.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(together)])
     if together:
         by = [f"_{k}" for k in range(len(together))]
-        d = d.withColumn("_n", F.size("tokens")).repartitionByRange(*by, "_n").sortWithinPartitions(*by, "_n")
-    blocks = cut(gather(d.select("id", "tokens")), "sparse-blocks")
+        d = d.withColumn("_n", F.octet_length("text")).repartitionByRange(*by, "_n").sortWithinPartitions(*by, "_n")
+    blocks = cut(gather(d.select("id", "text")), "sparse-blocks")
     corpus = sizes(blocks).select(F.col("documents").alias("n"), F.try_divide("tokens", "documents").alias("avgdl"))
     return SparseIndex(blocks, bounded(blocks, corpus), weighed(document_counts(blocks), corpus), corpus)
 

@@ -90,7 +90,7 @@ class SegmentedIndex:
         put = lambda d, part: d.write.parquet(f"{place}/{part}")
         back = lambda part: self.spark.read.parquet(f"{place}/{part}")
         put(chunks if next_id is not None else numbered(chunks.drop("vector_id"), ["page_id", "chunk_number"], "vector_id", m["next_id"]), "chunks")
-        put(sparse.gather(back("chunks").select(F.col("vector_id").alias("id"), X.tokens(self.text()).alias("tokens")), m["next_segment"]), "blocks")
+        put(sparse.gather(back("chunks").select(F.col("vector_id").alias("id"), self.text().alias("text")), m["next_segment"]), "blocks")
         blocks = back("blocks")
         counts, sizes = sparse.document_counts(blocks), sparse.sizes(blocks)
         dead = self.spark.createDataFrame([], "block long, dead array<int>, ids array<bigint>")
