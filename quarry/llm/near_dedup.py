@@ -98,9 +98,9 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
     a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
     if not a or not b:
         return lead + tail
-    where: dict[int, int] = {}
+    where: dict[int, list[int]] = {}  # places, not masks: a mask as long as the text for each shingle would be quadratic
     for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
+        where.setdefault(x, []).append(i)
     width = 2 * band + 1
     full = (1 << width) - 1
     low, row, done = -band, full, 0  # bit i of row: column low + i; 0 where the common length steps up
@@ -109,8 +109,10 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
             done += not row & 1
             row = (row >> 1) | (1 << (width - 1))
             low += 1
-        hit = where.get(x, 0)
-        hit = (hit >> low if low >= 0 else hit << -low) & full
+        hit = 0
+        for i in where.get(x, ()):
+            if low <= i < low + width:
+                hit |= 1 << (i - low)
         if hit:
             u = row & hit
             row = ((row + u) | (row - u)) & full
@@ -200,52 +202,83 @@ def _near(i: list, j: list, similarity: float) -> list[tuple[int, int]]:
     return list(zip(*(x.tolist() for x in np.nonzero((apart <= most) & open_)), strict=True))
 
 
-def _forest(pairs: list[tuple[int, int]], linked: list[bool], n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs; rows that are linked to the leader are one tree from the start."""
-    up = list(range(n))
+def _forests(pairs: list[tuple[int, int]], joined: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Up to ``most`` forests of the pairs without common pairs; what is joined is one vertex. The first spans all pairs.
 
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
+    A pair enters the first forest that it makes no circle in. What is connected in one forest is so in all before it, so
+    that forest is found by halving.
+    """
+    whole: dict[int, int] = {}
+
+    def top(up: dict[int, int], x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
             x = up[x]
         return x
 
-    whole = [k for k in range(n) if linked[k]]
-    for k in whole[1:]:
-        up[k] = whole[0]
+    for x, y in joined:
+        whole[top(whole, x)] = top(whole, y)
+    ups: list[dict[int, int]] = []
     out = []
     for x, y in pairs:
-        if (p := top(x)) != (q := top(y)):
-            up[p] = q
-            out.append((x, y))
+        p, q = top(whole, x), top(whole, y)
+        if p == q:
+            continue
+        low, high = 0, len(ups)
+        while low < high:
+            middle = (low + high) // 2
+            if top(ups[middle], p) == top(ups[middle], q):
+                low = middle + 1
+            else:
+                high = middle
+        if low == most:
+            continue
+        if low == len(ups):
+            ups.append({})
+        ups[low][top(ups[low], p)] = top(ups[low], q)
+        out.append((x, y))
     return out
 
 
-def _second_candidates(star: DataFrame, similarity: float, every: bool = False, block: int = 512) -> DataFrame:
+def _second_candidates(star: DataFrame, similarity: float, known: DataFrame | None = None, forests: int = 1, block: int = 512) -> DataFrame:
     """Pairs (a, b) of members of one leader that may be linked, where not both are linked to it.
 
     Members are known by their differences from the leader, so blocks of a bounded number of members are compared without
-    texts and without a row for each pair: a block pair gives a spanning forest of its near pairs, or all of them.
+    texts and without a row for each pair: a block pair gives a spanning forest of its near pairs. With known pairs
+    (a, b, linked) only block pairs that hold a refused one are looked at again: what is linked there is one vertex, what was
+    refused isn't tried again, and as many forests as asked for are given of the rest.
     """
     # Counted from the table itself, so that the join below can be split where a leader has very many members.
     groups = star.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"), F.count_if(~F.col("linked")).alias("f")).where("f > 0").select("b", "k")
     d = star.select("a", "b", "linked", (F.col("n_b") - F.size("only_b") + F.size("only_a")).alias("n"), F.concat("only_a", "only_b").alias("x"))
     d = spread_join(d, groups, "b", "a")
     d = d.withColumn("at", F.pmod(F.xxhash64("a"), F.col("k")).cast("int"))
-    left = d.withColumn("j", F.explode(F.sequence("at", F.col("k") - 1))).select("b", F.col("at").alias("i"), "j", "a", "linked", "n", "x")
+    left = d.withColumn("j", F.explode(F.sequence("at", F.col("k") - 1))).select("b", F.col("at").alias("i"), "j", "a", "linked", "n", "x", F.lit(None).cast("binary").alias("mate"))
     right = d.withColumn("i", F.explode(F.sequence(F.lit(0), "at"))).select(*[F.col(c).alias(f"r_{n}") for c, n in (("b", "b"), ("i", "i"), ("at", "j"), ("a", "a"), ("linked", "linked"), ("n", "n"), ("x", "x"))])
+    if known is not None:
+        one = d.select("b", "a", F.col("at").alias("i")).join(known.select("a", F.col("b").alias("mate"), F.col("linked").alias("l")), "a")
+        both = one.join(d.select("b", F.col("a").alias("mate"), F.col("at").alias("j")), ["b", "mate"])
+        left = left.unionByName(both.select("b", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", F.col("l").alias("linked"), F.lit(0).alias("n"), F.array().cast("array<long>").alias("x"), "mate"))
+
+    later = known is not None
 
     def pairs(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        i, j = (list(zip(t[s + "a"], t[s + "linked"], t[s + "n"], t[s + "x"], strict=True)) for t, s in ((p, ""), (q, "r_")))
-        same = bool(len(p)) and bool(len(q)) and p["i"].iloc[0] == p["j"].iloc[0]
-        where = {r[0]: k for k, r in enumerate(i)}
-        # In a block against itself both sides are the same rows, in whatever order.
-        names = [*(r[0] for r in i), *(r[0] for r in j if not same)]
-        side = [where[r[0]] for r in j] if same else [len(i) + k for k in range(len(j))]
-        flags = [bool(r[1]) for r in i] + ([] if same else [bool(r[1]) for r in j])
-        near = [(x, side[y]) for x, y in _near(i, j, similarity) if not same or x < side[y]] if len(i) and len(j) else []
-        got = near if every else _forest(near, flags, len(names))
-        return pd.DataFrame([(min(names[x], names[y]), max(names[x], names[y])) for x, y in got], columns=["a", "b"])
+        told, p = p[p["mate"].notna()], p[p["mate"].isna()]
+        none = pd.DataFrame([], columns=["a", "b"])
+        if not len(p) or not len(q) or (later and told["linked"].all()):
+            return none
+        i, j = (sorted(zip(t[s + "a"], t[s + "linked"], t[s + "n"], t[s + "x"], strict=True), key=lambda r: r[0]) for t, s in ((p, ""), (q, "r_")))
+        same = p["i"].iloc[0] == p["j"].iloc[0]
+        # In a block against itself both sides are the same rows.
+        rows = i if same else [*i, *j]
+        where = {r[0]: k for k, r in enumerate(rows)}
+        tried = {(where[a], where[b]): bool(x) for a, b, x in zip(told["a"], told["mate"], told["linked"], strict=True)}
+        near = [(x, y if same else len(i) + y) for x, y in _near(i, j, similarity) if not same or x < y]
+        near = [(x, y) for x, y in near if (x, y) not in tried and (y, x) not in tried]
+        leader = [k for k, r in enumerate(rows) if r[1]]
+        joined = [*((leader[0], k) for k in leader[1:]), *(xy for xy, linked in tried.items() if linked)]
+        got = [sorted((rows[x][0], rows[y][0])) for x, y in _forests(near, joined, forests)]
+        return pd.DataFrame(got, columns=["a", "b"]) if got else none
 
     return left.groupBy("b", "i", "j").cogroup(right.groupBy("r_b", "r_i", "r_j")).applyInPandas(pairs, "a binary, b binary").distinct()
 
@@ -276,22 +309,26 @@ def _linked(docs: DataFrame, width: int, bands: int, keep: int, similarity: floa
     rows = cut(_sketches(docs, width, bands, keep), "sketches")
     vertices = rows.where("n > 0").groupBy("v").agg(F.any_value("bands").alias("bands"))
     members = cut(vertices.select("v", F.posexplode("bands").alias("band", "value")), "members")
-    size = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    # Written, so that the joins with them have a shuffle of their own, which can be split where a bucket is hot.
+    size = cut(members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "buckets")
     shared = cut(members.join(size, ["band", "value"]), "shared")
     weight = shared.groupBy("v").agg(F.sum("k").alias("w"))
     shared = shared.join(weight, "v")
-    lead = shared.groupBy("band", "value").agg(F.max_by("v", F.struct("w", "v")).alias("b"))
+    lead = cut(shared.groupBy("band", "value").agg(F.max_by("v", F.struct("w", "v")).alias("b")), "leaders")
     edges = cut(shared.join(lead, ["band", "value"]).where("v <> b").select(F.col("v").alias("a"), "b").distinct(), "edges")
     texts = cut(_texts(docs, edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct(), width), "texts")
     star = cut(_verify(edges, texts, width, similarity, True), "star")
     links = star.where("linked").select("a", "b")
-    more = cut(_verify(_second_candidates(star, similarity), texts, width, similarity, False), "more")
-    links = links.union(more.where("linked").select("a", "b"))
-    # Where alignment refuses a near pair, its blocks' other near pairs may link what the forest left to it: there all are aligned.
-    refused = more.where(~F.col("linked")).select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    if not refused.isEmpty():
-        again = star.join(star.join(refused, "a", "left_semi").select("b").distinct(), "b", "left_semi")
-        links = links.union(_verify(_second_candidates(again, similarity, every=True), texts, width, similarity, False).where("linked").select("a", "b"))
+    known, forests = cut(_verify(_second_candidates(star, similarity), texts, width, similarity, False), "more"), 1
+    new = known
+    # Where alignment refuses a near pair, other near pairs of its blocks may link what the forest left to it. Four times as many
+    # forests in each round, so that the rounds are few even where all near pairs of two texts' groups are refused.
+    while not new.where(~F.col("linked")).isEmpty():
+        ends = known.where(~F.col("linked")).select(F.explode(F.array("a", "b")).alias("a")).distinct()
+        again = star.join(star.join(ends, "a", "left_semi").select("b").distinct(), "b", "left_semi")
+        new = cut(_verify(_second_candidates(again, similarity, known, forests), texts, width, similarity, False), "more")
+        known, forests = known.union(new), 4 * forests
+    links = links.union(known.where("linked").select("a", "b"))
     return rows.select("id", "v"), components(links)
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
 import pyarrow as pa
@@ -77,11 +78,64 @@ def test_blocks_of_members_give_the_same_classes(spark, monkeypatch):
     base = words(120, 30)
     rows = [(i, _edited(base, r.choice([0.02, 0.05, 0.1]), r)) for i in range(90)]
     whole = N._second_candidates
-    monkeypatch.setattr(N, "_second_candidates", lambda star, similarity, every=False: whole(star, similarity, every, block=7))
+    monkeypatch.setattr(N, "_second_candidates", lambda star, similarity, known=None, forests=1: whole(star, similarity, known, forests, block=7))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(x) for x in N.classes(d).collect()), key=str) == _brute(rows)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)).filter(lambda x: x[0] < x[1]), unique=True), st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=3), st.integers(1, 4))
+def test_forests_span_the_pairs_and_share_none(pairs, joined, most):
+    def parts(edges):
+        of = list(range(10))
+        for x, y in edges:
+            of = [of[x] if k == of[y] else k for k in of]
+        return {frozenset(k for k in range(10) if of[k] == c) for c in of}
+
+    got = N._forests(pairs, joined, most)
+    assert len(set(got)) == len(got) and set(got) <= set(pairs) and parts(got + joined) == parts(pairs + joined)
+    assert len(got) <= 9 * most and set(N._forests(pairs, joined, 1)) <= set(got)
+    apart = parts(joined)
+    assert not any({x, y} <= c for x, y in got for c in apart)
+    assert set(N._forests(pairs, [], len(pairs) + 1)) == set(pairs)
+
+
+def test_alignment_of_long_texts_takes_memory_by_their_length():
+    r = random.Random(3)
+    a = list(range(40_000))
+    b = [x if r.random() > 0.002 else -x - 1 for x in a]
+    tracemalloc.start()
+    assert N.aligned(a, b, 400) == sum(x == y for x, y in zip(a, b, strict=True))
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_refused_pairs_leave_no_link_out(spark, monkeypatch):
+    """Two groups whose members hold the same shingles in another order: all pairs between them are refused, each group is one class."""
+    r = random.Random(12)
+    base = words(160, 50, 4000).split()
+    turned = base[80:] + base[:80]
+    far = words(80, 51, 4000).split()
+    rows = []
+    for i, whole in enumerate([base, turned] * 20):
+        edited = list(whole)
+        edited[r.randrange(len(edited))] = f"e{i}"
+        rows.append((i, " ".join(edited)))
+    # The leader of most buckets is far from all of them, so that they meet by their differences alone.
+    rows += [(100 + i, " ".join(base[:80] + far) + f" f{i}") for i in range(3)]
+    rounds = []
+    whole_round = N._second_candidates
+
+    def counted(star, similarity, known=None, forests=1):
+        rounds.append(forests)
+        return whole_round(star, similarity, known, forests, block=9)
+
+    monkeypatch.setattr(N, "_second_candidates", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in N.classes(d).collect()), key=str) == _brute(rows)
+    assert len(rounds) <= 9
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = {(r["id"], r["class_id"]) for r in N.classes(odd_docs).collect()}
     assert {(1, 1), (6, 1), (7, 1), (None, 1), (2, 2), (3, 2), (4, 2), (None, 2), (5, 5)} <= got
