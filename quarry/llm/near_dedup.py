@@ -319,15 +319,15 @@ def _linked(docs: DataFrame, width: int, bands: int, keep: int, similarity: floa
     texts = cut(_texts(docs, edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct(), width), "texts")
     star = cut(_verify(edges, texts, width, similarity, True), "star")
     links = star.where("linked").select("a", "b")
-    known, forests = cut(_verify(_second_candidates(star, similarity), texts, width, similarity, False), "more"), 1
+    known, forests = cut(_verify(_second_candidates(star, similarity), texts, width, similarity, False), "more"), 64
     new = known
-    # Where alignment refuses a near pair, other near pairs of its blocks may link what the forest left to it. Four times as many
-    # forests in each round, so that the rounds are few even where all near pairs of two texts' groups are refused.
+    # Where alignment refuses a near pair, other near pairs of its blocks may link what the forest left to it. The number of
+    # forests grows so fast that three more rounds cover all pairs of a block, however many of them are refused.
     while not new.where(~F.col("linked")).isEmpty():
         ends = known.where(~F.col("linked")).select(F.explode(F.array("a", "b")).alias("a")).distinct()
         again = star.join(star.join(ends, "a", "left_semi").select("b").distinct(), "b", "left_semi")
         new = cut(_verify(_second_candidates(again, similarity, known, forests), texts, width, similarity, False), "more")
-        known, forests = known.union(new), 4 * forests
+        known, forests = known.union(new), 64 * forests
     links = links.union(known.where("linked").select("a", "b"))
     return rows.select("id", "v"), components(links)
 

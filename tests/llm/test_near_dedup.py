@@ -133,7 +133,7 @@ def test_refused_pairs_leave_no_link_out(spark, monkeypatch):
     monkeypatch.setattr(N, "_second_candidates", counted)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(x) for x in N.classes(d).collect()), key=str) == _brute(rows)
-    assert len(rounds) <= 9
+    assert len(rounds) <= 4
 
 
 def test_odd_rows(odd_docs, no_docs):
