@@ -33,10 +33,22 @@ def keywords(text: Column, k: int = 4) -> Column:
     return F.slice(first, 1, k)
 
 
-def pages(chunks: DataFrame) -> DataFrame:
-    """page_id, title and text of each page, chunks in order of vector_id."""
-    rows = F.array_sort(F.collect_list(F.struct("vector_id", F.coalesce("text", F.lit("")).alias("text"))))
-    return chunks.groupBy("page_id").agg(F.min("vector_id").alias("first"), F.min_by("title", "vector_id").alias("title"), F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
+def pages(chunks: DataFrame, most_chars: int = 4000) -> DataFrame:
+    """page_id, title and the first most_chars characters of each page's text, chunks in order of vector_id, one a line.
+
+    Every chunk takes a character at least, its line end, so no more than most_chars + 1 of them matter, however many a page
+    has. They are found in salted parts of each page first, so that a page of very many chunks isn't sorted in one task; only what
+    is within the limit is gathered into a row.
+    """
+    order = Window.partitionBy("page_id").orderBy("vector_id")
+    d = chunks.select("page_id", "vector_id", "title", F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("text"), F.pmod(F.xxhash64("vector_id"), F.lit(64)).alias("salt"))
+    d = d.withColumn("place", F.row_number().over(Window.partitionBy("page_id", "salt").orderBy("vector_id"))).where(F.col("place") <= most_chars + 1)
+    d = d.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_chars + 1)
+    before = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("before", before).where(F.col("before") <= most_chars)
+    rows = F.array_sort(F.collect_list(F.struct("place", "text")))
+    text = F.substring(F.array_join(F.transform(rows, lambda r: r["text"]), "\n"), 1, most_chars)
+    return d.groupBy("page_id").agg(F.min("vector_id").alias("first"), F.min_by("title", "place").alias("title"), text.alias("text"))
 
 
 def auto_bootstrap(chunks: DataFrame, per_page: int = 2) -> DataFrame:
@@ -76,7 +88,7 @@ def llm_bootstrap(chunks: DataFrame, generator: Callable[[str], str] | None, per
 
     if generator is None:
         return spark.createDataFrame([], "id string, question string, relevant_page_ids array<string>, answer_keywords array<string>, tag string")
-    d = pages(chunks).withColumn("text", F.substring("text", 1, most_chars))
+    d = pages(chunks, most_chars)
     got = d.mapInPandas(ask, kind).join(d.select("page_id", "first"), "page_id").select("page_id", "first", F.posexplode("items").alias("n", "item")).where("item.question <> ''")
     return numbered(got, ["first", "n"], "number", 1).select(F.format_string("llm%03d", "number").alias("id"), "item.question", F.array("page_id").alias("relevant_page_ids"), "item.answer_keywords", F.lit("llm").alias("tag"))
 
