@@ -7,7 +7,6 @@ words come from prefix sums over the block's bytes, without a Python object for
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.arrow import frugal, release  # noqa: F401
 from quarry.session import forget, scratch_path
 
 BLOCK_BYTES = 4 << 20
@@ -228,26 +228,6 @@ def join_answers(table: DataFrame, written: DataFrame, name: str) -> DataFrame:
     return table.join(w, (F.col("part") == F.col("of")) & (F.col("block_id") - F.col("to") == 0), "left").drop("of", "to")
 
 
-def frugal(run: Callable) -> Callable:
-    """run for mapInArrow, after which a worker that waits for its next task gives free memory back to the system."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            release()
-
-    return whole
-
-
-def release() -> None:
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library frees memory by its own rules
-        pass
-
-
 def slices(batch: pa.RecordBatch, columns: list[str], most_bytes: int = BLOCK_BYTES // 4) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch whose texts take most_bytes at most, or single rows."""
     size = np.zeros(batch.num_rows + 1, np.int64)
