@@ -1,11 +1,13 @@
 """Python holds a bounded part of an Arrow batch at a time, and parses each text once."""
 
 import tracemalloc
+import zlib
 
+import numpy as np
 import pyarrow as pa
 
 from quarry import arrow
-from quarry.operators import documents
+from quarry.operators import documents, embedding
 
 
 def _peak(f, *a):
@@ -43,3 +45,18 @@ def test_pages_are_parsed_once_and_keep_their_errors(spark):
     assert rows == [("1_001", "# A\n\nb", ["u", None], {"k": "v"}, 1, 2, ["A"]), ("1_002", "# C\n\nd", ["u", None], {"k": "v"}, 2, 2, ["C"]), ("3_001", "e", None, {"x": None}, 1, 1, [])]
     m = documents.with_metadata(documents.clean_pages(spark.createDataFrame([("1", "<h1>T</h1><table><tr><th>Field</th><th>Value</th></tr><tr><td>Owner</td><td>O</td></tr><tr><td>x y</td><td></td></tr></table>"), ("2", None)], "page_id string, html string"))).orderBy("page_id").collect()
     assert [(r["owner"], r["custom_fields"], r["headings"], r["markdown"] is None, r["error"], r["metadata_error"]) for r in m] == [("O", {"x_y": None}, [(1, "T")], False, None, None), (None, {}, [], False, None, None)]
+
+
+def test_memory_of_embedding_holds_a_batch_of_texts():
+    texts = pa.array([f"word{i % 9} " * 2000 for i in range(1000)])
+    most, got = _peak(embedding.vectors(lambda some: np.ones((len(some), 4), np.float32) * [[len(x)] for x in some], 8), texts)
+    assert most < 4 and got.type == pa.list_(pa.float32()) and got.to_pylist() == [[0.5] * 4] * 1000
+
+
+def test_hashed_words_count_with_their_signs():
+    got = embedding.hashing_embedder(["a b a", "", None], 5)
+    want = np.zeros((3, 5), np.float32)
+    for w in ("a", "b", "a"):
+        h = zlib.crc32(w.encode())
+        want[0, h % 5] += 1 if h >> 31 else -1
+    assert got.dtype == np.float32 and (got == want).all()
