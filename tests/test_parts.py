@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from quarry import arrow
-from quarry.operators import documents, embedding
+from quarry.operators import documents, embedding, sparse
 
 
 def _peak(f, *a):
@@ -60,3 +60,27 @@ def test_hashed_words_count_with_their_signs():
         h = zlib.crc32(w.encode())
         want[0, h % 5] += 1 if h >> 31 else -1
     assert got.dtype == np.float32 and (got == want).all()
+
+
+def test_words_of_a_block_become_python_objects_a_part_at_a_time():
+    texts = pa.array([f"Word{i} the word{i} " * 500 for i in range(300)])
+    most, (words, own) = _peak(sparse._words, texts)
+    assert most < 10 and own.tolist() == [1500] * 300 and words.slice(1500, 3).to_pylist() == ["word1", "the", "word1"]
+    assert sparse._words(pa.array(["", "-"]))[1].tolist() == [0, 0]
+
+
+def test_questions_are_scored_in_runs_of_bounded_postings(monkeypatch):
+    r = np.random.default_rng(5)
+    df = r.integers(1, 50, 40)
+    docs = np.concatenate([np.sort(r.permutation(50)[:n]) for n in df])
+    columns = {"lengths": (r.integers(5, 90, 50), pa.int32()), "ends": (np.cumsum(df), pa.int32()), "docs": (docs, pa.int32()), "tf": (r.integers(1, 9, len(docs)), pa.int32()), "terms": ([f"t{i}" for i in range(40)], pa.string())}
+    held = sparse._Block(pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in columns.values()], names=list(columns)), 0, 40.0)
+    asked = [[{"term": f"t{i}", "weight": float(r.normal())} for i in r.permutation(50)[:n]] for n in (0, 3, 40, 1, 7, 20, 0, 12)]
+    words = pa.array([None, *asked], pa.list_(pa.struct({"term": pa.string(), "weight": pa.float64()})))[1:]
+    least, flat = np.array([0.0, 0.5, 0.0, 9.0, 0.0, 1.0, 0.0, 0.2]), words.flatten()
+    whole = sparse.score_block(held, np.repeat(np.arange(8), [len(x) for x in asked]), flat.field("term"), flat.field("weight").to_numpy(), least)[0]
+    for most in (1, 900, 1 << 20):
+        monkeypatch.setattr(sparse, "CELLS", most)
+        runs = list(sparse.scores(held, words, least))
+        assert [x for x, _ in runs] == np.r_[0, np.cumsum([len(x) for _, x in runs])][:-1].tolist() and (np.vstack([x for _, x in runs]) == whole).all()
+        assert len(runs) == (8 if most == 1 else 1) or most == 900 and 1 < len(runs) < 8
