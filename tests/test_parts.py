@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from quarry import arrow
 from quarry.operators import documents, embedding, sparse
+from quarry.plans import queries
 
 
 def _peak(f, *a):
@@ -84,3 +85,9 @@ def test_questions_are_scored_in_runs_of_bounded_postings(monkeypatch):
         runs = list(sparse.scores(held, words, least))
         assert [x for x, _ in runs] == np.r_[0, np.cumsum([len(x) for _, x in runs])][:-1].tolist() and (np.vstack([x for _, x in runs]) == whole).all()
         assert len(runs) == (8 if most == 1 else 1) or most == 900 and 1 < len(runs) < 8
+
+
+def test_a_comparison_finds_its_relevant_texts_once(spark):
+    got = queries.compare_dense_hybrid(spark, "/root/testdata/sf0.001")
+    files = str(got.inputFiles())
+    assert "documents.parquet" not in files and "relevant-" in files
