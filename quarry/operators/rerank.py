@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import dense, hybrid, sparse
+from quarry.session import cut
 
 # What each signal can add to the base score.
 BOOSTS = {"title": 0.15, "section": 0.20, "heading": 0.25, "breadcrumb": 0.05, "keyword": 0.20, "exact_phrase": 0.35, "child_page": 0.20, "owner": 0.15}
@@ -48,8 +49,9 @@ def candidates(chunks: DataFrame, questions: DataFrame, index: sparse.SparseInde
         found = both.withColumn("score", F.col("hybrid_score"))
     else:
         found = dense.search(vectors or chunks, questions, top_k, "vector_id").select("qid", "id", F.col("score").alias("cosine_score"), "score", F.col("dense_rank").alias("rank"))
-    meta = chunks.drop("embedding")
-    return found.join(meta, found["id"] == meta["vector_id"]).drop("id").join(questions.select("qid", "question"), "qid")
+    # Written, since then its size is known: a table of candidates that is small goes to the chunks, whose texts stay where they are read.
+    found, meta = cut(found.join(questions.select("qid", "question"), "qid"), "candidates"), chunks.drop("embedding")
+    return found.join(meta, found["id"] == meta["vector_id"]).drop("id")
 
 
 def select(ranked: DataFrame, min_score: float = 0.20) -> DataFrame:

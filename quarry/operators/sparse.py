@@ -106,7 +106,8 @@ def _words(texts: pa.Array) -> tuple[pa.ChunkedArray, np.ndarray]:
 def document_counts(blocks: DataFrame) -> DataFrame:
     """term, df: in how many documents of the blocks each term is."""
     each = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (F.get("ends", i) - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long").alias("n")))
-    return blocks.select(F.inline(each)).groupBy("term").agg(F.sum("n").alias("df"))
+    # No term is null. A join on terms would say so on its own side alone, and the counts would be made twice.
+    return blocks.select(F.inline(each)).where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def sizes(blocks: DataFrame) -> DataFrame:
@@ -235,20 +236,25 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _evaluate(index: SparseIndex, pairs: DataFrame, asked: DataFrame, groups: int, k: int) -> DataFrame:
-    """qid, id, bm25_score of the k best of each of pairs(qid, block, least) that reach least. asked: qid, words."""
+    """qid, id, bm25_score of the k best of each of pairs(qid, block, least) that reach least. asked: qid, words.
+
+    Pairs are written without words, since then their size is known: small ones go to the blocks, which stay where they are read.
+    """
     apart = F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("group")
-    told = pairs.join(asked, "qid").groupBy("block", apart).agg(F.collect_list(F.struct("qid", "least", "words")).alias("asked"))
-    d = index.blocks.join(told, "block").join(index.corpus.select("avgdl"))
+    told = cut(pairs.where("qid is not null").groupBy("block", apart).agg(F.collect_list(F.struct("qid", "least")).alias("told")), "told")
+    words = cut(asked.groupBy(apart).agg(F.collect_list(F.struct("qid", "words")).alias("asked")), "asked-groups")
+    d = index.blocks.join(told, "block").join(words, "group").join(index.corpus.select("avgdl"))
     d = d.withColumn("dead", F.array().cast("array<int>")) if index.dead is None else d.join(index.dead, "block", "left").withColumn("dead", F.coalesce("dead", F.array().cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                held, told = _Block(b, row, b.column("avgdl")[row].as_py()), b.column("asked")[row].values
+                held, told, words = _Block(b, row, b.column("avgdl")[row].as_py()), b.column("told")[row].values, b.column("asked")[row].values
+                words = words.field("words").take(pc.index_in(told.field("qid"), value_set=words.field("qid")))
                 ids, gone = b.column("ids")[row].values, b.column("dead")[row].values.to_numpy()
                 low = pc.fill_null(ids, -(1 << 63)).to_numpy()
                 q, at, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-                for first, total in scores(held, told.field("words"), told.field("least").to_numpy()):
+                for first, total in scores(held, words, told.field("least").to_numpy()):
                     total[:, gone] = -np.inf
                     for i, one in enumerate(total):
                         at.append(_best(one, low, k))
@@ -256,7 +262,7 @@ def _evaluate(index: SparseIndex, pairs: DataFrame, asked: DataFrame, groups: in
                         score.append(one[at[-1]])
                 yield pa.RecordBatch.from_arrays([told.field("qid").take(pa.array(np.concatenate(q))), ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(score))], names=["qid", "id", "bm25_score"])
 
-    return d.select(*index.blocks.columns, "asked", "avgdl", "dead").mapInArrow(frugal(run), "qid long, id long, bm25_score double")
+    return d.select(*index.blocks.columns, "told", "asked", "avgdl", "dead").mapInArrow(frugal(run), "qid long, id long, bm25_score double")
 
 
 def postings(blocks: DataFrame, dead: DataFrame | None = None, kept: bool = True) -> DataFrame:
