@@ -202,26 +202,27 @@ class Lattices:
         """Draws a path from each node to its end: (edges in order, edges of each). key and place seed the draws."""
         # Equal words are walked side by side, so that their lattices are read together.
         order = np.argsort(node)
-        node, end, key, place = node[order], end[order], key[order], place[order]
-        live, begin, drawn = np.flatnonzero(node < end), node.copy(), []
-        while len(live):
-            at = node[live]
-            u = uniform(key[live], place[live] + (at - begin[live]))
-            e, last = self.first[at], self.first[at + 1] - 1
-            go = np.arange(len(live))
+        node = node[order]
+        end, key, ahead, drawn = end[order], key[order], place[order] - node, []
+        count = np.zeros(len(order), np.int64)
+        while len(node):
+            going = np.flatnonzero(node < end)
+            if len(going) < len(node):
+                order, node, end, key, ahead = order[going], node[going], end[going], key[going], ahead[going]
+            u = uniform(key, ahead + node)
+            # The longest edge is mostly the likeliest, so the first edge whose sum exceeds u is looked for from there.
+            first, e = self.first[node], self.first[node + 1] - 1
+            go = np.flatnonzero(~(self.cum[e - 1] <= u) & (e > first))
             while len(go):
-                go = go[(self.cum[e[go]] <= u[go]) & (e[go] < last[go])]
-                e[go] += 1
-            drawn.append((live, e))
-            node[live] = at + self.step[e]
-            live = live[node[live] < end[live]]
-        count = np.zeros(len(begin), np.int64)
-        for who, _ in drawn:
-            count[order[who]] += 1
+                e[go] -= 1
+                go = go[~(self.cum[e[go] - 1] <= u[go]) & (e[go] > first[go])]
+            drawn.append((order, e))
+            count[order] += 1
+            node = node + self.step[e]
         first = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
         for k, (who, e) in enumerate(drawn):
-            out[first[order[who]] + k] = e
+            out[first[who] + k] = e
         return out, count
 
     def ids(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,6 +255,20 @@ def lattices(model: str = "piece_bpe_32k.model") -> Lattices:
     return _models[model]
 
 
+def mix_one(h: int) -> int:
+    """The same mixing as of arrays, on one number."""
+    full = (1 << 64) - 1
+    h &= full
+    h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & full
+    h = (h ^ (h >> 32)) * 0x94D049BB133111EB & full
+    return h ^ (h >> 29)
+
+
+def uniform_one(key: int, place: int) -> float:
+    """The same draw as of arrays, as one number."""
+    return (float(mix_one(key + place * 0x9E3779B97F4A7C15) >> 11) + 0.5) * 2.0**-53
+
+
 class Search:
     """The agenda of one text: other edges than those taken, by perturbed value."""
 
@@ -263,13 +278,9 @@ class Search:
         self.paths: list[np.ndarray] = []
         self.values: list[float] = []
 
-    def salt(self, sample: int, use: int) -> np.uint64:
-        """Another key for each use of each sample; the same mixing as of arrays, on one number."""
-        full = (1 << 64) - 1
-        h = (self.key + (sample * 8 + use + 1) * 0xD1B54A32D192ED03) & full
-        h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & full
-        h = (h ^ (h >> 32)) * 0x94D049BB133111EB & full
-        return np.uint64(h ^ (h >> 29))
+    def salt(self, sample: int, use: int) -> int:
+        """Another key for each use of each sample."""
+        return mix_one(self.key + (sample * 8 + use + 1) * 0xD1B54A32D192ED03)
 
     def add(self, value: float, path: np.ndarray) -> int:
         self.paths.append(path)
@@ -292,7 +303,8 @@ class Search:
         lo = int(np.searchsorted(self.lat.first[: self.lat.n_nodes + 1], shut[0], side="right")) - 1
         begin, end = int(self.lat.first[lo]), int(self.lat.first[lo + 1])
         options = [(e, p) for e, p in zip(range(begin, end), self.lat.prob[begin:end].tolist(), strict=True) if e not in shut and p > 0]
-        u, noise = uniform(self.salt(sample, 2), np.arange(2)).tolist()
+        salt = self.salt(sample, 2)
+        u, noise = uniform_one(salt, 0), uniform_one(salt, 1)
         whole = sum(p for _, p in options)
         u, new, rest = u * whole, options[-1][0], whole - options[-1][1]
         for e, p in options:
@@ -394,7 +406,7 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattice
             done = int(lat.step[path[:at]].sum()) + int(lat.step[new])
             w = first + int(np.searchsorted(place[first : last[i]], done, side="right")) - 1
             inside = done - int(place[w])
-            later = np.arange(w + 1, last[i])
+            later = slice(w + 1, last[i])
             heads.append(np.r_[path[:at], new])
             if inside < size[w]:
                 node.append([start[w] + inside])
@@ -403,9 +415,9 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattice
             node.append(start[later])
             stop.append(start[later] + size[later])
             places.append(place[later])
-            lengths.append((inside < size[w]) + len(later))
-            whose.append(np.full(lengths[-1], every[i].salt(j, 0), np.uint64))
-        edges, n = lat.walk(*(np.concatenate(x).astype(np.int64) for x in (node, stop)), np.concatenate(whose), np.concatenate(places).astype(np.int64))
+            lengths.append((inside < size[w]) + int(last[i]) - w - 1)
+            whose.append(every[i].salt(j, 0))
+        edges, n = lat.walk(*(np.concatenate(x).astype(np.int64) for x in (node, stop)), np.repeat(np.array(whose, np.uint64), lengths), np.concatenate(places).astype(np.int64))
         upto = np.r_[0, np.cumsum(n)]
         at_word, found = 0, []
         for (i, (_, at, new, phi, value)), head, m in zip(todo, heads, lengths, strict=True):

@@ -93,3 +93,31 @@ def test_what_is_kept_of_the_words_changes_no_sample(spark):
     for k, t in enumerate(texts):
         a, b = (P.sample_texts([t], np.array([k], np.uint64), 3, lat)[0] for lat in (wide, narrow))
         assert [(x[0].tolist(), x[1:]) for x in a] == [(y[0].tolist(), y[1:]) for y in b]
+
+
+def test_a_draw_reads_few_edges_and_takes_the_first_whose_sum_exceeds_it():
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, at):
+            got = np.asarray(super().__getitem__(at))
+            Counted.read += got.size
+            return got
+
+    lat = P.Lattices("piece_bpe_32k.model")
+    word = lat.words("the quick brown foxes were jumping over several sleeping dogs \U0001f600 \u4e2d\u6587 x".split(" ") * 40)
+    cum, start, key, place = lat.cum, lat.start[word], np.arange(len(word), dtype=np.uint64), np.arange(len(word)) * 50
+    lat.cum = cum.view(Counted)
+    drawn, count = lat.walk(start, start + lat.size[word], key, place)
+    assert Counted.read < 2 * len(drawn)
+    at = 0
+    for i, n in enumerate(count.tolist()):
+        node = int(start[i])
+        for e in drawn[at : at + n].tolist():
+            u = P.uniform(key[i : i + 1], place[i : i + 1] + node - int(start[i]))[0]
+            some = cum[lat.first[node] : lat.first[node + 1]]
+            assert e == lat.first[node] + np.flatnonzero(some > u)[0]
+            assert u == P.uniform_one(i, int(place[i]) + node - int(start[i]))
+            node += int(lat.step[e])
+        assert node == start[i] + lat.size[word[i]]
+        at += n
