@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from quarry import arrow
-from quarry.operators import documents, embedding, sparse
+from quarry.operators import dense, documents, embedding, sparse
 from quarry.plans import queries
 
 
@@ -91,3 +91,11 @@ def test_a_comparison_finds_its_relevant_texts_once(spark):
     got = queries.compare_dense_hybrid(spark, "/root/testdata/sf0.001")
     files = str(got.inputFiles())
     assert "documents.parquet" not in files and "relevant-" in files
+
+
+def test_products_with_pivots_do_not_follow_the_batch():
+    r = np.random.default_rng(3)
+    v, p = r.normal(size=(10_000, 64)), r.normal(size=(256, 64))
+    mb, near = _peak(dense._nearest, v, p)
+    assert mb < 8 and near.tolist() == [int(((x - p) ** 2).sum(1).argmin()) for x in v]
+    assert dense._nearest(v[:0], p).tolist() == []
