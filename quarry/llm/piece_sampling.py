@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.arrow import edges
 from quarry.llm import blocks as B
 
 MARK, HELD = "▁", "\ud800"
@@ -446,7 +447,7 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, k: int, lat: Lattice
     return out
 
 
-def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, batch_chars: int = 1 << 19, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, batch_bytes: int = 1 << 19, digest: bool = False) -> DataFrame:
     """id, sample (from 0), n_pieces, ids_crc32, log_prob, perturbed, log_inclusion and, if asked for, ids and decoded_sha256.
 
     digest: decodes every segmentation in the same task and adds the digest of the decoded text.
@@ -456,14 +457,9 @@ def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_3
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(model)
         for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("key").to_numpy().view(np.uint64)
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end] or "") <= batch_chars):
-                    chars += len(texts[end] or "")
-                    end += 1
-                got = sample_texts(texts[at:end], keys[at:end], k, lat)
+            keys = b.column("key").to_numpy().view(np.uint64)
+            for at, end in edges(b.column("text"), batch_bytes):
+                got = sample_texts(b.column("text").slice(at, end - at).to_pylist(), keys[at:end], k, lat)
                 rows = [(i, j, len(x[0]), zlib.crc32(x[0].astype("<u4").tobytes()), *x[1:]) for i, r in enumerate(got) for j, x in enumerate(r)]
                 cols = [np.array(c) for c in zip(*rows, strict=True)]
                 arrays = [b.column("id").slice(at, end - at).take(pa.array(cols[0])), pa.array(cols[1].astype("i4")), pa.array(cols[2].astype("i4")), pa.array(cols[3].astype("i8")), *(pa.array(c.astype("f8")) for c in cols[4:])]
@@ -474,7 +470,6 @@ def encode(docs: DataFrame, k: int = 3, seed: int = 5, model: str = "piece_bpe_3
                 if digest:
                     arrays.append(pa.array([hashlib.sha256(x).hexdigest() for x in spell(ids, upto, model)]))
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", *(n for n, _ in extra)])
-                at = end
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     d = d.withColumn("key", F.xxhash64(F.lit(seed), "id"))
