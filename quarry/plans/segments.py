@@ -23,7 +23,7 @@ from quarry.operators.numbering import numbered
 from quarry.session import ready
 from quarry.sources.snapshots import Log
 
-PARTS = ("blocks", "bounds", "counts", "sizes", "dead", "chunks")
+PARTS = ("blocks", "counts", "sizes", "dead", "chunks")
 
 
 def page_text() -> Column:
@@ -66,10 +66,7 @@ class SegmentedIndex:
         sums = self._read(m, "sizes").agg(F.sum("documents").alias("n"), F.sum("tokens").alias("tokens"))
         corpus = sums.select("n", F.try_divide("tokens", "n").alias("avgdl"))
         counts = self._read(m, "counts").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        # A bound made for a shorter average length holds for a longer one in proportion: the length counts less by as much at the most.
-        longer = F.greatest(F.lit(1.0), F.col("avgdl") / F.col("at"))
-        bounds = self._read(m, "bounds").join(corpus.select("avgdl")).select("block", "terms", F.transform("best", lambda x: x * longer).alias("best"))
-        return sparse.SparseIndex(self._read(m, "blocks"), bounds, sparse.weighed(counts, corpus), corpus, self._dead(m))
+        return sparse.SparseIndex(self._read(m, "blocks"), sparse.weighed(counts, corpus), corpus, self._dead(m))
 
     def apply(self, chunks: DataFrame, pages: DataFrame, mark: dict | None = None) -> int:
         """Commits chunks as all that their pages have now; pages(page_id) names every page that changed, went or became empty.
@@ -109,7 +106,5 @@ class SegmentedIndex:
             put(dead, "dead")
         put(counts.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "counts")
         put(sizes.agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")), "sizes")
-        own = sparse.sizes(blocks).select(F.try_divide("tokens", "documents").alias("avgdl"))
-        put(sparse.bounded(blocks, own).join(own.select(F.col("avgdl").alias("at"))), "bounds")
         after = next_id if next_id is not None else m["next_id"] + back("chunks").count()
         return {"segments": [*m["segments"], place.rsplit("/", 1)[1]], "next_id": after, "next_segment": m["next_segment"] + 1, "mark": mark if mark is not None else m.get("mark")}

@@ -2,6 +2,7 @@
 
 from quarry.operators import sparse
 from quarry.plans import queries
+from quarry.session import cut as real_cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,24 @@ def test_a_question_without_id_asks_nothing(spark):
     asked = spark.createDataFrame([(None, "fox"), (7, "red")], "qid long, question string")
     index = sparse.build(docs, "id", docs["text"])
     assert [(r["qid"], r["id"]) for r in sparse.search(index, asked, 5).collect()] == [(7, 1)]
+
+
+def test_bounds_take_only_asked_terms_from_blocks(spark, monkeypatch):
+    plans, real = {}, sparse.cut
+    monkeypatch.setattr(sparse, "cut", lambda d, name, *a: plans.setdefault(name, _plan(d)) and real(d, name, *a))
+    index = queries.bm25_index(spark, SF)
+    sparse.search(index, queries.questions(spark, SF), 30)
+    # A row for each term of each block would be a table that is larger than the texts.
+    assert "inline" not in plans["block-bounds"] and "array<string>" not in sparse._BLOCKS
+
+
+def test_a_task_adds_counts_of_its_blocks_before_they_move(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "BLOCK_DOCS", 10)
+    docs = spark.createDataFrame([(i, f"red fox {i % 2}") for i in range(400)], "id long, text string").coalesce(1)
+    blocks = real_cut(sparse.gather(docs), "blocks").coalesce(1)
+    handed, frame = [], type(blocks)
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda *a, **b: handed.append(real(*a, **b)) or handed[-1])
+    got = {r["term"]: r["df"] for r in sparse.document_counts(blocks).collect()}
+    assert blocks.count() == 40 and got == {"red": 400, "fox": 400, "0": 200, "1": 200}
+    assert [sum(len(r["counted"]) for r in d.collect()) for d in handed] == [4]

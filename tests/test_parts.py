@@ -1,10 +1,14 @@
 """Python holds a bounded part of an Arrow batch at a time, and parses each text once."""
 
+import random
+import re
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quarry import arrow
 from quarry.operators import dense, documents, embedding, sparse
@@ -99,3 +103,23 @@ def test_products_with_pivots_do_not_follow_the_batch():
     mb, near = _peak(dense._nearest, v, p)
     assert mb < 8 and near.tolist() == [int(((x - p) ** 2).sum(1).argmin()) for x in v]
     assert dense._nearest(v[:0], p).tolist() == []
+
+
+def test_words_from_bytes_are_those_of_a_regular_expression():
+    r = random.Random(4)
+    texts = ["".join(r.choice("aZ09 \n-_éİKſßΣ日\x00") for _ in range(r.randrange(9))) for _ in range(3000)]
+    for some in (pa.array(texts), pa.array(texts).slice(7, 900), pa.array(texts, pa.large_string()), pa.array([""])):
+        words, own = sparse._words(some)
+        found = [re.findall("[a-z0-9]+", t.lower()) for t in some.to_pylist()]
+        assert words.to_pylist() == [w for x in found for w in x] and own.tolist() == [len(x) for x in found]
+
+
+def test_blocks_hold_postings_in_few_bytes_and_give_them_back(spark):
+    docs = [(i, f"w{i % 7} w{i % 5} w{i % 5} c " + f"only{i}" + " often" * (i * 300)) for i in range(300)]
+    index = sparse.build(spark.createDataFrame(docs, "id long, text string").coalesce(1), "id", F.col("text"))
+    want = sorted((w, i, n, len(t.split())) for i, t in docs for w, n in Counter(t.split()).items())
+    assert sorted((r["term"], r["id"], r["tf"], r["dl"]) for r in index.postings.collect()) == want
+    row = index.packed.first()
+    held = sparse._Block(pa.RecordBatch.from_pylist([row.asDict()], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("vocabulary", pa.binary()), ("postings", pa.binary())])), 0, 9.0)
+    few = held.among(pa.array(["often", "none", "w3"]))
+    assert set(few.terms.to_pylist()) == {"often", "w3"} and few.best.tolist() == [held.best[held.terms.to_pylist().index(w)] for w in few.terms.to_pylist()]
