@@ -180,7 +180,7 @@ def document_counts(blocks: DataFrame) -> DataFrame:
 
 
 def _added(counts: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(counts).group_by("term", use_threads=False).aggregate([("n", "sum")]).select(["term", "n_sum"]).combine_chunks()
+    return pa.concat_tables(counts).group_by("term", use_threads=False).aggregate([("n", "sum")]).select(["term", "n_sum"]).rename_columns(["term", "n"]).combine_chunks()
 
 
 def _handed(counts: pa.Table) -> Iterator[pa.RecordBatch]:

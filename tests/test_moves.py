@@ -1,5 +1,7 @@
 """What retrieval leaves where it is read: texts, and blocks of postings."""
 
+from collections import Counter
+
 from quarry.operators import sparse
 from quarry.plans import queries
 from quarry.session import cut as real_cut
@@ -65,3 +67,12 @@ def test_a_task_adds_counts_of_its_blocks_before_they_move(spark, monkeypatch):
     got = {r["term"]: r["df"] for r in sparse.document_counts(blocks).collect()}
     assert blocks.count() == 40 and got == {"red": 400, "fox": 400, "0": 200, "1": 200}
     assert [sum(len(r["counted"]) for r in d.collect()) for d in handed] == [4]
+
+
+def test_counts_that_are_added_more_than_once_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "BLOCK_DOCS", 10)
+    docs = spark.createDataFrame([(i, f"red w{i % 3} w{i} {'fox ' * (i % 4)}") for i in range(200)], "id long, text string").coalesce(1)
+    blocks, want = real_cut(sparse.gather(docs), "blocks").coalesce(1), Counter(w for i in range(200) for w in {"red", f"w{i % 3}", f"w{i}", *["fox"] * (i % 4 > 0)})
+    for most in (1, 30, 100, 150, 1 << 20):
+        monkeypatch.setattr(sparse, "MERGED", most)
+        assert {r["term"]: r["df"] for r in sparse.document_counts(blocks).collect()} == want
