@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.arrow import frugal, release  # noqa: F401
-from quarry.session import forget, scratch_path
+from quarry.arrow import frugal, full, release  # noqa: F401
+from quarry.session import ROW_GROUP, forget, scratch_path
 
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20  # of texts; so what a task reads does not grow with the input
+BUCKET_BYTES = 32 << 20  # of texts, in a part and on average in a bucket; so what a task reads does not grow with the input
+STRIDE = (1 << 20) + 7  # more than there are tasks, and prime, so that the parts of a task spread over buckets
+HASHED = 1 << 18  # bytes that are hashed at once
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -36,7 +38,7 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if which not in _powers or len(_powers[which][0]) < n:
         p = _ODD[which]
         inverse = np.uint64(pow(int(p), -1, 1 << 64))
-        size = max(n, 1 << 20)
+        size = max(1 << n.bit_length(), HASHED << 1)
         with np.errstate(over="ignore"):
             _powers[which] = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (p, inverse))
     a, b = _powers[which]
@@ -74,10 +76,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edge[offsets] = True
     starts = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
     ends = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
-    power, inverse = _power(0, len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * power[: len(data)])]
-        h = (sums[ends] - sums[starts]) * inverse[starts]
+    h, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # the bytes of some words at a time: a word's hash doesn't depend on where sums begin
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED, side="right")))
+        first, s, e = starts[at], starts[at:end] - starts[at], ends[at:end] - starts[at]
+        power, inverse = _power(0, int(e[-1]) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.uint64(0), np.cumsum(_BYTE[data[first : first + e[-1]]] * power[: e[-1]])]
+            h[at:end] = (sums[e] - sums[s]) * inverse[s]
+        at = end
     return mix(h), np.searchsorted(offsets, starts, side="right") - 1
 
 
@@ -144,7 +151,7 @@ def part_of(task: int, buckets: int) -> int:
     """A number of the task's own that bucketBy deals to bucket ``task % buckets``, so that tasks spread evenly over buckets."""
     skip, start = task // buckets, 0
     while True:
-        some = np.arange(start, start + 2 * buckets + 64)
+        some = np.arange(start, start + 2 * buckets + (64 if task < STRIDE else 1 << 16))
         fits = some[bucket_hash(some) % buckets == task % buckets]
         if skip < len(fits):
             return int(fits[skip])
@@ -159,7 +166,7 @@ def write_bucketed(df: DataFrame, buckets: int, label: str) -> DataFrame:
     """df as a table bucketed by part in the shared folder: joins on part read it without moving it."""
     spark = df.sparkSession
     name, path = f"{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
-    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
+    df.write.options(path=path, compression="zstd", **ROW_GROUP).bucketBy(buckets, "part").saveAsTable(name)
     table = spark.table(name)
     # The plan knows the files and their buckets; the catalog need not keep the name. The files go with the application.
     spark.sql(f"DROP TABLE {name}")
@@ -171,37 +178,38 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(part, block_id, ids, texts and, if asked for, whole rows; the bytes of all texts). A text over block_bytes is a block of its own.
 
     Rows where apart (a condition on docs) holds don't share blocks with others.
-    A part is what one task writes, and its bucket goes by part: one file for each task, evenly over a number of buckets that
-    follows the bytes. The high half of a block's id is its part.
+    A part is what one task writes, up to BUCKET_BYTES of texts, and its bucket goes by part: however much a task reads, what is joined
+    by part stays small. Parts spread evenly over a number of buckets that follows the bytes. The high half of a block's id is its part.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
-    buckets, whole = bucket_count(spark, size), apart is None
+    buckets, whole, most = bucket_count(spark, size), apart is None, BUCKET_BYTES
 
-    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch | None] = [None, None]
         for b in batches:
-            if whole:
-                yield b
-            else:
-                yield b.filter(pc.invert(b.column("apart")))
-                yield b.filter(b.column("apart"))
+            for k, rows in enumerate([b] if whole else [b.filter(pc.invert(b.column("apart"))), b.filter(b.column("apart"))]):
+                done, left[k] = full(rows, left[k], "text", block_bytes)
+                yield from done
+        yield from (x for x in left if x is not None)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        made, task = 0, part_of(TaskContext.get().partitionId(), buckets)
-        for b in divided(batches):
-            ids, texts = b.column("id"), b.column("text").fill_null("")
-            _, offsets = text_bytes(texts)
-            at = 0
-            while at < len(ids):
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes, side="right")) - 1)
-                rows = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([b.column("row")[at:end]]))] if whole_rows else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task], pa.int32()), pa.array([(task << 32) + made], pa.int64()), pa.array([ids[at:end].to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), pa.concat_arrays([texts[at:end]])), *rows],
-                    names=["part", "block_id", "ids", "texts", "rows"][: 4 + len(rows)],
-                )
-                at, made = end, made + 1
+        made, taken, nth = 0, 0, TaskContext.get().partitionId()
+        part = part_of(nth, buckets)
+        for b in runs(batches):
+            texts = b.column("text").fill_null("")
+            bytes_ = int(text_bytes(texts)[1][-1])
+            if made and taken + bytes_ > most:
+                made, taken, nth = 0, 0, nth + STRIDE
+                part = part_of(nth, buckets)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.concat_arrays([x]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([(part << 32) + made], pa.int64()), listed(b.column("id")), listed(texts), *([listed(b.column("row"))] if whole_rows else [])],
+                names=["part", "block_id", "ids", "texts", "rows"][: 4 + whole_rows],
+            )
+            made, taken = made + 1, taken + bytes_
 
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(True).alias(" ")).alias("row")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([others] if whole_rows else []), *([] if apart is None else [F.coalesce(apart, F.lit(False)).alias("apart")]))
