@@ -22,7 +22,7 @@ single spaces, and so are the words of all documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,6 +37,7 @@ from quarry.session import cut
 
 WINDOW = 13
 LEAF, SMALLEST = 1 << 19, 1 << 16  # suffixes in a group, and the least that a group is split from
+SENT = 256  # messages in an Arrow batch
 NO_ID = np.iinfo(np.int64).max
 FIRST, SEVERAL = np.uint64(1), np.uint64(2)  # what stands before a suffix: its document's begin, or different words
 _odd = np.random.Generator(np.random.PCG64(4242)).integers(1, 1 << 62, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,12 +47,12 @@ def prefix_lengths(window: int) -> list[int]:
     return sorted({n for n in (2, 4, 8) if n < window} | {window})
 
 
-def row_hashes(m: np.ndarray) -> np.ndarray:
-    """One hash for each row."""
-    out = np.zeros(len(m), np.uint64)
+def row_hashes(columns: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """One hash for each of n rows, from their columns."""
+    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(m.shape[1]):
-            out += B.mix(m[:, j].astype(np.uint64) * _odd[j % len(_odd)] + np.uint64(j))
+        for j, c in enumerate(columns):
+            out += B.mix(c.astype(np.uint64) * _odd[j % len(_odd)] + np.uint64(j))
     return B.mix(out)
 
 
@@ -88,34 +89,53 @@ class Block:
         told = [B.expand(a["told"], "i8") for a in sorted(answers, key=lambda a: a["bucket"]) if a["kind"] == WORDS]
         return (np.concatenate(told) if told else np.zeros(0, np.int64))[np.unique(self.h, return_inverse=True)[1]]
 
+    def word(self, starts: np.ndarray, j: int, code: np.ndarray) -> np.ndarray:
+        """The number of the j-th word from each start, 0 after its document's end."""
+        place = starts + j
+        if j < self.window:
+            return code[place]
+        within = np.minimum(place, len(code) - 1)
+        return np.where((place < len(code)) & (self.doc[within] == self.doc[starts]), code[within], 0)
+
+    def words(self, starts: np.ndarray, depth: int, code: np.ndarray) -> np.ndarray:
+        """The suffixes that begin there, a row each."""
+        m = np.empty((depth, len(starts)), np.int64)
+        for j in range(depth):
+            m[j] = self.word(starts, j, code)
+        return m.T
+
+    def groups(self, starts: np.ndarray, n: int, ways: int, code: np.ndarray) -> np.ndarray:
+        """groups_of the suffixes that begin there."""
+        return (row_hashes((self.word(starts, j, code) for j in range(n)), len(starts)) % np.uint64(ways)).astype(np.int64)
+
     def suffixes(self, starts: np.ndarray, depth: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The different suffixes there: (their words by number, 0 after the end; number of each start's suffix; order of the starts; where each suffix begins in it)."""
-        place = starts[:, None] + np.arange(depth)
-        if depth > self.window:
-            within = np.minimum(place, len(code) - 1)
-            m = np.where((place < len(code)) & (self.doc[within] == self.doc[starts][:, None]), code[within], 0)
-        else:
-            m = code[place]
-        key = row_hashes(m)
+        """The different suffixes there: (a start of each; number of each start's suffix; order of the starts; where each suffix begins in it).
+
+        Suffixes are compared a word at a time, so that their words don't all stand beside each other.
+        """
+        key = row_hashes((self.word(starts, j, code) for j in range(depth)), len(starts))
         order = np.argsort(key, kind="stable")
-        key, m = key[order], m[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (m[1:] != m[:-1]).any(1)] if len(m) else np.zeros(0, bool)
-        number = np.empty(len(m), np.int64)
+        key, by = key[order], starts[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        for j in range(depth if len(key) else 0):
+            w = self.word(by, j, code)
+            new[1:] |= w[1:] != w[:-1]
+        number = np.empty(len(key), np.int64)
         number[order] = np.cumsum(new) - 1
-        return m[new], number, order, np.flatnonzero(new)
+        return by[new], number, order, np.flatnonzero(new)
 
 
-def messages(m: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes]]:
+def messages(rows_of: Callable[[np.ndarray], np.ndarray], group: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes]]:
     """(group, its rows, their words) for each group."""
     order = np.argsort(group, kind="stable")
     names, begin = np.unique(group[order], return_index=True)
     for name, rows in zip(names.tolist(), np.split(order, begin[1:]) if len(names) else [], strict=True):
-        yield name, rows, B.squeeze_rows(m[rows])
+        yield name, rows, B.squeeze_rows(rows_of(rows))
 
 
 def groups_of(m: np.ndarray, n: int, ways: int) -> np.ndarray:
     """A number below ways for each row, by its first n words."""
-    return (row_hashes(m[:, :n]) % np.uint64(ways)).astype(np.int64)
+    return (row_hashes(m.T[:n], len(m)) % np.uint64(ways)).astype(np.int64)
 
 
 def sorted_suffixes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +148,12 @@ def sorted_suffixes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             key = (key << bits) | m[:, k]
         keys.append(key)
     order = np.lexsort(keys[::-1])
-    m = m[order]
-    apart = m[1:] != m[:-1]
-    length = (m != 0).sum(1)
-    common = np.where(apart.any(1), apart.argmax(1), m.shape[1])
+    del keys
+    common, length = np.full(max(len(m) - 1, 0), m.shape[1]), np.zeros(len(m), np.int64)
+    for j in reversed(range(m.shape[1])):
+        w = m[order, j]
+        common[w[1:] != w[:-1]] = j
+        length += w != 0
     return order, np.minimum(common, np.minimum(length[1:], length[:-1]))
 
 
@@ -203,10 +225,19 @@ def longer(message: dict, n: int, depth: int, extra: tuple[str, ...], ways: int
     m, at = B.expand_rows(message["words"], "i8", depth), B.expand_sorted(message["at"], "i4")
     # Groups that get the same number by chance are one, which costs memory alone.
     group = (B.mix(np.array([message["group"]], np.int64).view(np.uint64)) + groups_of(m, n, ways).astype(np.uint64)).view(np.int64)
-    for name, rows, words in messages(m, group):
+    for name, rows, words in messages(m.__getitem__, group):
         yield {"group": name, "block_id": message["block_id"], "home": message["home"], "at": B.squeeze_sorted(at[rows]), "n": len(rows), "words": words, **{x: B.squeeze(B.expand(message[x], KINDS[x])[rows]) for x in ("least", *extra)}}
 
 
+def together(group: list[dict], depth: int) -> np.ndarray:
+    """The suffixes of a group's messages, a row each; those of one message at a time are expanded beside them."""
+    m, at = np.empty((depth, sum(x["n"] for x in group)), np.int64), 0
+    for x in group:
+        m[:, at : at + x["n"]] = B.expand_rows(x["words"], "i8", depth).T
+        at += x["n"]
+    return m.T
+
+
 def subtrees(sent: DataFrame, window: int, depth: int, leaf: int, total: int, extra: tuple[str, ...], result: str, tree) -> DataFrame:
     """The rows of result that tree(messages of a group) gives for all groups.
 
@@ -271,13 +302,17 @@ def _messages(both: DataFrame, total: int, window: int, depth: int, bits: int, b
                 block = Block(ids, texts, window)
                 heard = b.column("repeated")[i].as_py() or []
                 starts = block.repeated(bits, buckets, heard)
-                m, number, order, begin = block.suffixes(starts, depth, block.numbers(heard))
+                code = block.numbers(heard)
+                first, number, order, begin = block.suffixes(starts, depth, code)
                 owner = block.ids[block.doc[starts]]
                 least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner
                 more = _details(block, starts, number, order, begin, owner, least) if extra else {}
                 name, out = b.column("block_id")[i].as_py(), []
-                for group, rows, words in messages(m, groups_of(m, prefix_lengths(window)[0], ways)):
+                for group, rows, words in messages(lambda rows: block.words(first[rows], depth, code), block.groups(first, prefix_lengths(window)[0], ways, code)):  # noqa: B023  used at once
                     out.append({"group": group, "block_id": name, "home": group, "at": B.squeeze_sorted(np.arange(len(rows), dtype="i4")), "n": len(rows), "words": words, "least": B.squeeze(least[rows]), **{k: B.squeeze(v[rows]) for k, v in more.items()}})
+                    if len(out) == SENT:
+                        yield pa.RecordBatch.from_pylist(out, schema=_arrow(schema))
+                        out = []
                 yield pa.RecordBatch.from_pylist(out, schema=_arrow(schema))
 
     return both.select("block_id", "ids", "texts", "repeated").mapInArrow(B.frugal(send), schema), ways
@@ -313,19 +348,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
 
     def tree(group: list[dict]) -> list[dict]:
         """Each deep node's smallest document, told to the blocks whose own smallest is larger."""
-        parts = [B.expand_rows(x["words"], "i8", window) for x in group]
-        order, common = sorted_suffixes(np.concatenate(parts))
+        order, common = sorted_suffixes(together(group, window))
         least = np.concatenate([B.expand(x["least"], "i8") for x in group])
         # Suffixes end at the window here, so a node of that depth is a run of neighbours that agree over all of it.
         begins = np.r_[True, common < window]
         low = np.empty(len(least), np.int64)
         low[order] = np.minimum.reduceat(least[order], np.flatnonzero(begins))[np.cumsum(begins) - 1]
         rows, start = [], 0
-        for x, part in zip(group, parts, strict=True):
-            told = np.flatnonzero(low[start : start + len(part)] < least[start : start + len(part)])
+        for x in group:
+            told = np.flatnonzero(low[start : start + x["n"]] < least[start : start + x["n"]])
             if len(told):
                 rows.append({"to": x["block_id"], "of": x["home"], "told": B.squeeze_sorted(B.expand_sorted(x["at"], "i4")[told]), "low": B.squeeze(low[start + told])})
-            start += len(part)
+            start += x["n"]
         return rows
 
     told = subtrees(sent, window, window, leaf, total, (), "to long, of long, told binary, low binary", tree).withColumnRenamed("to", "block_id")
@@ -336,14 +370,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, leaf: int = LEAF, id_col: str =
                 block = Block(ids, texts, window)
                 heard = b.column("repeated")[i].as_py() or []
                 starts = block.repeated(bits, buckets, heard)
-                m, number, order, begin = block.suffixes(starts, window, block.numbers(heard))
+                code = block.numbers(heard)
+                first, number, order, begin = block.suffixes(starts, window, code)
                 owner = block.ids[block.doc[starts]]
                 least = np.minimum.reduceat(owner[order], begin) if len(begin) else owner
                 if answers := b.column("answers")[i].as_py() or []:
-                    group = groups_of(m, prefix_lengths(window)[0], ways)
+                    group = block.groups(first, prefix_lengths(window)[0], ways, code)
                     by = np.argsort(group, kind="stable")
-                    names, first = np.unique(group[by], return_index=True)
-                    at = dict(zip(names.tolist(), first.tolist(), strict=True))
+                    names, begins = np.unique(group[by], return_index=True)
+                    at = dict(zip(names.tolist(), begins.tolist(), strict=True))
                     for a in answers:
                         least[by[at[a["of"]] + B.expand_sorted(a["told"], "i4")]] = B.expand(a["low"], "i8")
                 gone = starts[owner > least[number]]
@@ -380,7 +415,7 @@ def repeats(docs: DataFrame, least: int = WINDOW, depth: int = 64, leaf: int = L
     sent, _ = _messages(table, total, least, depth, bits, buckets, leaf, extra)
 
     def tree(group: list[dict]) -> list[dict]:
-        m = np.concatenate([B.expand_rows(x["words"], "i8", depth) for x in group])
+        m = together(group, depth)
         low, left, times, where = (np.concatenate([B.expand(x[c], KINDS[c]) for x in group]) for c in ("least", *extra))
         # A suffix that occurs several times in its block is a node by itself: it is set beside itself.
         copies = np.minimum(times, 2)
